@@ -56,3 +56,10 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20)
     """Keep the Arrow batches that reach Python workers small, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def utf8(batch, name: str) -> list[bytes]:
+    """The texts of a column of an Arrow batch as UTF-8; null is empty."""
+    import pyarrow as pa
+
+    return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
