@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siteatlas.llm.decontamination import contamination_report, find_contamination
 from siteatlas.llm.exact_dedup import exact_dedup
+from siteatlas.llm.sentencepiece_codec import encode
 from siteatlas.llm.sharding import shard_by_bytes
 from siteatlas.llm.simhash import near_duplicates
+from siteatlas.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +31,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
+    "op10_sentencepiece": op10_sentencepiece,
 }
