@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siteatlas.llm.decontamination import contamination_report, find_contamination
 from siteatlas.llm.exact_dedup import exact_dedup
+from siteatlas.llm.line_dedup import dedup_lines
+from siteatlas.llm.lm_scoring import lm_scores
 from siteatlas.llm.sentencepiece_codec import encode
 from siteatlas.llm.sharding import shard_by_bytes
 from siteatlas.llm.simhash import near_duplicates
@@ -23,6 +25,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(found)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,15 +45,21 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5).drop("kept_text")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
+    "op9_line_dedup": op9_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
