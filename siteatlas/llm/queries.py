@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siteatlas.llm.decontamination import contamination_report, find_contamination
 from siteatlas.llm.exact_dedup import exact_dedup
+from siteatlas.llm.license_scan import license_scan
 from siteatlas.llm.line_dedup import dedup_lines
 from siteatlas.llm.lm_scoring import lm_scores
 from siteatlas.llm.sentencepiece_codec import encode
 from siteatlas.llm.sharding import shard_by_bytes
 from siteatlas.llm.simhash import near_duplicates
+from siteatlas.llm.substring_dedup import substring_dedup
 from siteatlas.llm.toxicity import toxicity
 
 
@@ -20,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return contamination_report(found)
@@ -37,6 +43,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), containment=0.8)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,10 +64,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
