@@ -9,13 +9,18 @@ over all distinct training words.  A text's score is the log10 of the product
 over its words and its end, which is the marginal over all segmentations of
 the text, since no piece crosses a word's start.
 
+Training texts come in classes, by their language label.  Each class has a word
+distribution of its own over the common one, and the probability of a text is
+summed over classes as well, so no label is needed to score it.
+
 The exchange is of postings: each task gathers, for every distinct word of a
-block of texts, the ids and counts of the texts that have it.  A word that
-every text has is one record for each block.
+block of texts, which of these have it and how often.  A word that every text
+has is one record for each block.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -27,8 +32,10 @@ from siteatlas.llm.common import bounded_batches, utf8, written
 from siteatlas.llm.lattice import Lattices, Vocabulary, load_sentencepiece
 from siteatlas.llm.sentencepiece_codec import DEFAULT_MODEL
 
-#: A block closes at so many (word, text) pairs.
-BLOCK_PAIRS = 1_000_000
+#: A block closes at so many (word, text) pairs or texts; a text's number and a count share 32 bits.
+BLOCK_PAIRS, BLOCK_TEXTS, COUNT_MAX = 4_000_000, 1 << 15, (1 << 16) - 1
+#: The most frequent labels are classes of their own; the others, and texts without one, are the last.
+CLASSES = 5
 #: Share of the freed mass for the end of a text; the rest is for words.
 END_SHARE = 1e-3
 #: Words are passed over in groups of so many bytes.
@@ -47,46 +54,76 @@ class Block:
 
     def __init__(self):
         self.words: dict[bytes, int] = {}
-        self.word, self.doc, self.count = [], [], []
+        self.word, self.count, self.size = array("i"), array("q"), array("i")
         self.docs: list = []
-        self.train: list[bool] = []
+        self.cls = array("i")
 
-    def add(self, doc_id, text: bytes, train: bool) -> None:
+    def add(self, doc_id, text: bytes, cls: int) -> None:
+        """cls: the training class, -1 if the text is held out."""
         counts = Counter(text.lower().split())
         counts[b""] = 1
         find = self.words
         self.word.extend([find.setdefault(w, len(find)) for w in counts])
         self.count.extend(counts.values())
-        self.doc.append(len(counts))
+        self.size.append(len(counts))
         self.docs.append(doc_id)
-        self.train.append(train)
+        self.cls.append(cls)
+
+    def full(self) -> bool:
+        return len(self.word) >= BLOCK_PAIRS or len(self.docs) >= BLOCK_TEXTS
 
     def batches(self, block: int, doc_type: pa.DataType):
         if not self.docs:
             return
-        word, count = np.array(self.word, np.int64), np.array(self.count, np.int64)
-        doc = np.repeat(np.arange(len(self.docs)), self.doc)
+        word, count = np.frombuffer(self.word, np.int32), np.frombuffer(self.count, np.int64)
+        doc = np.repeat(np.arange(len(self.docs), dtype=np.int32), np.frombuffer(self.size, np.int32))
+        cls, m = np.frombuffer(self.cls, np.int32)[doc], len(self.words)
+        seen = [np.bincount(word[cls == k], count[cls == k], m).astype(np.int64) for k in range(CLASSES)]
+        over = np.flatnonzero(count > COUNT_MAX)
+        if len(over):  # a count beyond 16 bits takes several entries
+            times = -(-count // COUNT_MAX)
+            last = np.cumsum(times) - 1
+            word, doc, rest = np.repeat(word, times), np.repeat(doc, times), count - (times - 1) * COUNT_MAX
+            count = np.full(len(word), COUNT_MAX)
+            count[last] = rest
         order = np.argsort(word, kind="stable")
-        seen = np.bincount(word, count * np.array(self.train, np.int64)[doc], len(self.words)).astype(np.int64)
-        edges = np.append(0, np.cumsum(np.bincount(word, minlength=len(self.words)))).astype(np.int32)
-        ids = pa.array(self.docs, doc_type).take(pa.array(doc[order]))
+        edges = np.append(0, np.cumsum(np.bincount(word, minlength=m))).astype(np.int32)
+        packed = (doc[order].astype(np.int64) << 16 | count[order]).astype(np.int32)
+        names = list(self.words)
+        ends = np.zeros(m + 1, np.int32)
+        ends[names.index(b"") + 1 :] = len(self.docs)
         table = pa.RecordBatch.from_arrays(
             [
-                pa.array(list(self.words), pa.binary()),
-                pa.array(seen),
-                pa.array(np.full(len(self.words), block, np.int64)),
-                pa.ListArray.from_arrays(pa.array(edges), ids),
-                pa.ListArray.from_arrays(pa.array(edges), pa.array(count[order].astype(np.int32))),
+                pa.array(names, pa.binary()),
+                *map(pa.array, seen),
+                pa.array(np.full(m, block, np.int64)),
+                pa.ListArray.from_arrays(pa.array(edges), pa.array(packed)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(self.docs, doc_type)),
             ],
-            ["word", "c", "block", "docs", "counts"],
+            ["word", *COUNTS, "block", "pairs", "docs"],
         )
         for at in range(0, len(table), 20_000):
             yield table.slice(at, 20_000)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(word, c, block, docs, counts); c counts the word in training texts of the block."""
+COUNTS = [f"c{k}" for k in range(CLASSES)]
+
+
+def class_names(docs: DataFrame, class_col: str) -> list[str]:
+    if class_col not in docs.columns:
+        return []
+    rows = docs.where(F.col(class_col).isNotNull()).groupBy(F.col(class_col).cast("string").alias("k")).count()
+    return [r["k"] for r in rows.orderBy(F.desc("count"), "k").limit(CLASSES - 1).collect()]
+
+
+def postings(docs: DataFrame, class_col: str) -> DataFrame:
+    """(word, counts by class in training texts, block, pairs, docs).
+
+    ``pairs``: a text's number in its block and the count of the word; ``docs``:
+    at the word b"", the ids of the block's texts by number.
+    """
     bounded_batches(docs.sparkSession)
+    names = {n: k for k, n in enumerate(class_names(docs, class_col))}
 
     def run(batches):
         from pyspark import TaskContext
@@ -95,19 +132,19 @@ def postings(docs: DataFrame) -> DataFrame:
         doc_type = None
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
-            for doc_id, text, held_out in zip(
-                batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("held_out").to_pylist(), strict=True
-            ):
-                block.add(doc_id, text, not held_out)
-                if len(block.word) >= BLOCK_PAIRS:
+            cols = (batch.column(c).to_pylist() for c in ("doc_id", "held_out", "cls"))
+            for doc_id, held_out, cls, text in zip(*cols, utf8(batch, "text"), strict=True):
+                block.add(doc_id, text, -1 if held_out else names.get(cls, CLASSES - 1))
+                if block.full():
                     yield from block.batches(number, doc_type)
                     block, number = Block(), number + 1
         if doc_type is not None:
             yield from block.batches(number, doc_type)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out")).mapInArrow(
-        run, f"word binary, c long, block long, docs array<{kind}>, counts array<int>"
+    cls = F.col(class_col).cast("string") if names else F.lit(None).cast("string")
+    return docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"), cls.alias("cls")).mapInArrow(
+        run, f"word binary, {', '.join(f'{c} long' for c in COUNTS)}, block long, pairs array<int>, docs array<{kind}>"
     )
 
 
@@ -177,79 +214,104 @@ def expected_counts(words: DataFrame, shared, weights: np.ndarray) -> np.ndarray
     return total
 
 
-def lm_scores(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 1) -> DataFrame:
+def lm_scores(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 1, class_col: str = "lang") -> DataFrame:
     """Score every text under a model learned from the rows that are not held out.
 
     Returns one row per doc_id: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score and score.  A null or empty text is its end
     alone.  Rows that repeat a doc_id are scored as one document, with one end
     for each row; rows with a null id are held out and scored together.
-    Without training rows every score is that of the lattices.  An empty table
-    gives an empty result.
+    Without training rows every score is that of the lattices; without the
+    column of classes there is one class.  An empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_sentencepiece(model))  # of the size of the vocabulary file
-    rows = written(postings(docs), "postings")
-    words = written(rows.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    n, v, once, twice = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)),
-        F.count_if(F.col("c") > 0),
-        F.count_if(F.col("c") == 1),
-        F.count_if(F.col("c") == 2),
+    size = shared.value.size
+    rows = written(postings(docs, class_col), "postings", compression="zstd")
+    words = written(rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words", compression="zstd")
+    c = sum((F.col(k) for k in COUNTS[1:]), F.col(COUNTS[0]))
+    count = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    t = words.agg(
+        count(c).alias("n"),
+        F.count_if(c > 0).alias("v"),
+        F.count_if(c == 1).alias("once"),
+        F.count_if(c == 2).alias("twice"),
+        *(count(k).alias(f"n{k}") for k in COUNTS),
+        *(F.count_if(F.col(k) > 0).alias(f"v{k}") for k in COUNTS),
+        *(count(F.when(F.length("word") == 0, F.col(k))).alias(f"d{k}") for k in COUNTS),
     ).first()
-    discount = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+    n, v = t["n"], t["v"]
+    discount = min(max(t["once"] / (t["once"] + 2 * t["twice"]), 0.1), 0.95) if t["once"] else 0.5
     weights = first_weights(shared.value)
     for _ in range(rounds if v > 1 else 0):
-        counts = expected_counts(words.where("c > 0"), shared, weights)
+        counts = expected_counts(words.where(c > 0), shared, weights)
         known = np.where(np.isfinite(weights), np.exp(weights), 0)
         weights = normalised(counts + SMOOTHING * counts.sum() * known / known.sum(), shared.value)
-    freed = discount * v / n if n else 1.0
+    texts = [t[f"d{k}"] for k in COUNTS]
+    classes = [(t[f"n{k}"], t[f"v{k}"]) for k in COUNTS]
 
     def run(batches):
-        vocabulary, end = shared.value, weights[shared.value.size + 1]
+        vocabulary, end = shared.value, weights[size + 1]
         for batch in batches:
             found = batch.column("word").to_pylist()
             groups = (Lattices(vocabulary, g) for g in grouped(found))
             lat = np.concatenate([np.empty(0), *(g.marginal(edge_scores(g, weights)) for g in groups)])
-            c = batch.column("c").to_numpy(zero_copy_only=False)
             is_end = np.fromiter((not w for w in found), bool, len(found))
-            p_lat = np.where(is_end, np.log(END_SHARE), lat + end + np.log1p(-END_SHARE))
-            own = np.maximum(c - discount, 0) / n if n else np.zeros(len(c))
-            with np.errstate(divide="ignore"):
-                log_p = np.logaddexp(np.log(own), np.log(freed) + p_lat) / np.log(10)
+            log_p = np.where(is_end, np.log(END_SHARE), lat + end + np.log1p(-END_SHARE))
+            by_class = [batch.column(k).to_numpy(zero_copy_only=False) for k in COUNTS]
+            log_p = backed(sum(by_class), n, v, discount, log_p)
+            logs = [backed(x, nk, vk, discount, log_p) / np.log(10) for x, (nk, vk) in zip(by_class, classes, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("c"), pa.array(log_p)], ["word", "c", "log_p"]
+                [batch.column("word"), pa.array(sum(by_class)), *(pa.array(x.astype(np.float32)) for x in logs)],
+                ["word", "c", *LOGS],
             )
 
-    scored = words.mapInArrow(run, "word binary, c long, log_p double")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = words.mapInArrow(run, f"word binary, c long, {', '.join(f'{k} float' for k in LOGS)}")
     base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
-    pairs = (
-        rows.select("word", "block", "docs", "counts")
-        .join(scored, "word")
-        .select("block", "docs", "counts", "log_p", base.alias("base"), (F.col("c") > 0).cast("long").alias("known"))
-        .repartition("block")
-        .select("block", F.posexplode("docs").alias("pos", "doc_id"), "counts", "log_p", "base", "known")
-        .select("block", "doc_id", F.get("counts", F.col("pos")).cast("long").alias("tf"), "log_p", "base", "known")
+    # To the block of each posting, where the sums of its texts are complete.
+    back = rows.select("word", "block", "pairs", "docs").join(scored, "word").drop("word").repartition("block")
+    entries = back.select(
+        "block", F.posexplode("pairs").alias("pos", "pair"), F.when(F.size("docs") > 0, F.col("docs")).alias("docs"), "c", *LOGS
+    ).select(
+        "block",
+        F.shiftrightunsigned("pair", 16).alias("number"),
+        F.col("pair").bitwiseAND(COUNT_MAX).cast("long").alias("tf"),
+        F.get("docs", F.col("pos")).alias("doc_id"),
+        base.alias("base"),
+        (F.col("c") > 0).cast("long").alias("known"),
+        *LOGS,
     )
-    sums = [
+    texts_of = entries.groupBy("block", "number").agg(
+        F.max("doc_id").alias("doc_id"),
         F.sum("tf").alias("n_tokens"),
         F.sum(F.col("tf") * F.col("known")).alias("n_known"),
         F.sum(F.col("tf") * F.col("base")).alias("base_score"),
-        F.sum(F.col("tf") * F.col("log_p")).alias("score"),
-    ]
-    in_block = pairs.groupBy("block", "doc_id").agg(*sums)
-    names = ["n_tokens", "n_known", "base_score", "score"]
-    return (
-        in_block.groupBy("doc_id")
-        .agg(*(F.sum(c).alias(c) for c in names))
-        .select(
-            F.col("doc_id").cast(kind),
-            is_held_out(F.col("doc_id")).alias("held_out"),
-            "n_tokens",
-            "n_known",
-            F.lit(n).cast("long").alias("train_tokens"),
-            "base_score",
-            "score",
-        )
+        *(F.sum(F.col("tf") * F.col(k).cast("double")).alias(k) for k in LOGS),
     )
+    names = ["n_tokens", "n_known", "base_score", *LOGS]
+    by_id = texts_of.groupBy("doc_id").agg(*(F.sum(x).alias(x) for x in names))
+    live = [(k, np.log10(d / sum(texts))) for k, d in zip(LOGS, texts, strict=True) if d] or [(LOGS[0], 0.0)]
+    terms = [F.col(k) + F.lit(float(p)) for k, p in live]
+    top = F.greatest(*terms) if len(terms) > 1 else terms[0]
+    total = sum((F.pow(F.lit(10.0), x - top) for x in terms[1:]), F.pow(F.lit(10.0), terms[0] - top))
+    return by_id.select(
+        "doc_id",
+        is_held_out(F.col("doc_id")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(n).cast("long").alias("train_tokens"),
+        "base_score",
+        (top + F.log10(total)).alias("score"),
+    )
+
+
+LOGS = [f"l{k}" for k in range(CLASSES)]
+
+
+def backed(c: np.ndarray, n: int, v: int, discount: float, lower: np.ndarray) -> np.ndarray:
+    """Log of the discounted share of ``c`` in ``n`` plus the freed mass times the lower distribution."""
+    if not n:
+        return lower
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(np.maximum(c - discount, 0) / n), np.log(discount * v / n) + lower)
