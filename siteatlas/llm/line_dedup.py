@@ -97,7 +97,9 @@ class LineRuns:
 
 def batches_of(lines: DataFrame, batches: int) -> DataFrame:
     """``lines`` with a number of their batch, from 0 for the largest ids on; null ids come last."""
-    cuts = sorted(set(lines.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)))
+    shares = [k / batches for k in range(1, batches)]
+    cuts = lines.agg(F.percentile_approx("doc_id", shares or [1.0], 1000)).first()[0] or []
+    cuts = sorted(set(cuts)) if shares else []
     number = F.lit(0)
     for c in cuts:
         number = number + (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) <= F.lit(int(c))).cast("int")
