@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from siteatlas.functions.classify import NAVIGATION_PARTS, PHP_HANDLERS, SKIPPED_SUFFIXES
-from siteatlas.functions.documents import CODE_HINTS
+from siteatlas.functions.classify import (
+    ASSET_SUFFIXES,
+    ENDPOINT_SIGNALS,
+    NAVIGATION_PARTS,
+    NOT_ENDPOINT_PARTS,
+    NOT_ENDPOINT_SUFFIXES,
+    PHP_HANDLERS,
+    SKIPPED_SUFFIXES,
+)
+from siteatlas.functions.documents import CODE_HINTS, EXTENSIONS
+from siteatlas.functions.url import SCRIPT_SUFFIXES
 from siteatlas.rules import CATEGORIES, CLASSES, CLI_RULES, LINK_TYPES
 
 
@@ -134,9 +143,9 @@ ORACLES: dict[str, str] = {
     "best_patterns": f"""WITH {SHAPES}, uu AS (SELECT DISTINCT url FROM pages),
       x AS (SELECT url, {ROOT.format('url')} || regexp_replace({PATH.format('url')}, '/+$', '') AS canonical FROM uu),
       y AS (SELECT x.url, b.host, b.segs, b.n FROM x JOIN b ON x.canonical = b.canonical),
-      z AS (SELECT y.url, pat.pattern, CASE WHEN pat.m2 <> '' THEN 1 ELSE 0 END AS trailing, pat.n AS members FROM y JOIN pat
+      z AS (SELECT y.url, pat.pattern, CASE WHEN pat.m2 <> '' THEN 1 ELSE 0 END AS lits, pat.n AS members FROM y JOIN pat
         ON y.host = pat.domain AND y.n = 2 AND (pat.m1 = '' OR pat.m1 = y.segs[1]) AND (pat.m2 = '' OR pat.m2 = y.segs[2]))
-      SELECT url, pattern FROM z QUALIFY row_number() OVER (PARTITION BY url ORDER BY trailing DESC, members DESC, pattern) = 1""",
+      SELECT url, pattern FROM z QUALIFY row_number() OVER (PARTITION BY url ORDER BY lits DESC, members DESC, pattern) = 1""",
     "contract_endpoints": f"""WITH {GET_PATH} SELECT path, 'GET' AS methods, count(*) AS calls, false AS unobserved,
       false AS method_inferred, (SELECT string_agg(line, '|' ORDER BY s) FROM (SELECT 'GET ' || {PATH.format('i.url')} ||
         CASE WHEN i.query <> '' THEN '?' || i.query ELSE '' END AS line, min(i.seq) AS s FROM o i WHERE i.path = o.path GROUP BY 1)) AS raw
@@ -170,3 +179,75 @@ ORACLES: dict[str, str] = {
       FROM pages""",
     "masked_queries": r"SELECT page_id, regexp_extract(url, '^[^?]*\?([^#]*)', 1) || '&token=<token>' AS q FROM pages",
 }
+
+TAGS = "CASE " + " ".join(f"WHEN {has('lower(href)', v)} THEN '{k}'" for k, v in CLI_RULES.tags.items()) + " ELSE '' END"
+ASSETS = "CASE " + " ".join(f"WHEN {ends('lower(href)', v.split())} THEN '{k}'" for k, v in ASSET_SUFFIXES.items()) + " ELSE 'asset' END"
+ENDPOINT = f"""(strlen(href) BETWEEN 4 AND 512 AND NOT regexp_matches(href, '[ <>(){{}}"`|]') AND NOT contains(href, '''')
+  AND (starts_with(href, '/') OR starts_with(href, 'http://') OR starts_with(href, 'https://'))
+  AND NOT {has('lower(href)', NOT_ENDPOINT_PARTS)} AND NOT {ends('lower(href)', NOT_ENDPOINT_SUFFIXES)}
+  AND ({has('lower(href)', CLI_RULES.api)} OR {has('lower(href)', ENDPOINT_SIGNALS)} OR (contains(lower(href), '.php') AND contains(href, '?'))))"""
+BARE = "split_part(split_part(href, '?', 1), '#', 1)"
+LAST = "regexp_extract(regexp_replace(href, '/+$', ''), '([^/]*)$', 1)"
+DOCUMENT_EXTENSIONS = ", ".join(text(x) for v in EXTENSIONS.values() for x in v.split())
+SHOWN = """v AS (SELECT DISTINCT base, class, split_part(p, '=', 1) AS name, substr(p, strpos(p, '=') + 1) AS value
+    FROM (SELECT base, class, unnest(string_split(substr(query, 2), '&')) AS p FROM q WHERE query <> '') WHERE strpos(p, '=') > 1),
+  a AS (SELECT base, class, name || '=' || string_agg(value, ',' ORDER BY value) AS part FROM v WHERE value <> '' GROUP BY base, class, name),
+  t AS (SELECT base, class, string_agg(part, '; ' ORDER BY part) AS params FROM a GROUP BY base, class)"""
+
+ORACLES |= {
+    "classify_links": f"""WITH {MATCHES}, h AS (SELECT DISTINCT href FROM l)
+      SELECT href, {ASSETS} AS asset, {TAGS} AS custom_tag, {ends(f"lower({BARE})", SCRIPT_SUFFIXES)} AS is_script,
+      {NOISE} AS is_noise, {LOOKS} AS looks_like_url, {ENDPOINT} AS endpoint,
+      regexp_extract(lower({BARE}), '[.]([^.]+)$', 1) IN ({DOCUMENT_EXTENSIONS}) AS is_document,
+      CASE WHEN len(string_split(href, '/')) > 2 AND contains(split_part(href, '/', 3), 'api')
+        THEN '/' || array_to_string(list_slice(string_split(href, '/'), 3, len(string_split(href, '/')) - 1), '/')
+        ELSE '/' || CASE WHEN {LAST} = '' THEN '/' ELSE {LAST} END END AS api_key
+      FROM h""",
+    "inline_scripts": """WITH s AS (SELECT url, regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1) AS codes FROM pages)
+      SELECT url, CAST(generate_subscripts(codes, 1) - 1 AS INTEGER) AS pos, unnest(codes) AS code FROM s""",
+    "text_urls": f"""WITH u AS (SELECT DISTINCT url AS href FROM pages)
+      SELECT href AS source_url, href, {CATEGORY} AS category, {TYPE} AS link_type FROM u""",
+    "text_urls_in_documents": "SELECT CAST(doc_id AS VARCHAR) AS source_url, text AS href, text AS class FROM documents WHERE contains(text, '://')",
+    "param_annotations": f"""WITH {FOLDED}, {SHOWN} SELECT CASE WHEN f.bare THEN f.lead ELSE f.base END AS resolved,
+      coalesce(t.params, '') AS params FROM f LEFT JOIN t ON f.base = t.base AND f.class = t.class""",
+    "describe_patterns": f"""WITH {SHAPES},
+      v AS (SELECT DISTINCT host, m1, m2, CAST(CASE WHEN m1 = '' THEN v1 ELSE v2 END AS BIGINT) AS x FROM mem
+        WHERE regexp_matches(CASE WHEN m1 = '' THEN v1 ELSE v2 END, '^[0-9]+$')),
+      r AS (SELECT host, m1, m2, count(*) AS n, min(x) AS low, max(x) AS high, string_agg(CAST(x AS VARCHAR), ', ' ORDER BY x) AS listed
+        FROM v GROUP BY host, m1, m2)
+      SELECT pat.domain, pat.pattern, pat.kind AS grouped_by, '(' || pat.kind || ': id)' AS annotation,
+      'id(' || pat.kind || '): ' || CASE WHEN r.n >= 2 AND r.high - r.low + 1 = r.n
+        THEN CAST(r.low AS VARCHAR) || '..' || CAST(r.high AS VARCHAR) ELSE r.listed END AS slots
+      FROM pat JOIN r ON pat.domain = r.host AND pat.m1 = r.m1 AND pat.m2 = r.m2 WHERE pat.kind = 'int'""",
+    "pattern_kinds": f"""WITH {SHAPES} SELECT domain, pattern, 'web-page' AS category, 'absolute' AS link_type, 'normal' AS class,
+      'js' AS asset FROM pat WHERE kind <> 'string'""",
+    "event_bodies": """SELECT 'https://api.example/v1/' || event_type AS path, 'json' AS body_kind, 'k' AS name,
+      CASE WHEN sum(length(k)) >= 24 THEN 'token' WHEN bool_and(k IN ('0', '1')) THEN 'bool' ELSE 'uint' END AS kind,
+      CAST(count(*) AS INTEGER) AS n_values
+      FROM (SELECT DISTINCT event_type, regexp_extract(props, '"k": ([0-9]+)', 1) AS k FROM events) GROUP BY event_type""",
+    "normalize_links": f"""WITH {RESOLVED}, k AS (SELECT DISTINCT resolved AS key FROM r),
+      s AS (SELECT source_url AS key FROM r UNION SELECT 'https://index.example/'),
+      made AS (SELECT key FROM s WHERE key NOT IN (SELECT key FROM k))
+      SELECT false AS synthesized, count(*) AS n, count(*) FILTER (contains(key, '?')) AS with_query FROM k
+      UNION ALL SELECT true, count(*), count(*) FILTER (contains(key, '?')) FROM made""",
+    "visual_nodes": f"""WITH {FOLDED}, {SHOWN}, n AS (SELECT DISTINCT base FROM q),
+      s AS (SELECT base, regexp_replace(base, '^https?://', '') AS short FROM n)
+      SELECT 'n' || regexp_replace(replace(s.base, '://', '_'), '[/.:?&=%#''-]', '_', 'g') AS id, s.base AS url,
+      CASE WHEN length(short) <= 35 THEN short ELSE substr(short, 1, 32) || '...' END AS label, 'page' AS kind,
+      coalesce(t.params, '') AS params FROM s LEFT JOIN t ON s.base = t.base""",
+    "pattern_contracts": f"""WITH {SHAPES}, {GET_PATH},
+      x AS (SELECT o.seq, o.path, b.host, b.segs, b.n FROM o LEFT JOIN b ON o.path = b.canonical),
+      z AS (SELECT x.seq, pat.pattern, CASE WHEN pat.m2 <> '' THEN 1 ELSE 0 END AS lits, pat.n AS members FROM x JOIN pat
+        ON x.host = pat.domain AND x.n = 2 AND (pat.m1 = '' OR pat.m1 = x.segs[1]) AND (pat.m2 = '' OR pat.m2 = x.segs[2])
+        WHERE pat.kind <> 'string'),
+      best AS (SELECT seq, pattern FROM z QUALIFY row_number() OVER (PARTITION BY seq ORDER BY lits DESC, members DESC, pattern) = 1)
+      SELECT coalesce(best.pattern, x.path) AS path, count(*) AS calls FROM x LEFT JOIN best ON x.seq = best.seq GROUP BY 1""",
+    "edge_counts": f"""WITH {RESOLVED}, {SHAPES}, {GET_PATH},
+      nodes AS (SELECT resolved AS key FROM r UNION SELECT source_url FROM r),
+      e AS (SELECT DISTINCT 'source' AS kind, source_url AS a, resolved AS z FROM r
+        UNION ALL SELECT DISTINCT 'crawled', source_url, resolved FROM r WHERE resolved IN (SELECT url FROM pages)
+        UNION ALL SELECT 'pattern', pattern, key FROM (SELECT pattern, unnest(string_split(members, '|')) AS key FROM pat
+          WHERE kind <> 'string') WHERE key IN (SELECT key FROM nodes)
+        UNION ALL SELECT DISTINCT 'contract', path, path FROM o WHERE path IN (SELECT key FROM nodes))
+      SELECT kind, count(*) AS n FROM e GROUP BY kind""",
+}

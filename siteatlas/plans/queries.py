@@ -261,7 +261,9 @@ def source_edges(spark, sf_dir):
 
 
 def graph_edges(spark, sf_dir) -> DataFrame:
-    l = graph.normalize(with_seq(links(spark, sf_dir)))
+    found = with_seq(links(spark, sf_dir))
+    made = graph.normalize(found).where("synthesized").select("href", "resolved", "source_url")
+    l = found.select("href", "resolved", "source_url").unionByName(made)
     pages = table(spark, sf_dir, "pages").select("url")
     ends = contracts.infer_contracts(page_observations(spark, sf_dir))["endpoints"]
     params = spark.createDataFrame([], "name string, kind string, endpoints array<string>")
