@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteatlas.functions import url
 from siteatlas.operators.extract import first_of, link_key
+from siteatlas.sources.tables import written
 
 EDGE_KINDS = ["source", "crawled", "pattern", "contract", "param"]
 EMPTY_LINK = {
@@ -20,8 +21,12 @@ def edge(kind: str, a, b) -> list:
 
 
 def derive_edges(links: DataFrame, pages: DataFrame, patterns: DataFrame, endpoints: DataFrame, params: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """Edges of the five kinds, each by equality of keys, with those already stated."""
-    keyed = links.select(link_key().alias("key"), "source_url").distinct()
+    """Edges of the five kinds, each by equality of keys, with those already stated.
+
+    The keys of links are written once: four joins read them, and extraction
+    must not run four times.
+    """
+    keyed = written(links.select(link_key().alias("key"), "source_url").distinct(), "keys")
     nodes = keyed.select("key").distinct()
     sources = keyed.where("source_url <> ''").join(nodes.withColumnRenamed("key", "source_url"), "source_url", "left_semi")
     crawled = sources.join(pages.select(F.col("url").alias("key")).distinct(), "key", "left_semi")
@@ -154,8 +159,6 @@ def crawl_tree(edges: DataFrame, root: str, max_depth: int = 20) -> DataFrame:
 
     Breadth first, a join for each level; stops when a level adds nothing.
     """
-    from siteatlas.sources.tables import written
-
     spark = edges.sparkSession
     steps = edges.where("kind = 'crawled'").select("from_key", "to_key").distinct()
     seen = written(spark.createDataFrame([(root, "", 0)], "key string, parent string, depth int"), "level")

@@ -45,7 +45,8 @@ def findings(source: str, code: str) -> list[dict]:
 def analyze_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = [r for u, c in zip(frame["url"], frame["code"], strict=True) for r in findings(u, c)]
-        yield pd.DataFrame(rows, columns=COLUMNS)
+        # Columns of objects: what a finding lacks is None, not a number.
+        yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in COLUMNS})
 
 
 def analyze_scripts(scripts: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ CLUSTER = {
     "links": ["resolved", "href"], "edges": ["kind", "from_key", "to_key"], "pages": ["url"], "refs": ["source_url", "offset"],
     "observations": ["url"], "endpoints": ["path"], "contract_fields": ["path"], "patterns": ["domain", "pattern"],
 }
-MANIFEST = "_capture.json"
+MANIFEST = "capture.json"
 
 
 def hadoop_path(spark: SparkSession, path: str):
