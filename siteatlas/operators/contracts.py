@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siteatlas.functions import bodies, classify, url
 from siteatlas.operators.patterns import best_pattern
+from siteatlas.sources.tables import written
 
 MAX_RAW = 12
 PAIRS = "array<struct<name: string, value: string>>"
@@ -56,26 +57,53 @@ def is_placeholder(name: Column, value: Column) -> Column:
     return (name != "") & marked
 
 
-def kind_of(name: Column, values: Column) -> Column:
-    """The kind of a field from all its values."""
-    t = lambda v: url.trimmed(v)
-    clean = F.filter(values, lambda v: ~v.isin("null", ""))
-    blank = F.exists(values, lambda v: v == "")
-    every = lambda test: F.forall(clean, lambda v: F.coalesce(test(v), F.lit(False)))
-    boolean = every(lambda v: F.lower(t(v)).isin("true", "false", "0", "1", "on", "off", "yes", "no"))
-    whole = every(lambda v: t(v).rlike(r"^[+\-]?[0-9]+$") & t(v).try_cast("long").isNotNull())
-    negative = F.exists(clean, lambda v: t(v).startswith("-"))
-    real = every(lambda v: t(v).rlike(r"(?i)^[+\-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+\-]?[0-9]+)?|inf(?:inity)?|nan)$"))
+BOOLEANS = ["true", "false", "0", "1", "on", "off", "yes", "no"]
+
+
+def value_flags(name: Column, value: Column) -> dict[str, Column]:
+    """What one distinct value says about its field; flags of all values are combined by aggregates."""
+    t = url.trimmed(value)
+    clean = ~value.isin("null", "")
+    bare = F.btrim(t, F.lit("\"'"))
+    every = lambda test: F.coalesce(test | ~clean, F.lit(False))
+    return {
+        "n_clean": clean.cast("long"),
+        "blank": value == "",
+        "bools": every(F.lower(t).isin(BOOLEANS)),
+        "ints": every(t.rlike(r"^[+\-]?[0-9]+$") & t.try_cast("long").isNotNull()),
+        "negative": clean & t.startswith("-"),
+        "reals": every(t.rlike(r"(?i)^[+\-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+\-]?[0-9]+)?|inf(?:inity)?|nan)$")),
+        "dates": every(is_date(value)),
+        # A secret is looked for in the values as one string: its length, alphabet and digits add up.
+        "length": F.octet_length(bare).cast("long"),
+        "hex": bare.rlike("^[0-9a-fA-F]*$"),
+        "b64": bare.rlike(r"^[A-Za-z0-9_\-]*$"),
+        "digit": bare.rlike("[0-9]"),
+    }
+
+
+#: How the flags of the values of a field combine.
+COMBINE = {
+    "n_clean": F.sum, "blank": F.bool_or, "bools": F.bool_and, "ints": F.bool_and, "negative": F.bool_or, "reals": F.bool_and,
+    "dates": F.bool_and, "length": F.sum, "hex": F.bool_and, "b64": F.bool_and, "digit": F.bool_or,
+}
+
+
+def kind_by_flags(name: Column) -> Column:
+    """The kind of a field from the combined flags of its values; null flags mean that it has none."""
+    secret = name.rlike(classify.SECRET_NAME) | (
+        F.col("digit") & ((F.col("hex") & (F.col("length") >= 24)) | (F.col("b64") & (F.col("length") >= 32)))
+    )
     return (
-        F.when(F.size(values) == 0, "unknown")
-        .when(classify.is_secret(name, F.array_join(values, "")), "token")
-        .when(F.size(clean) == 0, F.when(blank, "bool").otherwise("null"))
-        .when(boolean, "bool")
-        .when(whole, F.when(negative, "int").otherwise("uint"))
-        .when(real, "float")
-        .when(every(is_date), "date")
-        .when(F.size(clean) == 1, "str")
-        .when(F.size(clean) <= 8, "enum")
+        F.when(F.col("n_clean").isNull(), "unknown")
+        .when(secret, "token")
+        .when(F.col("n_clean") == 0, F.when(F.col("blank"), "bool").otherwise("null"))
+        .when(F.col("bools"), "bool")
+        .when(F.col("ints"), F.when(F.col("negative"), "int").otherwise("uint"))
+        .when(F.col("reals"), "float")
+        .when(F.col("dates"), "date")
+        .when(F.col("n_clean") == 1, "str")
+        .when(F.col("n_clean") <= 8, "enum")
         .otherwise("str")
     )
 
@@ -124,28 +152,47 @@ def field_rows(obs: DataFrame) -> DataFrame:
     )
 
 
-def finished(rows: DataFrame) -> DataFrame:
-    """Fields with their kind; values in the order in which they were first seen."""
-    key = ["path", "section", "body_kind", "mime", "name"]
-    firsts = rows.groupBy(*key, "value", "placeholder").agg(F.min(F.struct("seq", "pos")).alias("first"))
-    listed = F.array_sort(F.collect_list(F.when(~F.col("placeholder"), F.struct("first", "value"))))
-    fields = firsts.groupBy(*key).agg(
-        F.transform(listed, lambda r: r["value"]).alias("values"), F.bool_or("placeholder").alias("inferred")
+FIELD = ["path", "section", "body_kind", "mime", "name"]
+
+
+def field_values(rows: DataFrame) -> DataFrame:
+    """(field, value, placeholder, first): each distinct value of each field, and where it was first seen."""
+    return rows.groupBy(*FIELD, "value", "placeholder").agg(F.min(F.struct("seq", "pos")).alias("first"))
+
+
+def field_kinds(values: DataFrame) -> DataFrame:
+    """(field, kind, n_values, inferred, and the one value of a constant), by aggregates alone.
+
+    A field with very many values is never gathered in one task.
+    """
+    seen = values.where("not placeholder")
+    flags = value_flags(F.col("name"), F.col("value"))
+    seen = seen.select(*FIELD, "value", *(v.alias(k) for k, v in flags.items())).groupBy(*FIELD).agg(
+        F.count(F.lit(1)).alias("n_values"), F.min("value").alias("one"), *(f(k).alias(k) for k, f in COMBINE.items())
     )
-    fields = fields.withColumn("values", F.array_distinct("values"))
-    single = F.size("values") == 1
-    bare = F.col("inferred") & (F.size("values") == 0)
-    return fields.select(
-        *key,
-        F.when(bare, "unknown").otherwise(kind_of(F.col("name"), F.col("values"))).alias("kind"),
-        "values",
-        single.alias("constant"),
-        F.when(single, F.get("values", F.lit(0))).otherwise("").alias("const_val"),
-        F.lit(False).alias("nullable"),
+    named = values.groupBy(*FIELD).agg(F.bool_or("placeholder").alias("inferred"))
+    return named.join(seen, FIELD, "left").select(
+        *FIELD,
+        kind_by_flags(F.col("name")).alias("kind"),
+        F.coalesce("n_values", F.lit(0)).alias("n_values"),
+        F.when(F.col("n_values") == 1, F.col("one")).otherwise("").alias("const_val"),
         "inferred",
     )
 
 
+def finished(rows: DataFrame) -> DataFrame:
+    """Fields with their kind, and their values listed in the order in which they were first seen.
+
+    The list is for captures and reports; :func:`field_kinds` has all else.
+    """
+    values = written(field_values(rows), "values")
+    order = F.array_sort(F.collect_list(F.when(~F.col("placeholder"), F.struct("first", "value"))))
+    listed = values.groupBy(*FIELD).agg(F.array_distinct(F.transform(order, lambda r: r["value"])).alias("values"))
+    return field_kinds(values).join(listed, FIELD).select(
+        *FIELD, "kind", "values", (F.col("n_values") == 1).alias("constant"), "const_val", F.lit(False).alias("nullable"), "inferred"
+    )
+
+
 def sample_value(f: Column) -> Column:
     marker = F.concat(F.lit("<"), f["name"], F.lit(">"))
     return (

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from siteatlas.functions import classify, url
 from siteatlas.operators.extract import link_key
+from siteatlas.sources.tables import written
 
 #: Up to this depth all sets of slots are tried by grouping; deeper paths are paired within their buckets.
 MAX_MASKED = 8
@@ -101,38 +102,69 @@ def kind_of_values(values: Column) -> Column:
     return F.when((F.size(kinds) == 1) & (kinds[0] != ""), kinds[0]).otherwise("string")
 
 
-def find_patterns(urls: DataFrame, min_count: int = 2, group_strings: bool = False, column: str = "url") -> DataFrame:
-    """Fold URLs into patterns: (domain, pattern, count, vars, mask, members).
+def shapes(members: DataFrame, min_count: int = 2, group_strings: bool = False) -> DataFrame:
+    """Patterns of member rows, without their members: (domain, pattern, count, kinds, mask).
 
-    ``vars``: kind and values of each slot in the order of members.  Shapes
-    without a literal are never patterns; with ``group_strings`` off neither
-    are those with a slot of plain words.
+    Counts and kinds are aggregates, combined before each exchange; no task
+    ever holds the members of a pattern.
     """
-    members = masked(canonical_urls(urls, column))
-    groups = members.groupBy("host", "mask").agg(
-        F.array_sort(F.collect_set(F.struct("canonical", "segs"))).alias("rows")
-    )
-    groups = groups.where((F.size("rows") >= max(min_count, 2)) & F.exists("mask", lambda s: s != ""))
-    positions = F.filter(F.transform("mask", lambda s, i: F.when(s == "", i)), lambda i: i.isNotNull())
-    groups = groups.withColumn("at", positions)
-    values = F.transform("at", lambda i: F.transform("rows", lambda r: F.get(r["segs"], i)))
-    groups = groups.withColumn("values", values)
-    groups = groups.withColumn("vars", F.transform("values", lambda v: F.struct(kind_of_values(v).alias("kind"), v.alias("values"))))
+    key = ["host", "mask"]
+    heads = members.groupBy(*key).agg(F.count(F.lit(1)).alias("count"), F.min("canonical").alias("lead"))
+    heads = heads.where((F.col("count") >= max(min_count, 2)) & F.exists("mask", lambda s: s != ""))
+    slots = members.select(*key, F.posexplode("mask").alias("i", "literal"), "segs").where("literal = ''")
+    kind = classify.segment_kind(F.get("segs", F.col("i")))
+    kinds = slots.groupBy(*key, "i").agg(F.min(kind).alias("low"), F.max(kind).alias("high"))
+    one = F.when((F.col("low") == F.col("high")) & (F.col("low") != ""), F.col("low")).otherwise("string")
+    kinds = kinds.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", one.alias("kind")))).alias("slots"))  # as many as a path has segments
+    rows = heads.join(kinds, key)
     if not group_strings:
-        groups = groups.where(~F.exists("vars", lambda v: v["kind"] == "string"))
-    number = lambda i: F.array_position("at", i).cast("int") - 1
+        rows = rows.where(~F.exists("slots", lambda v: v["kind"] == "string"))
+    at = F.transform("slots", lambda v: v["i"])
+    number = lambda i: F.array_position(at, i).cast("int") - 1
     shown = F.transform(
         "mask",
         lambda s, i: F.when(s != "", s).otherwise(
-            F.concat(F.lit("{"), slot_name(number(i), F.size("at")), F.lit(": "), F.get("vars", number(i))["kind"], F.lit("}"))
+            F.concat(F.lit("{"), slot_name(number(i), F.size("slots")), F.lit(": "), F.get("slots", number(i))["kind"], F.lit("}"))
         ),
     )
-    root = F.concat(url.scheme(F.get("rows", F.lit(0))["canonical"]), F.lit("://"), F.col("host"))
-    return groups.select(
+    root = F.concat(url.scheme(F.col("lead")), F.lit("://"), F.col("host"))
+    return rows.select(
         F.col("host").alias("domain"),
         F.concat(root, F.lit("/"), F.array_join(shown, "/")).alias("pattern"),
-        F.size("rows").alias("count"),
-        "vars",
+        F.col("count").cast("int").alias("count"),
+        F.transform("slots", lambda v: v["kind"]).alias("kinds"),
+        "mask",
+    )
+
+
+def pattern_members(urls: DataFrame, min_count: int = 2, group_strings: bool = False, column: str = "url") -> DataFrame:
+    """(domain, pattern, canonical): a row for each member of each pattern."""
+    rows = written(masked(canonical_urls(urls, column)), "shapes")  # read several times
+    found = shapes(rows, min_count, group_strings).select(F.col("domain").alias("host"), "mask", "pattern")
+    return rows.join(found, ["host", "mask"]).select(F.col("host").alias("domain"), "pattern", "canonical")
+
+
+def find_patterns(urls: DataFrame, min_count: int = 2, group_strings: bool = False, column: str = "url") -> DataFrame:
+    """Fold URLs into patterns: (domain, pattern, count, vars, mask, members).
+
+    ``vars``: kind and values of each slot in the order of members.  Shapes
+    without a literal are never patterns; with ``group_strings`` off neither
+    are those with a slot of plain words.  Members are listed in the row, for
+    captures and reports; :func:`shapes` and :func:`pattern_members` are the
+    forms for patterns of any size.
+    """
+    rows = written(masked(canonical_urls(urls, column)), "shapes")  # read several times
+    found = shapes(rows, min_count, group_strings)
+    listed = rows.join(found.select(F.col("domain").alias("host"), "mask"), ["host", "mask"], "left_semi")
+    listed = listed.groupBy("host", "mask").agg(F.array_sort(F.collect_list(F.struct("canonical", "segs"))).alias("rows"))
+    both = found.join(listed.withColumnRenamed("host", "domain"), ["domain", "mask"])
+    at = F.filter(F.transform("mask", lambda s, i: F.when(s == "", i)), lambda i: i.isNotNull())
+    values = F.transform(at, lambda i: F.transform("rows", lambda r: F.get(r["segs"], i)))
+    return both.select(
+        "domain",
+        "pattern",
+        "count",
+        F.zip_with("kinds", values, lambda k, v: F.struct(k.alias("kind"), v.alias("values"))).alias("vars"),
         "mask",
         F.transform("rows", lambda r: r["canonical"]).alias("members"),
     )
@@ -145,8 +177,12 @@ def link_patterns(links: DataFrame, **how) -> DataFrame:
 
 
 def without_members(links: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Links that no pattern absorbed: a left anti join on the canonical URL."""
-    members = patterns.select(F.explode("members").alias("canonical")).distinct()
+    """Links that no pattern absorbed: a left anti join on the canonical URL.
+
+    ``patterns`` lists members in its rows or is the table of member rows.
+    """
+    rows = patterns if "canonical" in patterns.columns else patterns.select(F.explode("members").alias("canonical"))
+    members = rows.select("canonical").distinct()
     keyed = links.withColumn("canonical", url.canonical(link_key()))
     return keyed.join(members, "canonical", "left_anti").drop("canonical")
 
@@ -160,7 +196,8 @@ def matching_patterns(urls: DataFrame, patterns: DataFrame) -> DataFrame:
     u = urls.select("url", url.canonical(F.col("url")).alias("c")).where("c is not null")
     u = u.select("url", url.host(F.col("c")).alias("domain"), url.segments(F.col("c")).alias("segs")).where("segs is not null")
     u = u.withColumn("n", F.size("segs"))
-    p = patterns.select("domain", "pattern", "mask", "count", F.size("vars").alias("vars"), F.size("mask").alias("n"))
+    slots = F.size(F.filter("mask", lambda m: m == ""))
+    p = patterns.select("domain", "pattern", "mask", "count", slots.alias("vars"), F.size("mask").alias("n"))
     fits = F.forall(F.zip_with("mask", "segs", lambda m, s: (m == "") | (m == s)), lambda x: x)
     both = u.join(p, ["domain", "n"]).where(fits)
     trailing = F.coalesce(

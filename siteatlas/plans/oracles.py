@@ -156,6 +156,12 @@ ORACLES: dict[str, str] = {
         bool_and(regexp_matches(value, '^[0-9]+$')) AS ints, bool_and(value IN ('0', '1')) AS bools FROM w GROUP BY path, name)
       SELECT path, 'query' AS section, name, CASE WHEN bools THEN 'bool' WHEN ints THEN 'uint' WHEN n = 1 THEN 'str' WHEN n <= 8 THEN 'enum' ELSE 'str' END AS kind,
       vals AS values, n = 1 AS constant, CASE WHEN n = 1 THEN one ELSE '' END AS const_val, false AS inferred FROM x""",
+    "contract_kinds": f"""WITH {GET_PATH}, v AS (SELECT path, unnest(string_split(query, '&')) AS p FROM o WHERE query <> ''),
+      w AS (SELECT DISTINCT path, split_part(p, '=', 1) AS name, substr(p, strpos(p, '=') + 1) AS value FROM v),
+      x AS (SELECT path, name, count(*) AS n, min(value) AS one, bool_and(regexp_matches(value, '^[0-9]+$')) AS ints,
+        bool_and(value IN ('0', '1')) AS bools FROM w GROUP BY path, name)
+      SELECT path, name, CASE WHEN bools THEN 'bool' WHEN ints THEN 'uint' WHEN n = 1 THEN 'str' WHEN n <= 8 THEN 'enum' ELSE 'str' END AS kind,
+      n AS n_values, CASE WHEN n = 1 THEN one ELSE '' END AS const_val, false AS inferred FROM x""",
     "source_edges": f"WITH {RESOLVED} SELECT DISTINCT source_url AS from_key, resolved AS to_key FROM r",
     "page_parents": f"""WITH {RESOLVED} SELECT resolved AS to_key, count(DISTINCT source_url) AS n, min(source_url) AS first_parent
       FROM r GROUP BY resolved""",
@@ -219,6 +225,10 @@ ORACLES |= {
       'id(' || pat.kind || '): ' || CASE WHEN r.n >= 2 AND r.high - r.low + 1 = r.n
         THEN CAST(r.low AS VARCHAR) || '..' || CAST(r.high AS VARCHAR) ELSE r.listed END AS slots
       FROM pat JOIN r ON pat.domain = r.host AND pat.m1 = r.m1 AND pat.m2 = r.m2 WHERE pat.kind = 'int'""",
+    "pattern_shapes": f"""WITH {SHAPES} SELECT domain, pattern, CAST(n AS INTEGER) AS count, kind AS kinds, m1 || '|' || m2 AS mask
+      FROM pat WHERE kind <> 'string'""",
+    "pattern_members": f"""WITH {SHAPES} SELECT domain, pattern, unnest(string_split(members, '|')) AS canonical FROM pat
+      WHERE kind <> 'string'""",
     "pattern_kinds": f"""WITH {SHAPES} SELECT domain, pattern, 'web-page' AS category, 'absolute' AS link_type, 'normal' AS class,
       'js' AS asset FROM pat WHERE kind <> 'string'""",
     "event_bodies": """SELECT 'https://api.example/v1/' || event_type AS path, 'json' AS body_kind, 'k' AS name,

@@ -202,14 +202,28 @@ def pattern_kinds(spark, sf_dir):
     return patterns.pattern_kinds(url_patterns(spark, sf_dir), url_links(spark, sf_dir))
 
 
+@query
+def pattern_shapes(spark, sf_dir):
+    rows = patterns.masked(patterns.canonical_urls(table(spark, sf_dir, "pages")))
+    return joined(patterns.shapes(rows), "kinds", "mask")
+
+
+@query
+def pattern_members(spark, sf_dir):
+    return patterns.pattern_members(table(spark, sf_dir, "pages"))
+
+
 @query
 def without_pattern_members(spark, sf_dir):
-    return patterns.without_members(url_links(spark, sf_dir), url_patterns(spark, sf_dir)).select("href", "category")
+    members = patterns.pattern_members(table(spark, sf_dir, "pages"))
+    return patterns.without_members(url_links(spark, sf_dir), members).select("href", "category")
 
 
 @query
 def best_patterns(spark, sf_dir):
-    return patterns.best_pattern(table(spark, sf_dir, "pages").select("url"), url_patterns(spark, sf_dir, group_strings=True))
+    pages = table(spark, sf_dir, "pages")
+    found = patterns.shapes(patterns.masked(patterns.canonical_urls(pages)), group_strings=True)
+    return patterns.best_pattern(pages.select("url"), found)
 
 
 def page_observations(spark, sf_dir) -> DataFrame:
@@ -227,6 +241,14 @@ def contract_fields(spark, sf_dir):
     return joined(f, "values").select("path", "section", "name", "kind", "values", "constant", "const_val", "inferred")
 
 
+@query
+def contract_kinds(spark, sf_dir):
+    obs = page_observations(spark, sf_dir).withColumn("path", contracts.contract_path(F.col("url"))).where("path is not null")
+    obs = obs.withColumn("shape", F.lit(None).cast("struct<kind: string, mime: string, sample: string, methods: array<string>, fields: array<struct<name: string, value: string>>>"))
+    k = contracts.field_kinds(contracts.field_values(contracts.field_rows(obs)))
+    return k.select("path", "name", "kind", "n_values", "const_val", "inferred")
+
+
 @query
 def pattern_contracts(spark, sf_dir):
     obs = contracts.on_patterns(page_observations(spark, sf_dir), url_patterns(spark, sf_dir), url_links(spark, sf_dir))
