@@ -1,13 +1,14 @@
-"""Helpers shared by the operators: normalisation columns, tables in the shared folder, batches."""
+"""Helpers shared by the operators: normalisation columns, batches, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from siteatlas.sources.tables import written
+
+__all__ = ["ascii_lower", "bounded_batches", "text_or_empty", "utf8", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -24,34 +25,6 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset and the master is local (tests), a temporary folder
-    serves; elsewhere its absence is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = tempfile.mkdtemp(prefix="siteatlas-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder; cuts the lineage.
-
-    A lost executor costs the unfinished tasks only, since the table is outside
-    the executors' own disks.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/siteatlas/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Keep the Arrow batches that reach Python workers small, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

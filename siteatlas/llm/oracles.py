@@ -29,19 +29,6 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-OP8 = """
-WITH d AS (
-  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
-    row_number() OVER (ORDER BY doc_id) - 1 AS i,
-    sum(strlen(coalesce(text, '')) + 1) OVER (ORDER BY doc_id) AS upto,
-    sum(strlen(coalesce(text, '')) + 1) OVER () AS total
-  FROM documents),
-s AS (SELECT *, CAST((8 * (2 * (upto - size) + size)) // (2 * total) AS INTEGER) AS shard FROM d)
-SELECT doc_id, CAST(shard AS INTEGER) AS shard, size, i - min(i) OVER (PARTITION BY shard) AS slot,
-  'bytes' AS law, CAST(NULL AS INTEGER) AS grown_shard
-FROM s
-"""
-
 WORDS2 = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 OP2 = f"""
