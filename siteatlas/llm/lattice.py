@@ -112,6 +112,19 @@ class DoubleArray:
         self.longest = max(map(len, ordered), default=0)
 
 
+def in_groups(chunks: list[bytes], size: int = 1 << 18):
+    """The chunks in groups of about so many bytes: a lattice takes a few hundred bytes of memory for each byte."""
+    group, taken = [], 0
+    for c in chunks:
+        group.append(c)
+        taken += len(c)
+        if taken >= size:
+            yield group
+            group, taken = [], 0
+    if group:
+        yield group
+
+
 class Lattices:
     """The edges of the segmentation lattices of many chunks, laid end to end in one buffer."""
 

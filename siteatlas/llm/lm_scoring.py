@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteatlas.llm.common import bounded_batches, utf8, written
-from siteatlas.llm.lattice import Lattices, Vocabulary, load_sentencepiece
+from siteatlas.llm.lattice import Lattices, Vocabulary, in_groups, load_sentencepiece
 from siteatlas.llm.sentencepiece_codec import DEFAULT_MODEL
 
 #: A block closes at so many (word, text) pairs or texts; a text's number and a count share 32 bits.
@@ -38,8 +38,6 @@ BLOCK_PAIRS, BLOCK_TEXTS, COUNT_MAX = 4_000_000, 1 << 15, (1 << 16) - 1
 CLASSES = 5
 #: Share of the freed mass for the end of a text; the rest is for words.
 END_SHARE = 1e-3
-#: Words are passed over in groups of so many bytes.
-GROUP_BYTES = 1 << 20
 #: Weight of the scores before against the expected counts.
 SMOOTHING = 1e-3
 
@@ -148,17 +146,10 @@ def postings(docs: DataFrame, class_col: str) -> DataFrame:
     )
 
 
-def grouped(words: list[bytes]):
-    """The words, after a whitespace marker, in groups of bounded size."""
-    group, size = [], 0
-    for w in words:
-        group.append(b" " + w)
-        size += len(w) + 1
-        if size >= GROUP_BYTES:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def lattice_groups(vocabulary: Vocabulary, words: list[bytes]):
+    """The lattices of the words, each after a whitespace marker, in groups of bounded size."""
+    for group in in_groups([b" " + w for w in words]):
+        yield Lattices(vocabulary, group)
 
 
 def edge_scores(lattices: Lattices, weights: np.ndarray) -> np.ndarray:
@@ -197,13 +188,12 @@ def expected_counts(words: DataFrame, shared, weights: np.ndarray) -> np.ndarray
         v = shared.value
         total = np.zeros(v.size + 2)
         for batch in batches:
-            for group in grouped([w for w in batch.column("word").to_pylist() if w]):
-                lattices = Lattices(v, group)
+            for lattices in lattice_groups(v, [w for w in batch.column("word").to_pylist() if w]):
                 share = lattices.posterior(edge_scores(lattices, weights))
                 bare = lattices.ids < 0
                 total[: v.size] += np.bincount(lattices.ids[~bare], share[~bare], v.size)
                 total[v.size] += (share * lattices.span)[bare].sum()
-                total[v.size + 1] += len(group)
+                total[v.size + 1] += len(lattices.chunks)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["piece", "n"])
 
@@ -255,7 +245,7 @@ def lm_scores(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 1, clas
         vocabulary, end = shared.value, weights[size + 1]
         for batch in batches:
             found = batch.column("word").to_pylist()
-            groups = (Lattices(vocabulary, g) for g in grouped(found))
+            groups = lattice_groups(vocabulary, found)
             lat = np.concatenate([np.empty(0), *(g.marginal(edge_scores(g, weights)) for g in groups)])
             is_end = np.fromiter((not w for w in found), bool, len(found))
             log_p = np.where(is_end, np.log(END_SHARE), lat + end + np.log1p(-END_SHARE))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteatlas.llm.common import bounded_batches, utf8
-from siteatlas.llm.lattice import Lattices, Vocabulary, load_sentencepiece
+from siteatlas.llm.lattice import Lattices, Vocabulary, in_groups, load_sentencepiece
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE = 300_000
@@ -40,9 +40,10 @@ class Encoder:
         self.counts = np.empty(0, np.int64)
 
     def learn(self, new: list[bytes]) -> None:
-        flat, counts = Lattices(self.vocabulary, new).best()
+        found = [Lattices(self.vocabulary, g).best() for g in in_groups(new)]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.ids, self.counts = np.concatenate([self.ids, flat]), np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        self.counts = np.concatenate([self.counts, *(counts for _, counts in found)])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and how many each has."""
