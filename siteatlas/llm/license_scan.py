@@ -5,7 +5,7 @@ is cut into windows of ``2c`` shingles, each overlapping the next by half, so
 an occurrence of ``c`` shingles lies in a window whole.  Such a window has a
 Jaccard similarity of 0.36 or more with a template of which it contains 0.8,
 and ``BANDS`` bands of one minimum each then meet with probability
-1 - (1 - 0.36)^16 = 0.9992 or more.  All of it is DataFrame functions.
+1 - (1 - 0.36)^32 = 0.9999994 or more.  All of it is DataFrame functions.
 
 Only texts and windows with a shingle of some template can contain 0.8 of one,
 so minima are taken for these alone; that test loses nothing.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siteatlas.llm.common import ascii_lower, text_or_empty
 
-SHINGLE, BANDS = 5, 16
+SHINGLE, BANDS = 5, 32
 
 # Names, and the notices that files carry.
 TEMPLATES: list[tuple[str, str]] = [

@@ -33,6 +33,16 @@ def test_paragraphs_cut_alike_in_any_context():
     assert found >= 196
 
 
+def test_paragraphs_do_not_depend_on_the_batch():
+    texts = [(t or "").encode() for _, t in documents()]
+    every = Paragraphs(texts)
+    h, g = every.hashes()
+    for i, t in enumerate(texts):
+        alone = Paragraphs([t])
+        assert [x.tolist() for x in alone.hashes()] == [h[every.text == i].tolist(), g[every.text == i].tolist()]
+        assert alone.first.tolist() == every.first[every.text == i].tolist()
+
+
 def test_repeats_are_found_and_clean_documents_left_alone(spark):
     rng = random.Random(11)
     passage = prose(rng, 64, "p")
@@ -94,3 +104,80 @@ def test_licenses_in_awkward_documents(spark):
     assert license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
     short = license_scan(frame(spark, [(1, "two, words"), (2, "two words more")]), [("s", "Two words!"), ("none", "...")])
     assert [(r.doc_id, r.license_id) for r in short.collect()] == [(1, "s")]
+
+
+def license_words(text):
+    import re
+
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+
+
+def license_shingles(text):
+    w = license_words(text)
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
+
+
+def test_licenses_match_windows_read_one_by_one(spark):
+    rng = random.Random(21)
+    templates = [(n, t) for n, t in TEMPLATES]
+    rows = []
+    for i in range(60):
+        words = rng.choice(templates)[1].split()
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(len(words))] = "odd"
+        words = words[: rng.randrange(len(words) // 2, len(words) + 1)]
+        rows.append((i, " ".join(prose(rng, rng.randrange(0, 60), "w") + words + prose(rng, rng.randrange(0, 60), "v"))))
+    expected = {}
+    sets = [(n, set(license_shingles(t))) for n, t in templates]
+    for i, text in rows:
+        s = license_shingles(text)
+        for name, t in sets:
+            c = 1 << (len(t) - 1).bit_length()
+            shares = [(len(t & set(s[k : k + 2 * c])) / len(t), k) for k in range(0, max(len(s), 1), c)]
+            good = [(x, k) for x, k in shares if x >= 0.8]
+            if good:
+                expected[i, name] = (max(x for x, _ in good), len(good), min(k for _, k in good))
+    found = {(r.doc_id, r.license_id): (r.containment, r.n_windows, r.first_word) for r in license_scan(frame(spark, rows)).collect()}
+    assert found == expected and len(expected) > 10
+
+
+def test_repeats_match_all_pairs(spark):
+    rows = [(i, t) for i, t in documents(5) if i is not None]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    rng = random.Random(6)
+    base = prose(rng, 40, "n")
+    for k in range(12):
+        w = list(base)
+        w[rng.randrange(40)] = f"edit{k}"
+        rows.append((2000 + k, " ".join(w)))
+    units = []
+    for i, t in rows:
+        p = Paragraphs([(t or "").encode()])
+        words = (t or "").encode().lower().split()
+        for number, first, n in zip(p.number.tolist(), p.first.tolist(), p.length.tolist(), strict=True):
+            units.append((i, number, tuple(words[first : first + n])))
+    classes = sorted({u[2] for u in units})
+    shingles = {c: {c[k : k + 5] for k in range(len(c) - 4)} for c in classes}
+    root = {c: c for c in classes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(classes):
+        for b in classes[:k]:
+            common = len(shingles[a] & shingles[b])
+            if common >= 0.8 * (len(shingles[a]) + len(shingles[b]) - common):
+                root[find(a)] = find(b)
+    groups = {}
+    for i, number, c in units:
+        groups.setdefault(find(c), []).append((i, number))
+    repeated, removed = {}, {}
+    for members in groups.values():
+        if len({i for i, _ in members}) > 1:
+            for m in members:
+                repeated[m[0]] = repeated.get(m[0], 0) + 1
+                removed[m[0]] = removed.get(m[0], 0) + (m != min(members))
+    for r in substring_dedup(frame(spark, rows)).collect():
+        assert (r.n_repeated, r.n_removed) == (repeated.get(r.doc_id, 0), removed.get(r.doc_id, 0)), r.doc_id
