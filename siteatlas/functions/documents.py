@@ -73,11 +73,10 @@ def kind_by_magic(body: Column) -> Column:
 
 def is_textual(body: Column) -> Column:
     """No NUL, and at least 90 of 100 of the first 4 096 bytes printable; bytes beyond ASCII count as such."""
-    digits = F.hex(F.substring(body, 1, 4096))
-    codes = F.regexp_replace(digits, "(..)", "$1 ")
-    control = F.size(F.regexp_extract_all(codes, F.lit("(?:0[0-8BCEF]|1[0-9A-F]|7F) "), F.lit(0)))
-    n = F.octet_length(F.substring(body, 1, 4096))
-    return (n > 0) & ~codes.contains("00 ") & (F.floor((n - control) * 100 / n) >= 90)
+    head = F.decode(F.substring(body, 1, 4096), "ISO-8859-1")  # one character for each byte
+    n = F.char_length(head)
+    control = n - F.char_length(F.regexp_replace(head, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]+", ""))
+    return (n > 0) & ~head.rlike(r"\x00") & (F.floor((n - control) * 100 / n) >= 90)
 
 
 def kinds(body: Column, u: Column, content_type: Column) -> Column:
@@ -86,7 +85,7 @@ def kinds(body: Column, u: Column, content_type: Column) -> Column:
     named = [F.when(html, "").otherwise(k) for k in (kind_by_extension(u), kind_by_media_type(content_type))]
     text = F.when(~html & is_textual(body), "text").otherwise("")
     found = F.array(*named, kind_by_magic(body), text)
-    return F.filter(F.array(*map(F.lit, KIND_ORDER)), lambda k: F.array_contains(found, k))
+    return F.array_intersect(F.array(*map(F.lit, KIND_ORDER)), found)  # in the order of the first
 
 
 def is_document_url(u: Column) -> Column:
