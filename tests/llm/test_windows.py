@@ -181,3 +181,18 @@ def test_repeats_match_all_pairs(spark):
                 removed[m[0]] = removed.get(m[0], 0) + (m != min(members))
     for r in substring_dedup(frame(spark, rows)).collect():
         assert (r.n_repeated, r.n_removed) == (repeated.get(r.doc_id, 0), removed.get(r.doc_id, 0)), r.doc_id
+
+
+def test_late_members_of_large_buckets_are_compared(spark):
+    rng, rows, k = random.Random(12), [], 0
+    phrase = prose(rng, 12, "p")
+    while len(rows) < 160:  # texts of one paragraph each, whose minima are nearly all in the common phrase
+        k += 1
+        if k % 20 == 0 and not rows:
+            phrase = prose(rng, 12, "p")
+        two = [" ".join([*phrase, f"u{k}", f"v{k}", f"{x}{k}"]) for x in "wx"]
+        if Paragraphs([t.encode() for t in two]).length.tolist() == [15, 15]:
+            rows += [(len(rows) + j, t) for j, t in enumerate(two)]
+    found = {r.doc_id: r for r in substring_dedup(frame(spark, rows)).collect()}
+    assert all(found[i].n_repeated == 1 and list(found[i].class_docs) == [i - i % 2] for i in range(160))
+    assert sum(r.n_removed for r in found.values()) == 80
