@@ -196,3 +196,17 @@ def test_late_members_of_large_buckets_are_compared(spark):
     found = {r.doc_id: r for r in substring_dedup(frame(spark, rows)).collect()}
     assert all(found[i].n_repeated == 1 and list(found[i].class_docs) == [i - i % 2] for i in range(160))
     assert sum(r.n_removed for r in found.values()) == 80
+
+
+def test_a_passage_in_short_lines_is_found(spark):
+    rng = random.Random(31)
+    passage = prose(rng, 56, "p")
+    lines = "\n".join(" ".join(passage[k : k + 7]) for k in range(0, 56, 7))
+    rows = [(i, f"{' '.join(prose(rng, 5, 'a'))}\n{lines}\n{' '.join(prose(rng, 6, 'b'))}") for i in range(6)]
+    rows.append((9, "\n".join(" ".join(prose(rng, 7, "c")) for _ in range(8))))
+    found = {r.doc_id: r for r in substring_dedup(frame(spark, rows)).collect()}
+    assert all(found[i].removed_words >= 16 and list(found[i].kept_in) == [0] for i in range(1, 6))
+    assert found[0].n_removed == 0 and found[9].n_repeated == 0
+    for text, p in [(t, Paragraphs([t.encode()])) for _, t in rows]:
+        covered = {k for a, n in zip(p.first.tolist(), p.length.tolist(), strict=True) for k in range(a, a + n)}
+        assert covered == set(range(len(text.split())))
