@@ -210,3 +210,27 @@ def test_a_passage_in_short_lines_is_found(spark):
     for text, p in [(t, Paragraphs([t.encode()])) for _, t in rows]:
         covered = {k for a, n in zip(p.first.tolist(), p.length.tolist(), strict=True) for k in range(a, a + n)}
         assert covered == set(range(len(text.split())))
+
+
+def test_lines_are_compared_as_a_brute_force_of_its_own_splits_them(spark):
+    rng = random.Random(41)
+    rows, pairs = [], []
+    for k, n in enumerate([8, 9, 12, 15, 20, 30, 50] * 4):
+        line = prose(rng, n, f"l{k}_")
+        other = list(line)
+        if n == 50:
+            other[24] = "changed"
+        elif n == 15:
+            other[-1] = "changed"
+        sides = [[" ".join(prose(rng, rng.randrange(5, 30), "z")) for _ in range(2)] for _ in range(2)]
+        for w, (before, after) in zip((line, other), sides, strict=True):
+            rows.append((len(rows), f"{before}\n{' '.join(w)}\n{after}"))
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (line, other))
+        assert len(x & y) >= 0.8 * len(x | y)
+        pairs.append((len(rows) - 2, len(rows) - 1))
+    found = {r.doc_id: r for r in substring_dedup(frame(spark, rows)).collect()}
+    for a, b in pairs:
+        before, line, _ = (x.split() for x in rows[b][1].split("\n"))
+        gone = {k for s in found[b].spans for k in range(s["first"], s["first"] + s["length"])}
+        assert found[a].n_removed == 0 and set(range(len(before), len(before) + len(line))) <= gone, (a, len(line))
+        assert found[b].removed_words == len(gone)
