@@ -154,7 +154,15 @@ def contamination_report(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that have a benchmark window; columns as given."""
-    id_col = how.get("id_col", "doc_id")
-    bad = find_contamination(docs, benchmark, **how).where(F.size("spans") > 0).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    """``docs`` without the rows that have a benchmark window; columns as given.
+
+    Rows are told apart by id and text, so a clean row stays although another
+    shares its id or has none either.
+    """
+    names = {"id_col": "doc_id", "text_col": "text"} | how
+    id_col, text = names["id_col"], F.coalesce(F.col(names["text_col"]), F.lit(""))
+    keyed = docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")))
+    found = find_contamination(keyed, benchmark, **names | {"id_col": "__row"})
+    bad = found.where(F.size("spans") > 0).select(F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__hash"))
+    same = keyed[id_col].eqNullSafe(bad["__id"]) & (keyed["__row.hash"] == bad["__hash"])
+    return keyed.join(bad, same, "left_anti").drop("__row")

@@ -67,17 +67,20 @@ def fingerprints_of(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: list[str] = []) -> DataFrame:
+    """(doc_id, fp) and the long columns ``also`` for every row."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             fp = pa.array(fingerprints_of(utf8(batch, "text")), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), fp, *(batch.column(c) for c in also)], ["doc_id", "fp", *also]
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *also)
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}, fp long", *(f"{c} long" for c in also)]))
 
 
 def signed(x: int) -> int:
@@ -139,22 +142,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result.  Texts are read whole.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    return rows.join(components(rows), "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def components(rows: DataFrame) -> DataFrame:
+    """(fp, group, component_id) of the fingerprints of ``rows`` (doc_id, fp); linked ones have one group."""
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     partners = written(active(nodes.select("fp")), "active")
     labels = connected_components(links(partners)).select(F.col("node").alias("fp"), "label")
     linked = written(labels.join(nodes, "fp"), "labels")
     groups = linked.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    members = linked.join(groups, "label").select("fp", "component_id")
-    named = nodes.join(members, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first_doc").alias("component_id")
-    )
-    return rows.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    members = linked.join(groups, "label").select("fp", "label", "component_id")
+    return nodes.join(members, "fp", "left").select(
+        "fp", F.coalesce("label", "fp").alias("group"), F.coalesce("component_id", "first_doc").alias("component_id")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the least id; columns as given."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col])
+    """``docs`` with one row of each component; columns as given.
+
+    The row of the least id stays, of rows with that id the one of the least
+    hash of the text; one without an id only if no row of its component has
+    one.  Rows are told apart by id and text, so rows of other components that
+    share an id, or have none, stay.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumn("__hash", F.xxhash64(text))
+    rows = written(fingerprints(keyed, id_col, text_col, ["__hash"]), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__hash").alias("hash"))).alias("least")
+    kept = (
+        rows.join(components(rows), "fp")
+        .groupBy("group")
+        .agg(least)
+        .select(F.col("least.doc_id").alias("__kept"), F.col("least.hash").alias("__kept_hash"))
+    )
+    same = keyed[id_col].eqNullSafe(kept["__kept"]) & (keyed["__hash"] == kept["__kept_hash"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash")

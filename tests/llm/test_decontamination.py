@@ -66,3 +66,13 @@ def test_empty_tables(spark):
     none, items = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(none, items).collect() == []
     assert all(not r.contaminated for r in contamination_report(find_contamination(frame(spark, documents()), items)).collect())
+
+
+def test_drop_decides_by_row_where_ids_are_null_or_repeat(spark):
+    bad, items = "a b c d e f g h i j k", [(1, "a b c d e f g h i j")]
+    rows = [(None, bad), (None, "clean"), (None, None), (7, bad), (7, "clean too"), (8, "clean")]
+    for block in (16 << 20, 10):
+        kept = drop_contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+        assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted(
+            [("None", "clean"), ("None", "None"), ("7", "clean too"), ("8", "clean")]
+        )

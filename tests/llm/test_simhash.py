@@ -87,3 +87,13 @@ def test_drop_keeps_one_of_each_component(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(none).collect() == [] and drop_near_duplicates(none).collect() == []
+
+
+def test_drop_decides_by_row_where_ids_are_null_or_repeat(spark):
+    texts = ["alpha beta gamma delta", "one two three four five", "red green blue black white grey", "sun moon star"]
+    assert not [p for p in within([fingerprint(t) for t in texts]) if p[0] != p[1]]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[0]), (7, texts[3])]
+    kept = drop_near_duplicates(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted(
+        [("8", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3])]
+    )
