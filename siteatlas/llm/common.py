@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteatlas.sources.tables import written
 
-__all__ = ["ascii_lower", "bounded_batches", "text_or_empty", "utf8", "written"]
+__all__ = ["ascii_lower", "back_to_rows", "bounded_batches", "text_or_empty", "utf8", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -36,3 +36,21 @@ def utf8(batch, name: str) -> list[bytes]:
     import pyarrow as pa
 
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+#: A group of more than this share of all rows is hot; so no more than its inverse of groups can be.
+HOT_SHARE = 1 / 2000
+
+
+def back_to_rows(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with the groups they are in; both are written tables, ``size`` counts a group's rows.
+
+    Hot groups, 2000 at most whatever the input, are broadcast, so the rows of
+    one stay where they are instead of meeting in one task.  The rest goes by
+    an exchange of the keys.
+    """
+    hot = F.col(size) > rows.count() * HOT_SHARE
+    few = groups.where(hot)
+    stay = rows.join(F.broadcast(few), keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(groups.where(~hot), keys)
+    return stay.unionByName(rest)
