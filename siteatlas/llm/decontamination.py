@@ -1,9 +1,10 @@
 """Benchmark decontamination: which words of a document lie in a window of a benchmark text.
 
 The windows of the benchmark are searched for with Wu-Manber, in one pass over
-the documents for each ``block_bytes`` of benchmark text.  What is broadcast is
-the tables of one block, so its size is bounded by that parameter and not by
-the benchmark.
+the documents for each ``block_bytes`` of benchmark text; all passes are one
+narrow stage.  What is broadcast is the tables of one block: a window for each
+word of it, so about ``window`` times its bytes and twice that for shifts and
+buckets.  That is bounded by the parameter and not by the benchmark.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def find_contamination(
     window: int = 10,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Words of each document that are part of a benchmark window.
 
@@ -81,9 +82,9 @@ def find_contamination(
     a window in the document, as strings in order).  A null or empty text has
     no words and no hits; a benchmark text of fewer words than the window is
     one window, one without words is none; repeated benchmark texts count
-    under each of their ids, a null id as ``""``.  If the benchmark needs more
-    than one block, rows that repeat a doc_id are taken for one document.
-    Empty tables give an empty result or no hits.
+    under each of their ids, a null id as ``""``.  Rows are never compared, so
+    repeated rows have a row each, however many blocks the benchmark needs.
+    Empty tables give an empty result or no hits.  Extra columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -91,37 +92,21 @@ def find_contamination(
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    schema = FOUND.format(id=docs.schema[id_col].dataType.simpleString())
-    passes = []
+    found = rows
     for k in range(blocks):
         block = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        found = windows([(r["item"], (r["text"] or "").encode()) for r in block.toLocalIterator()], window)
-        passes.append(rows.mapInArrow(one_pass(spark, found), schema))
-    if blocks == 1:
-        return passes[0]
-    every = passes[0]
-    for other in passes[1:]:
-        every = every.union(other)
-    return (
-        every.groupBy("doc_id")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        .select("doc_id", "n_words", F.expr(MERGE_SPANS).alias("spans"), "items")
-    )
+        patterns = windows([(r["item"], (r["text"] or "").encode()) for r in block.toLocalIterator()], window)
+        found = found.mapInArrow(one_pass(spark, patterns, last=k == blocks - 1), one_schema(found, last=k == blocks - 1))
+    return found
 
 
-#: Sorted spans to spans that neither meet nor overlap.
-MERGE_SPANS = """aggregate(s, cast(array() as array<struct<first: bigint, last: bigint>>), (a, x) ->
-  if(size(a) > 0 and x.first <= element_at(a, -1).last + 1,
-     concat(slice(a, 1, size(a) - 1), array(named_struct(
-       'first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, x.last)))),
-     concat(a, array(x))))"""
+def one_schema(rows: DataFrame, last: bool) -> str:
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return ("" if last else "text string, ") + FOUND.format(id=id_type)
 
 
-def one_pass(spark, found: dict[bytes, set[str]]):
+def one_pass(spark, found: dict[bytes, set[str]], last: bool):
+    """Search for one block; what blocks before it have found in a row is united with it, the text goes on to the next."""
     patterns = list(found)
     tables = spark.sparkContext.broadcast(
         (WuManber(patterns), [p.count(b" ") - 1 for p in patterns], [sorted(found[p]) for p in patterns])
@@ -131,11 +116,16 @@ def one_pass(spark, found: dict[bytes, set[str]]):
         span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in batches:
             n, spans, items = scan(utf8(batch, "text"), *tables.value)
+            if "spans" in batch.schema.names:
+                earlier = [[(s["first"], s["last"]) for s in x] for x in batch.column("spans").to_pylist()]
+                spans = [merged(a + b) for a, b in zip(earlier, spans, strict=True)]
+                items = [sorted({*a, *b}) for a, b in zip(batch.column("items").to_pylist(), items, strict=True)]
             ranges = [[{"first": a, "last": b} for a, b in s] for s in spans]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ranges, span), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "items"],
-            )
+            cols = {"doc_id": batch.column("doc_id"), "n_words": pa.array(n, pa.int64())}
+            cols |= {"spans": pa.array(ranges, span), "items": pa.array(items, pa.list_(pa.string()))}
+            if not last:
+                cols = {"text": batch.column("text")} | cols
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return run
 
@@ -157,7 +147,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame
     """``docs`` without the rows that have a benchmark window; columns as given.
 
     Rows are told apart by id and text, so a clean row stays although another
-    shares its id or has none either.
+    shares its id or has none either.  Null and empty texts are clean.
     """
     names = {"id_col": "doc_id", "text_col": "text"} | how
     id_col, text = names["id_col"], F.coalesce(F.col(names["text_col"]), F.lit(""))
