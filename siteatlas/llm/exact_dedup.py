@@ -1,21 +1,25 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
 Every input partition makes one run: its distinct digests in order, each with
-the identifier to keep and the number of rows.  Runs are then exchanged and
-merged in rounds, ``fan_in`` neighbours at a time (``fan_in=2`` gives the
-binomial tree), until one run is left for each slice of the digest space.  A
-merge is a grouped aggregation over (run, digest), so Spark combines the rows
-of a run before each exchange: a digest that a third of all rows share costs
-one record for each run, at every level.  Equal digests count as equal texts
-only if byte length and a second, independent hash agree as well.
+the identifier to keep and the number of rows.  A run is dealt in slices of the
+digest space, so that slice k of all runs is in one place, and slices are then
+merged in binomial rounds: in each round run 2j takes in run 2j + 1.  A merge
+is a sort by (run, digest), which brings the two sorted runs together, and an
+aggregation of neighbours in that order.  Since a slice holds one record of a
+digest for each run at most, however many rows have it, no task sees a group of
+rows whole, and the rounds need no exchange beyond the first.  Equal digests
+count as equal texts only if byte length and a second, independent hash agree
+as well; this is part of every merge.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteatlas.llm.common import ascii_lower, text_or_empty, written
+from siteatlas.llm.common import ascii_lower, back_to_rows, text_or_empty, written
 
 IDENTITY = ["text_sha256", "n_bytes", "check_hash"]
 
@@ -32,10 +36,30 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def merge_runs(runs: DataFrame, fan_in: int, keep: str) -> DataFrame:
-    """Merge ``fan_in`` neighbouring runs each; records of equal texts become one."""
+@contextmanager
+def merging_sorted(spark: SparkSession):
+    """Aggregations over sorted rows walk along them instead of hashing."""
+    name = "spark.sql.execution.replaceHashWithSortAgg"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def sorted_runs(table: DataFrame, keep: str) -> DataFrame:
+    """(run, digest, keep_id, group_size): the run of each partition, combined before it is dealt in slices and sorted."""
     best = F.max if keep == "largest" else F.min
-    return runs.groupBy(F.floor(F.col("run") / fan_in).cast("int").alias("run"), *IDENTITY).agg(
+    runs = table.groupBy("run", *IDENTITY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return runs.repartition(*IDENTITY).sortWithinPartitions("run", *IDENTITY)
+
+
+def merge_runs(runs: DataFrame, keep: str, fan_in: int = 2) -> DataFrame:
+    """One round: ``fan_in`` neighbouring runs each become one sorted run; records of equal texts become one."""
+    best = F.max if keep == "largest" else F.min
+    together = runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).sortWithinPartitions("run", *IDENTITY)
+    return together.groupBy("run", *IDENTITY).agg(
         best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
     )
 
@@ -45,7 +69,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "largest",
-    fan_in: int = 8,
+    fan_in: int = 2,
 ) -> DataFrame:
     """Group equal texts (A-Z lower-cased) and name the row that stays.
 
@@ -57,13 +81,13 @@ def exact_dedup(
     columns of ``docs`` are ignored, whatever their names.
     """
     table = written(digests(docs, id_col, text_col), "digests")
-    best = F.max if keep == "largest" else F.min
-    runs = table.groupBy("run", *IDENTITY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    runs = sorted_runs(table, keep)
     last = table.agg(F.max("run")).first()[0] or 0
     while last > 0:
-        runs, last = merge_runs(runs, fan_in, keep), last // fan_in
-    groups = runs.drop("run")
-    return table.join(groups, IDENTITY).select(
+        runs, last = merge_runs(runs, keep, fan_in), last // fan_in
+    with merging_sorted(docs.sparkSession):
+        groups = written(runs.drop("run"), "groups")
+    return back_to_rows(table, groups, IDENTITY, "group_size").select(
         "doc_id",
         "keep_id",
         "group_size",
