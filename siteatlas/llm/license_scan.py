@@ -2,13 +2,15 @@
 
 Templates are put in size classes.  For a class of up to ``c`` shingles a text
 is cut into windows of ``2c`` shingles, each overlapping the next by half, so
-an occurrence of ``c`` shingles lies in a window whole.  Such a window has a
-Jaccard similarity of 0.36 or more with a template of which it contains 0.8,
-and ``BANDS`` bands of one minimum each then meet with probability
-1 - (1 - 0.36)^32 = 0.9999994 or more.  All of it is DataFrame functions.
+an occurrence of ``c`` shingles lies in a window whole.  A template of the
+class has more than ``c / 2`` shingles, so a window that contains 0.8 of one has
+a Jaccard similarity of 0.8 (c / 2) / (2c + 0.2 (c / 2)) = 0.19 or more with it,
+and ``BANDS`` bands of one minimum each meet with probability
+1 - (1 - 0.19)^64 = 0.999998 or more.  All of it is DataFrame functions.
 
 Only texts and windows with a shingle of some template can contain 0.8 of one,
-so minima are taken for these alone; that test loses nothing.
+so minima are taken for these alone; that test loses nothing.  Templates are
+searched for in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 
 from siteatlas.llm.common import ascii_lower, text_or_empty
 
-SHINGLE, BANDS = 5, 32
+SHINGLE, BANDS = 5, 64
+#: A block of templates has so many shingles, or one template.
+BLOCK_SHINGLES = 20_000
 
 # Names, and the notices that files carry.
 TEMPLATES: list[tuple[str, str]] = [
@@ -115,39 +119,58 @@ def license_scan(
     window), n_windows (that reach it) and first_word (where the first of
     these windows starts).  A template of fewer than five words matches texts
     of exactly these words.  Null and empty texts match nothing.  Rows that
-    repeat a doc_id are one document; null ids are one document.  Without
-    templates or texts the result is empty.  The list of templates is held by
-    the driver and is broadcast; its size is the caller's.
+    repeat a doc_id are one document; null ids are one document.  Templates of
+    one name and equal words are one.  Without templates or texts the result
+    is empty.  The list of templates is an argument, so the driver holds it;
+    what is broadcast is one block of it.
     """
     spark = docs.sparkSession
-    known = [(r["license_id"], r["s"], r["c"], r["minima"]) for r in template_table(spark, templates or TEMPLATES).collect()]
-    schema = "license_id string, ts array<long>, tc int, minima array<long>"
-    table = spark.createDataFrame(known, schema)
-    shingles = sorted({x for _, s, _, _ in known for x in s})
-    sizes = sorted({c for _, _, c, _ in known})
+    known = template_table(spark, templates or TEMPLATES).dropDuplicates(["license_id", "s"]).collect()
     if not known:
         return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
     texts = shingled(docs.select("doc_id", "text"), "doc_id")
+    found = None
+    for block in in_blocks(known):
+        hits = block_hits(spark, texts, block, containment)
+        found = hits if found is None else found.union(hits)
+    # A window meets a template in many bands.
+    windows = found.groupBy("doc_id", "license_id", "first_word").agg(F.max("share").alias("share"))
+    return windows.groupBy("doc_id", "license_id").agg(
+        F.max("share").alias("containment"), F.count(F.lit(1)).alias("n_windows"), F.min("first_word").alias("first_word")
+    )
+
+
+def in_blocks(known: list) -> list[list]:
+    """The templates in blocks of about ``BLOCK_SHINGLES`` shingles."""
+    blocks: list[list] = []
+    size = BLOCK_SHINGLES
+    for r in known:
+        if size + len(r["s"]) > BLOCK_SHINGLES:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(r)
+        size += len(r["s"])
+    return blocks
+
+
+def block_hits(spark: SparkSession, texts: DataFrame, block: list, containment: float) -> DataFrame:
+    """(doc_id, license_id, first_word, share) of windows that meet a template of the block in a band and contain enough of it."""
+    bands = [(r["license_id"], k, r["c"], b, m) for k, r in enumerate(block) for b, m in enumerate(r["minima"])]
+    bands = spark.createDataFrame(bands, "license_id string, template int, c int, band int, minimum long")
+    sets = spark.createDataFrame([(k, r["s"]) for k, r in enumerate(block)], "template int, ts array<long>")
     # Positions of template shingles.  A generator, not a filter, drops texts
     # without any: a filter would be pushed below the shingles and repeat them.
-    one_of = ", ".join(map(str, shingles))
+    one_of = ", ".join(map(str, sorted({x for r in block for x in r["s"]})))
+    sizes = ", ".join(map(str, sorted({r["c"] for r in block})))
     placed = texts.withColumn("at", F.expr(f"filter(transform(s, (x, i) -> if(x in ({one_of}), i, -1)), i -> i >= 0)"))
-    windows = placed.select("doc_id", "s", F.inline(F.expr(WINDOWS.format(sizes=", ".join(map(str, sizes))))))
+    windows = placed.select("doc_id", "s", F.inline(F.expr(WINDOWS.format(sizes=sizes))))
     cut = windows.select(
         "doc_id", "c", (F.col("n") * F.col("c")).alias("first_word"), F.expr("slice(s, cast(n * c + 1 as int), 2 * c)").alias("win")
     )
-    banded = cut.select("doc_id", "c", "first_word", F.array_distinct("win").alias("win"), F.expr(MINIMA).alias("m"))
-    # Retrieval: any band equal; the table has one row per template.
-    met = F.exists(F.arrays_zip("m", "minima"), lambda z: z["m"] == z["minima"])
-    found = banded.join(F.broadcast(table), (F.col("c") == F.col("tc")) & met)
-    share = F.size(F.array_intersect("win", "ts")) / F.size("ts")
-    return (
-        found.withColumn("share", share)
-        .where(F.col("share") >= containment)
-        .groupBy("doc_id", "license_id")
-        .agg(
-            F.max("share").alias("containment"),
-            F.count(F.lit(1)).alias("n_windows"),
-            F.min("first_word").alias("first_word"),
-        )
+    banded = cut.select("doc_id", "c", "first_word", F.array_distinct("win").alias("win")).select(
+        "doc_id", "c", "first_word", "win", F.posexplode(F.expr(MINIMA)).alias("band", "minimum")
     )
+    # Retrieval is by a band: the size class, its number and its minimum.
+    met = banded.join(F.broadcast(bands), ["c", "band", "minimum"]).join(F.broadcast(sets), "template")
+    share = F.size(F.array_intersect("win", "ts")) / F.size("ts")
+    return met.select("doc_id", "license_id", "first_word", share.alias("share")).where(F.col("share") >= containment)
