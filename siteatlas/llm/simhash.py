@@ -7,8 +7,8 @@ number of set bits, and that one also flips two bits.  Of three differing bits
 two lie in the same half of the word, so only pairs of flips within a half are
 needed.  In a bucket of equal variants every member is within 3 of a member
 that flipped at most one bit, so linking all to the least such member loses no
-link between components and never makes pairs within a group; the distances
-hold by construction.
+link between components and never makes pairs within a group.  The bits that
+the fingerprints of a pair differ in are counted before it links.
 
 Two-flip variants are many (992), so they are made only for fingerprints that
 can have a partner at all.  A first exchange finds these: with one of three
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteatlas.llm.common import bounded_batches, utf8, written
+from siteatlas.llm.common import back_to_rows, bounded_batches, utf8, written
 from siteatlas.llm.components import connected_components
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
@@ -128,7 +128,8 @@ def links(fps: DataFrame) -> DataFrame:
         )
     )
     centre = F.min("centre").over(Window.partitionBy("key"))
-    return rows.select(F.col("fp").alias("a"), centre.alias("b")).where("b is not null and a <> b").distinct()
+    pairs = rows.select(F.col("fp").alias("a"), centre.alias("b")).where("b is not null and a <> b")
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,21 +143,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result.  Texts are read whole.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    return rows.join(components(rows), "fp").select(
+    return back_to_rows(rows, written(components(rows), "components"), ["fp"], "copies").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def components(rows: DataFrame) -> DataFrame:
-    """(fp, group, component_id) of the fingerprints of ``rows`` (doc_id, fp); linked ones have one group."""
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
+    """(fp, copies, group, component_id) of the fingerprints of ``rows`` (doc_id, fp); linked ones have one group."""
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(nodes, "nodes")
     partners = written(active(nodes.select("fp")), "active")
     labels = connected_components(links(partners)).select(F.col("node").alias("fp"), "label")
-    linked = written(labels.join(nodes, "fp"), "labels")
+    linked = written(labels.join(nodes.drop("copies"), "fp"), "labels")
     groups = linked.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     members = linked.join(groups, "label").select("fp", "label", "component_id")
     return nodes.join(members, "fp", "left").select(
-        "fp", F.coalesce("label", "fp").alias("group"), F.coalesce("component_id", "first_doc").alias("component_id")
+        "fp", "copies", F.coalesce("label", "fp").alias("group"), F.coalesce("component_id", "first_doc").alias("component_id")
     )
 
 
@@ -173,7 +175,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = written(fingerprints(keyed, id_col, text_col, ["__hash"]), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__hash").alias("hash"))).alias("least")
     kept = (
-        rows.join(components(rows), "fp")
+        back_to_rows(rows, written(components(rows), "components"), ["fp"], "copies")
         .groupBy("group")
         .agg(least)
         .select(F.col("least.doc_id").alias("__kept"), F.col("least.hash").alias("__kept_hash"))
