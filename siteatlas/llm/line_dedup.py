@@ -1,6 +1,6 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table of line keys in order, each with the number of documents that
+A run is a table of line keys in order, in buckets by key, each with the number of documents that
 hold it and, where this run saw the key first, the largest id among them.  A
 batch of documents is merge-anti-joined with the runs: keys that no run has
 are fresh and bring their owner, the others only add to the count.  Both make
@@ -11,12 +11,15 @@ descending order of doc_id, which makes the first document seen the owner.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from siteatlas.llm.common import ascii_lower, text_or_empty, written
+from siteatlas.llm.common import ascii_lower, back_to_rows, text_or_empty, written
+from siteatlas.sources.tables import shared_root
 
 BLANKS = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -40,6 +43,17 @@ def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
+def bucketed(run: DataFrame) -> DataFrame:
+    """A run as a table in the shared folder, in buckets of its key, each sorted: joins on the key need no exchange of it."""
+    spark = run.sparkSession
+    name = f"line_run_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_root(spark)}/siteatlas/{name}"
+    table = run.repartition(buckets, *KEY).write.bucketBy(buckets, *KEY).sortBy(*KEY)
+    table.option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 @dataclass
 class LineRuns:
     """The runs of all batches so far, by level."""
@@ -47,13 +61,6 @@ class LineRuns:
     fan: int = 2
     levels: list[list[DataFrame]] = field(default_factory=list)
 
-    def seen(self) -> DataFrame | None:
-        runs = [r.select(*KEY) for level in self.levels for r in level]
-        every = None
-        for r in runs:
-            every = r if every is None else every.union(r)
-        return every
-
     def add(self, batch: DataFrame) -> DataFrame:
         """Add the lines (doc_id, h1, h2) of a batch; returns its own run, where fresh keys have an owner.
 
@@ -63,13 +70,13 @@ class LineRuns:
         own = batch.select("doc_id", *KEY).distinct().groupBy(*KEY).agg(
             F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("owner")
         )
-        seen = self.seen()
-        if seen is not None:
-            known = seen.distinct().withColumn("known", F.lit(True)).hint("merge")
+        # Merge-anti-joins with each run: a key found in one is not fresh.
+        for k, run in enumerate(r for level in self.levels for r in level):
+            known = run.select(*KEY, F.lit(True).alias(f"known{k}")).hint("merge")
             own = own.join(known, KEY, "left").select(
-                *KEY, "n_docs", F.when(F.col("known").isNull(), F.col("owner")).alias("owner")
+                *KEY, "n_docs", F.when(F.col(f"known{k}").isNull(), F.col("owner")).alias("owner")
             )
-        run = written(own.sortWithinPartitions(*KEY), "run")
+        run = bucketed(own)
         self._put(run, 0)
         return run
 
@@ -78,16 +85,19 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan:
-            merged = written(self._merge(self.levels[level]).sortWithinPartitions(*KEY), "run")
+            merged = bucketed(self._merge(self.levels[level]))
             self.levels[level] = []
             self._put(merged, level + 1)
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
+        """Sorted runs walk along each other: counts of equal keys add up, and one of them brings the owner."""
         every = runs[0]
         for r in runs[1:]:
-            every = every.union(r)
-        return every.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("owner").alias("owner"))
+            other = r.select(*KEY, F.col("n_docs").alias("more"), F.col("owner").alias("other")).hint("merge")
+            docs = F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+            every = every.join(other, KEY, "full_outer").select(*KEY, docs.alias("n_docs"), F.greatest("owner", "other").alias("owner"))
+        return every
 
     def keys(self) -> DataFrame | None:
         """(h1, h2, n_docs, owner) of every key of all batches."""
@@ -96,13 +106,17 @@ class LineRuns:
 
 
 def batches_of(lines: DataFrame, batches: int) -> DataFrame:
-    """``lines`` with a number of their batch, from 0 for the largest ids on; null ids come last."""
-    shares = [k / batches for k in range(1, batches)]
-    cuts = lines.agg(F.percentile_approx("doc_id", shares or [1.0], 1000)).first()[0] or []
-    cuts = sorted(set(cuts)) if shares else []
+    """``lines`` with a number of their batch, from 0 for the largest ids on; null ids come last.
+
+    Batches of numbers are of about equal size; of ids of other types, that
+    have no percentiles, all make one batch.
+    """
+    numeric = isinstance(lines.schema["doc_id"].dataType, IntegralType)
+    shares = [k / batches for k in range(1, batches)] if numeric else []
+    cuts = lines.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else []
     number = F.lit(0)
-    for c in cuts:
-        number = number + (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) <= F.lit(int(c))).cast("int")
+    for c in sorted(set(cuts or [])):
+        number = number + (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) <= F.lit(c)).cast("int")
     return lines.withColumn("batch", number)
 
 
@@ -115,7 +129,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     n_dropped, kept_text and kept_sha256.  A null or empty text is one empty
     line and is returned as such; a text whose every line goes becomes empty.
     Rows that repeat a doc_id are one document; a null id is one document that
-    never owns a key which another document holds.  An empty table gives an
+    never owns a key which another document holds.  Ids may be numbers or
+    strings.  An empty table gives an
     empty result.
     """
     docs = docs.select("doc_id", "text")
@@ -124,9 +139,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     runs = LineRuns(fan)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k))
-    hot = runs.keys().where(F.col("n_docs") >= min_docs)
+    hot = written(runs.keys().where(F.col("n_docs") >= min_docs), "hot")
     goes = (
-        lines.join(hot, KEY)
+        back_to_rows(lines, hot, KEY, "n_docs")
         .where(~F.col("doc_id").eqNullSafe(F.col("owner")))
         .groupBy(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"))
         .agg(F.array_sort(F.collect_set("pos")).alias("goes"))  # bounded by the lines of one document
