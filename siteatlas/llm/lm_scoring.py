@@ -1,17 +1,15 @@
-"""Language-model scores from subword lattices, backed by the word counts of the training texts.
+"""Language-model scores from subword lattices.
 
-A word's probability is a discounted share of the training tokens plus, for
-the mass that the discount frees, the marginal probability of its lattice: the
-sum over all segmentations into the pieces of an existing unigram vocabulary,
-by a forward recursion in log space.  The vocabulary's scores weigh the
-segmentations; their scale in this corpus comes from expected piece counts
-over all distinct training words.  A text's score is the log10 of the product
-over its words and its end, which is the marginal over all segmentations of
-the text, since no piece crosses a word's start.
+A word's probability is the marginal of its lattice: the sum over all
+segmentations into the pieces of an existing unigram vocabulary, and then the
+end of the word, by a forward recursion in log space.  A text's score is the
+log10 of the product over its words and its end, which is the marginal over all
+segmentations of the text, since no piece crosses a word's start.
 
-Training texts come in classes, by their language label.  Each class has a word
-distribution of its own over the common one, and the probability of a text is
-summed over classes as well, so no label is needed to score it.
+The vocabulary's scores are rescaled to the corpus by one step of expected
+counts: over the lattices of all distinct training words, each as often as it
+occurs, weighted by the existing scores.  These keep a share of ``KEPT``, so
+that pieces which the corpus lacks keep their order.
 
 The exchange is of postings: each task gathers, for every distinct word of a
 block of texts, which of these have it and how often.  A word that every text
@@ -28,18 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteatlas.llm.common import bounded_batches, utf8, written
+from siteatlas.llm.common import back_to_rows, bounded_batches, utf8, written
 from siteatlas.llm.lattice import Lattices, Vocabulary, in_groups, load_sentencepiece
 from siteatlas.llm.sentencepiece_codec import DEFAULT_MODEL
 
 #: A block closes at so many (word, text) pairs or texts; a text's number and a count share 32 bits.
 BLOCK_PAIRS, BLOCK_TEXTS, COUNT_MAX = 4_000_000, 1 << 15, (1 << 16) - 1
-#: The most frequent labels are classes of their own; the others, and texts without one, are the last.
-CLASSES = 5
-#: Share of the freed mass for the end of a text; the rest is for words.
+#: Share of the existing scores in the rescaled ones.
+KEPT = 0.1
+#: Probability of the end of a text where there is no training text to tell.
 END_SHARE = 1e-3
-#: Weight of the scores before against the expected counts.
-SMOOTHING = 1e-3
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -54,10 +50,9 @@ class Block:
         self.words: dict[bytes, int] = {}
         self.word, self.count, self.size = array("i"), array("q"), array("i")
         self.docs: list = []
-        self.cls = array("i")
+        self.held_out = array("b")
 
-    def add(self, doc_id, text: bytes, cls: int) -> None:
-        """cls: the training class, -1 if the text is held out."""
+    def add(self, doc_id, text: bytes, held_out: bool) -> None:
         counts = Counter(text.lower().split())
         counts[b""] = 1
         find = self.words
@@ -65,7 +60,7 @@ class Block:
         self.count.extend(counts.values())
         self.size.append(len(counts))
         self.docs.append(doc_id)
-        self.cls.append(cls)
+        self.held_out.append(held_out)
 
     def full(self) -> bool:
         return len(self.word) >= BLOCK_PAIRS or len(self.docs) >= BLOCK_TEXTS
@@ -75,8 +70,8 @@ class Block:
             return
         word, count = np.frombuffer(self.word, np.int32), np.frombuffer(self.count, np.int64)
         doc = np.repeat(np.arange(len(self.docs), dtype=np.int32), np.frombuffer(self.size, np.int32))
-        cls, m = np.frombuffer(self.cls, np.int32)[doc], len(self.words)
-        seen = [np.bincount(word[cls == k], count[cls == k], m).astype(np.int64) for k in range(CLASSES)]
+        learned, m = np.frombuffer(self.held_out, np.int8)[doc] == 0, len(self.words)
+        seen = np.bincount(word[learned], count[learned], m).astype(np.int64)
         over = np.flatnonzero(count > COUNT_MAX)
         if len(over):  # a count beyond 16 bits takes several entries
             times = -(-count // COUNT_MAX)
@@ -93,35 +88,24 @@ class Block:
         table = pa.RecordBatch.from_arrays(
             [
                 pa.array(names, pa.binary()),
-                *map(pa.array, seen),
+                pa.array(seen),
                 pa.array(np.full(m, block, np.int64)),
                 pa.ListArray.from_arrays(pa.array(edges), pa.array(packed)),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(self.docs, doc_type)),
             ],
-            ["word", *COUNTS, "block", "pairs", "docs"],
+            ["word", "c", "block", "pairs", "docs"],
         )
         for at in range(0, len(table), 20_000):
             yield table.slice(at, 20_000)
 
 
-COUNTS = [f"c{k}" for k in range(CLASSES)]
-
-
-def class_names(docs: DataFrame, class_col: str) -> list[str]:
-    if class_col not in docs.columns:
-        return []
-    rows = docs.where(F.col(class_col).isNotNull()).groupBy(F.col(class_col).cast("string").alias("k")).count()
-    return [r["k"] for r in rows.orderBy(F.desc("count"), "k").limit(CLASSES - 1).collect()]
-
-
-def postings(docs: DataFrame, class_col: str) -> DataFrame:
-    """(word, counts by class in training texts, block, pairs, docs).
+def postings(docs: DataFrame) -> DataFrame:
+    """(word, c: its count in training texts, block, pairs, docs).
 
     ``pairs``: a text's number in its block and the count of the word; ``docs``:
     at the word b"", the ids of the block's texts by number.
     """
     bounded_batches(docs.sparkSession)
-    names = {n: k for k, n in enumerate(class_names(docs, class_col))}
 
     def run(batches):
         from pyspark import TaskContext
@@ -130,9 +114,9 @@ def postings(docs: DataFrame, class_col: str) -> DataFrame:
         doc_type = None
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
-            cols = (batch.column(c).to_pylist() for c in ("doc_id", "held_out", "cls"))
-            for doc_id, held_out, cls, text in zip(*cols, utf8(batch, "text"), strict=True):
-                block.add(doc_id, text, -1 if held_out else names.get(cls, CLASSES - 1))
+            cols = (batch.column(c).to_pylist() for c in ("doc_id", "held_out"))
+            for doc_id, held_out, text in zip(*cols, utf8(batch, "text"), strict=True):
+                block.add(doc_id, text, held_out)
                 if block.full():
                     yield from block.batches(number, doc_type)
                     block, number = Block(), number + 1
@@ -140,9 +124,8 @@ def postings(docs: DataFrame, class_col: str) -> DataFrame:
             yield from block.batches(number, doc_type)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cls = F.col(class_col).cast("string") if names else F.lit(None).cast("string")
-    return docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"), cls.alias("cls")).mapInArrow(
-        run, f"word binary, {', '.join(f'{c} long' for c in COUNTS)}, block long, pairs array<int>, docs array<{kind}>"
+    return docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out")).mapInArrow(
+        run, f"word binary, c long, block long, pairs array<int>, docs array<{kind}>"
     )
 
 
@@ -182,87 +165,80 @@ def first_weights(v: Vocabulary) -> np.ndarray:
 
 
 def expected_counts(words: DataFrame, shared, weights: np.ndarray) -> np.ndarray:
-    """Expected pieces over the lattices of all distinct training words; the result has the vocabulary's size."""
+    """Expected pieces over the lattices of the words (word, c), each c times; the result has the vocabulary's size and two."""
 
     def run(batches):
         v = shared.value
         total = np.zeros(v.size + 2)
         for batch in batches:
-            for lattices in lattice_groups(v, [w for w in batch.column("word").to_pylist() if w]):
-                share = lattices.posterior(edge_scores(lattices, weights))
+            found = {w: c for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True) if w}
+            for lattices in lattice_groups(v, list(found)):
+                often = np.array([found[w[1:]] for w in lattices.chunks], np.float64)
+                chunk = np.searchsorted(lattices.ends, lattices.start, side="right")
+                share = lattices.posterior(edge_scores(lattices, weights)) * often[chunk]
                 bare = lattices.ids < 0
                 total[: v.size] += np.bincount(lattices.ids[~bare], share[~bare], v.size)
                 total[v.size] += (share * lattices.span)[bare].sum()
-                total[v.size + 1] += len(lattices.chunks)
+                total[v.size + 1] += often.sum()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["piece", "n"])
 
-    rows = words.select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    rows = words.select("word", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     total = np.zeros(len(weights))
     for r in rows.collect():  # at most one row per piece of the vocabulary
         total[r["piece"]] = r["n"]
     return total
 
 
-def lm_scores(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 1, class_col: str = "lang") -> DataFrame:
+def rescaled(weights: np.ndarray, counts: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """The weights after one step of expected counts, of which the weights before keep a share of ``KEPT``."""
+    before = np.where(np.isfinite(weights), np.exp(weights), 0)
+    before[v.size] *= 256  # as one share for all bytes
+    return normalised((1 - KEPT) * counts / counts.sum() + KEPT * before / before.sum(), v)
+
+
+def word_scores(v: Vocabulary, words: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """The natural log of the marginal of each word and its end."""
+    groups = [g.marginal(edge_scores(g, weights)) for g in lattice_groups(v, words)]
+    return np.concatenate([np.empty(0), *groups]) + weights[v.size + 1]
+
+
+def lm_scores(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """Score every text under a model learned from the rows that are not held out.
 
     Returns one row per doc_id: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score and score.  A null or empty text is its end
     alone.  Rows that repeat a doc_id are scored as one document, with one end
     for each row; rows with a null id are held out and scored together.
-    Without training rows every score is that of the lattices; without the
-    column of classes there is one class.  An empty table gives an empty
-    result.
+    Without training rows the vocabulary's scores are used as they are.  An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_sentencepiece(model))  # of the size of the vocabulary file
-    size = shared.value.size
-    rows = written(postings(docs, class_col), "postings", compression="zstd")
-    words = written(rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)), "words", compression="zstd")
-    c = sum((F.col(k) for k in COUNTS[1:]), F.col(COUNTS[0]))
+    rows = written(postings(docs), "postings", compression="zstd")
+    words = rows.groupBy("word").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("blocks"))
+    words = written(words, "words", compression="zstd")
     count = lambda x: F.coalesce(F.sum(x), F.lit(0))
-    t = words.agg(
-        count(c).alias("n"),
-        F.count_if(c > 0).alias("v"),
-        F.count_if(c == 1).alias("once"),
-        F.count_if(c == 2).alias("twice"),
-        *(count(k).alias(f"n{k}") for k in COUNTS),
-        *(F.count_if(F.col(k) > 0).alias(f"v{k}") for k in COUNTS),
-        *(count(F.when(F.length("word") == 0, F.col(k))).alias(f"d{k}") for k in COUNTS),
-    ).first()
-    n, v = t["n"], t["v"]
-    discount = min(max(t["once"] / (t["once"] + 2 * t["twice"]), 0.1), 0.95) if t["once"] else 0.5
+    texts = F.when(F.length("word") == 0, F.col("c"))
+    n, v, ends = words.agg(count("c"), F.count_if(F.col("c") > 0), count(texts)).first()
     weights = first_weights(shared.value)
-    for _ in range(rounds if v > 1 else 0):
-        counts = expected_counts(words.where(c > 0), shared, weights)
-        known = np.where(np.isfinite(weights), np.exp(weights), 0)
-        weights = normalised(counts + SMOOTHING * counts.sum() * known / known.sum(), shared.value)
-    texts = [t[f"d{k}"] for k in COUNTS]
-    classes = [(t[f"n{k}"], t[f"v{k}"]) for k in COUNTS]
+    if n > ends:
+        weights = rescaled(weights, expected_counts(words.where("c > 0"), shared, weights), shared.value)
+    end = ends / n if 0 < ends < n else END_SHARE
 
     def run(batches):
-        vocabulary, end = shared.value, weights[size + 1]
         for batch in batches:
             found = batch.column("word").to_pylist()
-            groups = lattice_groups(vocabulary, found)
-            lat = np.concatenate([np.empty(0), *(g.marginal(edge_scores(g, weights)) for g in groups)])
             is_end = np.fromiter((not w for w in found), bool, len(found))
-            log_p = np.where(is_end, np.log(END_SHARE), lat + end + np.log1p(-END_SHARE))
-            by_class = [batch.column(k).to_numpy(zero_copy_only=False) for k in COUNTS]
-            log_p = backed(sum(by_class), n, v, discount, log_p)
-            logs = [backed(x, nk, vk, discount, log_p) / np.log(10) for x, (nk, vk) in zip(by_class, classes, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), pa.array(sum(by_class)), *(pa.array(x.astype(np.float32)) for x in logs)],
-                ["word", "c", *LOGS],
-            )
-
-    scored = words.mapInArrow(run, f"word binary, c long, {', '.join(f'{k} float' for k in LOGS)}")
+            log_p = np.where(is_end, np.log(end), word_scores(shared.value, found, weights) + np.log1p(-end)) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("word", "c", "blocks")), pa.array(log_p)], ["word", "c", "blocks", "log_p"])
+
+    scored = written(words.mapInArrow(run, "word binary, c long, blocks long, log_p double"), "scored", compression="zstd")
     base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     # To the block of each posting, where the sums of its texts are complete.
-    back = rows.select("word", "block", "pairs", "docs").join(scored, "word").drop("word").repartition("block")
-    entries = back.select(
-        "block", F.posexplode("pairs").alias("pos", "pair"), F.when(F.size("docs") > 0, F.col("docs")).alias("docs"), "c", *LOGS
+    back = back_to_rows(rows.select("word", "block", "pairs", "docs"), scored, ["word"], "blocks").drop("word", "blocks")
+    entries = back.repartition("block").select(
+        "block", F.posexplode("pairs").alias("pos", "pair"), F.when(F.size("docs") > 0, F.col("docs")).alias("docs"), "c", "log_p"
     ).select(
         "block",
         F.shiftrightunsigned("pair", 16).alias("number"),
@@ -270,21 +246,16 @@ def lm_scores(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 1, clas
         F.get("docs", F.col("pos")).alias("doc_id"),
         base.alias("base"),
         (F.col("c") > 0).cast("long").alias("known"),
-        *LOGS,
+        "log_p",
     )
     texts_of = entries.groupBy("block", "number").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("tf").alias("n_tokens"),
         F.sum(F.col("tf") * F.col("known")).alias("n_known"),
         F.sum(F.col("tf") * F.col("base")).alias("base_score"),
-        *(F.sum(F.col("tf") * F.col(k).cast("double")).alias(k) for k in LOGS),
+        F.sum(F.col("tf") * F.col("log_p")).alias("score"),
     )
-    names = ["n_tokens", "n_known", "base_score", *LOGS]
-    by_id = texts_of.groupBy("doc_id").agg(*(F.sum(x).alias(x) for x in names))
-    live = [(k, np.log10(d / sum(texts))) for k, d in zip(LOGS, texts, strict=True) if d] or [(LOGS[0], 0.0)]
-    terms = [F.col(k) + F.lit(float(p)) for k, p in live]
-    top = F.greatest(*terms) if len(terms) > 1 else terms[0]
-    total = sum((F.pow(F.lit(10.0), x - top) for x in terms[1:]), F.pow(F.lit(10.0), terms[0] - top))
+    by_id = texts_of.groupBy("doc_id").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")))
     return by_id.select(
         "doc_id",
         is_held_out(F.col("doc_id")).alias("held_out"),
@@ -292,16 +263,5 @@ def lm_scores(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 1, clas
         "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
         "base_score",
-        (top + F.log10(total)).alias("score"),
+        "score",
     )
-
-
-LOGS = [f"l{k}" for k in range(CLASSES)]
-
-
-def backed(c: np.ndarray, n: int, v: int, discount: float, lower: np.ndarray) -> np.ndarray:
-    """Log of the discounted share of ``c`` in ``n`` plus the freed mass times the lower distribution."""
-    if not n:
-        return lower
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(np.maximum(c - discount, 0) / n), np.log(discount * v / n) + lower)

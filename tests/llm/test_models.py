@@ -155,6 +155,38 @@ def test_lm_is_a_distribution_over_words(monkeypatch):
     assert 0.8 < total < 1.0
 
 
+def test_lm_scores_match_all_segmentations(spark, monkeypatch):
+    """The whole result from enumerated segmentations: expected counts, rescaled weights, marginals and ends."""
+    v = small_vocabulary()
+    monkeypatch.setattr(lm_scoring, "load_sentencepiece", lambda _: v)
+    texts = ["ab abc", "a b a", "bcab é", "abc☃ a", "", None, "AB ab b"]
+    rows = list(enumerate(texts))
+    tokens = {i: (t or "").encode().lower().split() for i, t in rows}
+    first = lm_scoring.first_weights(v)
+
+    def every(word, weights):
+        out = []
+        for ids, _ in segmentations(v, b" " + word):
+            out.append((ids, sum(weights[i] if i < 20 else weights[v.size] for i in ids)))
+        return out, np.logaddexp.reduce([s for _, s in out])
+
+    counts, ends, n = np.zeros(v.size + 2), 0, 0
+    for i, ws in tokens.items():
+        if not held_out(i, 7, 2):
+            ends, n = ends + 1, n + len(ws) + 1
+            for w in ws:
+                paths, total = every(w, first)
+                counts[v.size + 1] += 1
+                for ids, s in paths:
+                    for k in ids:
+                        counts[k if k < 20 else v.size] += math.exp(s - total)
+    weights = lm_scoring.rescaled(first, counts, v)
+    for r in lm_scores(frame(spark, rows)).collect():
+        ws = tokens[r.doc_id]
+        expected = math.log(ends / n) + sum(every(w, weights)[1] + weights[v.size + 1] + math.log1p(-ends / n) for w in ws)
+        assert math.isclose(r.score, expected / math.log(10), rel_tol=1e-9)
+
+
 def test_lm_without_training_rows_and_empty(spark):
     only = [(i, "some text") for i in range(60) if held_out(i, 7, 2)]
     found = lm_scores(frame(spark, only)).collect()
@@ -162,7 +194,7 @@ def test_lm_without_training_rows_and_empty(spark):
     assert lm_scores(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_lm_splits_large_counts_and_small_blocks(spark, monkeypatch):
+def test_lm_splits_large_counts(spark):
     rows = [(1, "w " * 200_000), (2, "w x"), (5, "y")]
     assert {r.doc_id: r.n_tokens for r in lm_scores(frame(spark, rows)).collect()} == {1: 200_001, 2: 3, 5: 2}
 
