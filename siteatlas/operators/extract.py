@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,9 +129,10 @@ def references(bodies: DataFrame) -> DataFrame:
             bodies_ = batch.column("body").cast(pa.binary()).to_pylist()
             for source, body in zip(batch.column("url").to_pylist(), bodies_, strict=True):
                 body = body or b""
+                breaks = [m.start() for m in re.finditer(b"\n", body)]
                 for tag, rx in compiled:
                     for m in rx.finditer(body):
-                        out.append((source, m[1].decode("utf-8", "replace"), tag, *position(body, m.start(1)), snippet(body, *m.span(1))))
+                        out.append((source, m[1].decode("utf-8", "replace"), tag, *position(breaks, m.start(1)), snippet(body, *m.span(1))))
             names = ["source_url", "target", "tag", "offset", "line", "column", "snippet"]
             cols = list(zip(*out, strict=True)) or [[]] * len(names)
             types = [pa.string()] * 3 + [pa.int64()] * 3 + [pa.string()]
@@ -139,9 +142,10 @@ def references(bodies: DataFrame) -> DataFrame:
     return bodies.select("url", F.col("body").cast("string").alias("body")).mapInArrow(run, schema)
 
 
-def position(body: bytes, offset: int) -> tuple[int, int, int]:
-    """(offset, line, column), the last two from 1."""
-    return offset, body.count(b"\n", 0, offset) + 1, offset - body.rfind(b"\n", 0, offset)
+def position(breaks: list[int], offset: int) -> tuple[int, int, int]:
+    """(offset, line, column), the last two from 1; ``breaks``: where the body has line breaks."""
+    line = bisect.bisect_left(breaks, offset)
+    return offset, line + 1, offset - (breaks[line - 1] if line else -1)
 
 
 #: Bytes of context on either side.

@@ -7,8 +7,11 @@ members are all URLs of all pairs that share it.
 Pairs are not made one by one.  A pair that differs at a set of positions is
 found by grouping on the segments outside the set: the groups of every
 non-empty set of positions, with two members or more that differ in each of
-the set's positions.  The number of sets depends on the depth of a path, not
-on the number of URLs, so a bucket costs as much as it has rows.
+the set's positions.  Only positions that vary within the bucket count, so the
+number of sets depends on how many of a path's segments vary, not on the
+number of URLs, and a bucket costs as much as it has rows, at every depth.  The
+sets double with each segment that varies: some ten are cheap, beyond twenty
+is out of reach.
 """
 
 from __future__ import annotations
@@ -20,10 +23,6 @@ from siteatlas.functions import classify, url
 from siteatlas.operators.extract import link_key
 from siteatlas.sources.tables import written
 
-#: Up to this depth all sets of slots are tried by grouping; deeper paths are paired within their buckets.
-MAX_MASKED = 8
-
-
 def canonical_urls(urls: DataFrame, column: str = "url") -> DataFrame:
     """(canonical, host, segs, n, bucket) of the distinct usable http(s) URLs."""
     rows = urls.select(url.canonical(F.col(column)).alias("canonical")).where("canonical is not null").distinct()
@@ -42,10 +41,12 @@ def masked(rows: DataFrame) -> DataFrame:
     is a member of the shape if its group has a row that differs from it in all
     positions of the set.
     """
-    sets = F.expr("transform(sequence(1, cast(shiftleft(1, n) as int) - 1), m -> m)")
-    placed = rows.where(F.col("n") <= MAX_MASKED).withColumn("m", F.explode(sets))
-    # The first segment of a bucket with a literal is the same in all its rows.
-    placed = placed.where((F.col("bucket") == "") | (F.col("m").bitwiseAND(1) == 0) | (F.col("n") == 0))
+    bucket = ["host", "bucket", "n"]
+    ends = rows.select(*bucket, F.posexplode("segs").alias("i", "s")).groupBy(*bucket, "i").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    vary = ends.where("low <> high").groupBy(*bucket).agg(F.array_sort(F.collect_list("i")).alias("vary"))  # as many as a path has segments
+    bits = "aggregate(vary, struct(0L as m, 0 as k), (a, i) -> struct(a.m | if((shiftright(q, a.k) & 1) = 1, shiftleft(1L, i), 0L) as m, a.k + 1 as k), a -> a.m)"
+    placed = rows.join(vary, bucket).withColumn("q", F.explode(F.expr("sequence(1L, shiftleft(1L, size(vary)) - 1)")))
+    placed = placed.withColumn("m", F.expr(bits)).drop("q", "vary")
     mask = F.expr("transform(segs, (s, i) -> if((shiftright(m, i) & 1) = 1, '', s))")
     slots = F.expr("filter(transform(segs, (s, i) -> if((shiftright(m, i) & 1) = 1, s, null)), s -> s is not null)")
     keyed = placed.select("host", "bucket", "n", "m", "canonical", "segs", mask.alias("mask"), slots.alias("slots"))
@@ -58,7 +59,7 @@ def masked(rows: DataFrame) -> DataFrame:
     crowd = keyed.where(~one).withColumn("rows", F.count(F.lit(1)).over(group)).where("rows > 1").drop("rows")
     several = partners(crowd)
     columns = ["host", "mask", "canonical", "segs"]
-    return single.select(*columns).union(several.select(*columns)).union(paired(rows.where(F.col("n") > MAX_MASKED)))
+    return single.select(*columns).union(several.select(*columns))
 
 
 def partners(keyed: DataFrame) -> DataFrame:
@@ -82,16 +83,6 @@ def partners(keyed: DataFrame) -> DataFrame:
     return keyed.join(apart.drop("apart"), [*key, "slots"])
 
 
-def paired(rows: DataFrame) -> DataFrame:
-    """Shapes of paths too deep for sets of slots, by pairing the URLs of a bucket."""
-    a = rows.select("host", "n", "bucket", "segs", "canonical")
-    b = a.select("host", "n", "bucket", F.col("segs").alias("segs2"), F.col("canonical").alias("canonical2"))
-    pairs = a.join(b, ["host", "n", "bucket"]).where("canonical < canonical2 and segs <> segs2")
-    mask = F.zip_with("segs", "segs2", lambda x, y: F.when(x == y, x).otherwise(F.lit("")))
-    both = pairs.select("host", mask.alias("mask"), "canonical", "segs", "canonical2", "segs2")
-    return both.select("host", "mask", "canonical", "segs").union(both.select("host", "mask", "canonical2", "segs2")).distinct()
-
-
 def slot_name(i: Column, total: Column) -> Column:
     return F.when(total == 1, F.lit("id")).otherwise(F.concat(F.lit("id"), (i + 1).cast("string")))
 
@@ -188,21 +179,22 @@ def without_members(links: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def matching_patterns(urls: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(url, pattern, vars, trailing, count) of every pattern that fits a URL: an equi-join on host and depth.
+    """(url, pattern, vars, trailing, count) of every pattern that fits a URL.
 
-    A pattern's literals are part of the join through its first literal where
-    it stands at the start, and are compared one by one after it.
+    A URL is masked once for each set of slots that patterns of its host and
+    depth have, which are few however many patterns there are, and meets the
+    patterns by an equi-join on host and mask, literals included.
     """
     u = urls.select("url", url.canonical(F.col("url")).alias("c")).where("c is not null")
     u = u.select("url", url.host(F.col("c")).alias("domain"), url.segments(F.col("c")).alias("segs")).where("segs is not null")
     u = u.withColumn("n", F.size("segs"))
-    slots = F.size(F.filter("mask", lambda m: m == ""))
-    p = patterns.select("domain", "pattern", "mask", "count", slots.alias("vars"), F.size("mask").alias("n"))
-    fits = F.forall(F.zip_with("mask", "segs", lambda m, s: (m == "") | (m == s)), lambda x: x)
-    both = u.join(p, ["domain", "n"]).where(fits)
-    trailing = F.coalesce(
-        F.array_position(F.transform(F.reverse("mask"), lambda m: m == ""), True) - 1, F.size("mask").cast("long")
-    )
+    slots = F.transform("mask", lambda m: m == "")
+    vars_ = F.size(F.filter("mask", lambda m: m == ""))
+    p = patterns.select("domain", "pattern", "mask", "count", vars_.alias("vars"), slots.alias("slots"), F.size("mask").alias("n"))
+    sets = p.select("domain", "n", "slots").distinct()
+    masked_ = F.zip_with("segs", "slots", lambda s, slot: F.when(slot, F.lit("")).otherwise(s))
+    both = u.join(sets, ["domain", "n"]).select("url", "domain", "n", masked_.alias("mask")).join(p, ["domain", "n", "mask"])
+    trailing = F.coalesce(F.array_position(F.reverse("slots"), True) - 1, F.size("mask").cast("long"))
     return both.select("url", "pattern", "vars", F.when(trailing < 0, F.col("n")).otherwise(trailing).alias("trailing"), "count")
 
 

@@ -12,7 +12,7 @@ from siteatlas.functions.classify import (
     SKIPPED_SUFFIXES,
 )
 from siteatlas.functions.documents import CODE_HINTS, EXTENSIONS
-from siteatlas.functions.url import SCRIPT_SUFFIXES
+from siteatlas.functions.url import CACHE_BUSTERS, SCRIPT_SUFFIXES
 from siteatlas.rules import CATEGORIES, CLASSES, CLI_RULES, LINK_TYPES
 
 
@@ -122,7 +122,7 @@ ORACLES: dict[str, str] = {
     "visible_in_scope": f"""WITH {URLS} SELECT href, domain, class FROM u WHERE class = 'normal' AND (domain = 'example.com'
       OR ends_with(domain, '.example.com') OR domain = 'site1.example.org' OR ends_with(domain, '.site1.example.org'))""",
     "display_rows": f"""WITH {RESOLVED}, d AS (SELECT DISTINCT href, domain, category, class FROM r)
-      SELECT * FROM d ORDER BY list_position({CLASSES}, class), list_position({CATEGORIES}, category), domain, href LIMIT 100""",
+      SELECT * FROM d ORDER BY list_position({CLASSES}, class), list_position({CATEGORIES}, category), domain, href""",
     "fold_params": f"""WITH {FOLDED} SELECT CASE WHEN bare THEN lead ELSE {BASE.format('lead')} END AS href,
       CASE WHEN bare THEN lead ELSE base END AS resolved, 'https://index.example/' AS source_url, 'a' AS tag, domain, category,
       link_type, class, bare AND {PARAMS.replace('href', 'lead')} AS has_params, variants AS param_variants FROM f""",
@@ -171,7 +171,7 @@ ORACLES: dict[str, str] = {
       SELECT 'n' || regexp_replace(replace(a, '://', '_'), '[/.:?&=%#''-]', '_', 'g') AS from_id,
         'n' || regexp_replace(replace(b, '://', '_'), '[/.:?&=%#''-]', '_', 'g') AS to_id FROM e WHERE a <> b""",
     "union_first_wins": """WITH a AS (SELECT url AS href, url AS resolved, page_id AS n FROM pages WHERE page_id % 3 <> 0),
-      b AS (SELECT url AS href, url AS resolved, -page_id AS n FROM pages WHERE page_id % 2 = 0)
+      b AS (SELECT url AS href, url AS resolved, -page_id AS n FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0)
       SELECT * FROM a UNION ALL SELECT * FROM b WHERE href NOT IN (SELECT href FROM a)""",
     "page_log": """SELECT 'https://x.example/' || CAST(user_id AS VARCHAR) AS url, CAST(min(event_id % 5) AS INTEGER) AS depth,
       coalesce(arg_min(event_type, event_id) FILTER (event_id % 3 = 0), '') AS content_type, CAST(max(event_id % 17) AS INTEGER) AS links
@@ -260,4 +260,23 @@ ORACLES |= {
           WHERE kind <> 'string') WHERE key IN (SELECT key FROM nodes)
         UNION ALL SELECT DISTINCT 'contract', path, path FROM o WHERE path IN (SELECT key FROM nodes))
       SELECT kind, count(*) AS n FROM e GROUP BY kind""",
+    "strip_cache_busters": f"""WITH p AS (SELECT split_part(url, '#', 1) AS b,
+        CASE WHEN contains(url, '#') THEN substr(url, strpos(url, '#')) ELSE '' END AS f FROM pages),
+      u AS (SELECT b || CASE WHEN contains(b, '?') THEN '&t=1&q=x' ELSE '?q=x&ts=9' END AS b, f FROM p)
+      SELECT b || f AS url, split_part(b, '?', 1) || '?' || array_to_string(list_sort([x FOR x IN string_split(split_part(b, '?', 2), '&')
+        IF split_part(x, '=', 1) NOT IN ({", ".join(map(text, CACHE_BUSTERS))})]), '&') || f AS stripped FROM u""",
+    "reference_positions": r"""WITH m AS (SELECT url, html,
+        regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"'']+)["''][^>]*>') AS found,
+        regexp_extract(html, '(?is)^.*?<a[^>]+href=["'']', 0) AS before, regexp_extract(html, '(?is)^.*<a[^>]+href=["'']', 0) AS until FROM pages)
+      SELECT url AS source_url, CAST(len(found) AS BIGINT) AS n, CAST(strlen(before) AS BIGINT) AS first_offset,
+        CAST(len(string_split(until, chr(10))) AS BIGINT) AS last_line FROM m WHERE len(found) > 0""",
+    "crawl": f"""WITH RECURSIVE {RESOLVED},
+      home AS (SELECT min(url) AS url, {HOST.format('min(url)')} AS host FROM pages),
+      w AS (SELECT url, 0 AS depth FROM home
+        UNION SELECT split_part(r.resolved, '#', 1), w.depth + 1 FROM w JOIN r ON r.source_url = w.url CROSS JOIN home
+        WHERE w.depth < 5 AND r.category IN ('web-page', 'API') AND r.class = 'normal'
+          AND (r.domain = home.host OR ends_with(r.domain, '.' || home.host))),
+      v AS (SELECT url, min(depth) AS depth FROM w GROUP BY url)
+      SELECT href, resolved, source_url, v.depth + 1 AS depth, category FROM v JOIN r ON r.source_url = v.url
+      QUALIFY row_number() OVER (PARTITION BY href ORDER BY v.depth, source_url) = 1""",
 }

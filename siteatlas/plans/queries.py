@@ -140,7 +140,7 @@ def visible_in_scope(spark, sf_dir):
 @query
 def display_rows(spark, sf_dir):
     rows = fold.sorted_for_display(links(spark, sf_dir).select("href", "domain", "category", "class").distinct())
-    return rows.limit(100).select("href", "domain", "category", "class")
+    return rows.select("href", "domain", "category", "class")
 
 
 @query
@@ -339,8 +339,9 @@ def place_keys(spark, sf_dir):
 
 @query
 def strip_cache_busters(spark, sf_dir):
-    u = F.concat("url", F.when(F.col("url").contains("?"), F.lit("&t=1&q=x")).otherwise(F.lit("?q=x&ts=9")))
-    rows = table(spark, sf_dir, "pages").where("instr(url, '#') = 0").select(u.alias("url"))
+    base, fragment = url.cut_at(F.col("url"), "#"), F.regexp_extract("url", "(#.*)$", 1)
+    busted = F.concat(base, F.when(base.contains("?"), F.lit("&t=1&q=x")).otherwise(F.lit("?q=x&ts=9")), fragment)
+    rows = table(spark, sf_dir, "pages").select(busted.alias("url"))
     return rows.select("url", url.without_cache_busters(F.col("url")).alias("stripped"))
 
 
@@ -362,7 +363,8 @@ def visual_edges(spark, sf_dir):
 @query
 def union_first_wins(spark, sf_dir):
     u = url_links(spark, sf_dir).select("href", "resolved", F.col("seq").alias("n"))
-    a, b = u.where("n % 3 <> 0"), u.where("n % 2 = 0").withColumn("n", -F.col("n"))
+    # Two captures that overlap and cover all pages between them.
+    a, b = u.where("n % 3 <> 0"), u.where("n % 2 = 0 or n % 3 = 0").withColumn("n", -F.col("n"))
     return graph.first_file_wins(a, b, [link_key()])
 
 
@@ -400,7 +402,7 @@ def crawl(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     responses = pages.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.col("html").alias("body"))
     start = pages.agg(F.min("url")).first()[0]
-    return run(responses, start, CrawlOptions(max_depth=2))["links"].select("href", "resolved", "source_url", "depth", "category")
+    return run(responses, start, CrawlOptions(max_depth=5))["links"].select("href", "resolved", "source_url", "depth", "category")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,3 +373,32 @@ def test_page_log_stream_equals_batch(spark, tmp_path):
         assert sorted(map(tuple, spark.table("log").collect())) == sorted(map(tuple, fold.page_log(batch).collect())) == [("https://h/a", 1, "text/html", 9), ("https://h/b", 0, "x", 0)]
     finally:
         q.stop()
+
+
+def test_deep_patterns_match_pairing(spark):
+    import itertools
+    import random
+
+    from siteatlas.operators import patterns
+
+    rng = random.Random(17)
+    urls = set()
+    while len(urls) < 1500:
+        n = rng.randrange(9, 13)
+        fixed = [f"f{k}" for k in range(n)]
+        for k in rng.sample(range(n), 4):
+            fixed[k] = str(rng.randrange(4))
+        urls.add("https://deep.example/" + "/".join(fixed))
+    urls = sorted(urls)
+    expected = set()
+    by_depth = {}
+    for u in urls:
+        segs = tuple(u.split("/")[3:])
+        by_depth.setdefault((len(segs), segs[0] if not segs[0].isdigit() else ""), []).append((u, segs))
+    for rows in by_depth.values():
+        for (u, a), (v, b) in itertools.combinations(rows, 2):
+            mask = tuple("" if x != y else x for x, y in zip(a, b, strict=True))
+            expected |= {(mask, u), (mask, v)}
+    rows = patterns.masked(patterns.canonical_urls(spark.createDataFrame([(u,) for u in urls], "url string")))
+    found = {(tuple(r["mask"]), r["canonical"]) for r in rows.select("mask", "canonical").collect()}
+    assert found == expected
