@@ -9,9 +9,9 @@ found by grouping on the segments outside the set: the groups of every
 non-empty set of positions, with two members or more that differ in each of
 the set's positions.  Only positions that vary within the bucket count, so the
 number of sets depends on how many of a path's segments vary, not on the
-number of URLs, and a bucket costs as much as it has rows, at every depth.  The
-sets double with each segment that varies: some ten are cheap, beyond twenty
-is out of reach.
+number of URLs, and a bucket costs as much as it has rows.  The sets, and what
+decides whether a partner differs in all slots, grow threefold with each
+segment that varies; a bucket in which more than ``MAX_VARYING`` do is paired.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ from siteatlas.functions import classify, url
 from siteatlas.operators.extract import link_key
 from siteatlas.sources.tables import written
 
+#: With up to so many varying segments all sets of slots are tried by grouping; buckets beyond are paired.
+MAX_VARYING = 8
+
+
 def canonical_urls(urls: DataFrame, column: str = "url") -> DataFrame:
     """(canonical, host, segs, n, bucket) of the distinct usable http(s) URLs."""
     rows = urls.select(url.canonical(F.col(column)).alias("canonical")).where("canonical is not null").distinct()
@@ -45,7 +49,8 @@ def masked(rows: DataFrame) -> DataFrame:
     ends = rows.select(*bucket, F.posexplode("segs").alias("i", "s")).groupBy(*bucket, "i").agg(F.min("s").alias("low"), F.max("s").alias("high"))
     vary = ends.where("low <> high").groupBy(*bucket).agg(F.array_sort(F.collect_list("i")).alias("vary"))  # as many as a path has segments
     bits = "aggregate(vary, struct(0L as m, 0 as k), (a, i) -> struct(a.m | if((shiftright(q, a.k) & 1) = 1, shiftleft(1L, i), 0L) as m, a.k + 1 as k), a -> a.m)"
-    placed = rows.join(vary, bucket).withColumn("q", F.explode(F.expr("sequence(1L, shiftleft(1L, size(vary)) - 1)")))
+    varying = rows.join(vary, bucket)
+    placed = varying.where(F.size("vary") <= MAX_VARYING).withColumn("q", F.explode(F.expr("sequence(1L, shiftleft(1L, size(vary)) - 1)")))
     placed = placed.withColumn("m", F.expr(bits)).drop("q", "vary")
     mask = F.expr("transform(segs, (s, i) -> if((shiftright(m, i) & 1) = 1, '', s))")
     slots = F.expr("filter(transform(segs, (s, i) -> if((shiftright(m, i) & 1) = 1, s, null)), s -> s is not null)")
@@ -59,7 +64,7 @@ def masked(rows: DataFrame) -> DataFrame:
     crowd = keyed.where(~one).withColumn("rows", F.count(F.lit(1)).over(group)).where("rows > 1").drop("rows")
     several = partners(crowd)
     columns = ["host", "mask", "canonical", "segs"]
-    return single.select(*columns).union(several.select(*columns))
+    return single.select(*columns).union(several.select(*columns)).union(paired(varying.where(F.size("vary") > MAX_VARYING)))
 
 
 def partners(keyed: DataFrame) -> DataFrame:
@@ -83,6 +88,16 @@ def partners(keyed: DataFrame) -> DataFrame:
     return keyed.join(apart.drop("apart"), [*key, "slots"])
 
 
+def paired(rows: DataFrame) -> DataFrame:
+    """Shapes of paths too deep for sets of slots, by pairing the URLs of a bucket."""
+    a = rows.select("host", "n", "bucket", "segs", "canonical")
+    b = a.select("host", "n", "bucket", F.col("segs").alias("segs2"), F.col("canonical").alias("canonical2"))
+    pairs = a.join(b, ["host", "n", "bucket"]).where("canonical < canonical2 and segs <> segs2")
+    mask = F.zip_with("segs", "segs2", lambda x, y: F.when(x == y, x).otherwise(F.lit("")))
+    both = pairs.select("host", mask.alias("mask"), "canonical", "segs", "canonical2", "segs2")
+    return both.select("host", "mask", "canonical", "segs").union(both.select("host", "mask", "canonical2", "segs2")).distinct()
+
+
 def slot_name(i: Column, total: Column) -> Column:
     return F.when(total == 1, F.lit("id")).otherwise(F.concat(F.lit("id"), (i + 1).cast("string")))
 
