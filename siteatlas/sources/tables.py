@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether the shuffle files of a query go when it ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, as in tests on a local master, a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -23,11 +27,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder; cuts the lineage.
+    """The rows of ``df`` as a Parquet table in the shared folder; cuts the lineage and frees the exchanges behind it.
 
     A lost executor costs the unfinished tasks only, since the table is outside
     the executors' own disks.
     """
-    path = f"{shared_root(df.sparkSession)}/siteatlas/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/siteatlas/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
