@@ -50,7 +50,7 @@ STAGES = [
     ("sentencepiece", sentencepiece_stage),
 ]
 
-#: A trained classifier and a tokenizer are not SQL; tests hold the pipeline against brute force.
+#: A trained classifier and a tokenizer are not SQL; tests hold each operator against brute force or held-out rows, and the stages against their effects.
 ORACLE_SQL = None
 
 
