@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from siteatlas.llm.common import written
 
+#: Edges to a file of a round's table, so that few edges are no crowd of small files.
+FILE_ROWS = 100_000
+
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Link each node's larger neighbours to the least of its neighbourhood."""
@@ -29,8 +32,17 @@ def small_star(edges: DataFrame) -> DataFrame:
     return up.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def links_left(edges: DataFrame) -> tuple[int, int]:
+    """The number of edges (a > b), and of nodes that keep them from being stars: two lesser neighbours, or one and a larger one.
+
+    Without such nodes each component is one star around its least node.
+    """
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.union(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    inner = (F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))
+    n, left = nodes.agg(F.sum("down"), F.count_if(inner)).first()
+    return n or 0, left
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -42,10 +54,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
-    before, after = None, state(now)
-    while before != after and after[0]:
-        now = written(small_star(large_star(now)), "edges")
-        before, after = after, state(now)
+    n, left = links_left(now)
+    while left:
+        # A round makes no edges more, so the last count tells how many files are enough.
+        now = written(small_star(large_star(now)).coalesce(-(-n // FILE_ROWS)), "edges")
+        n, left = links_left(now)
     return (
         now.select(F.col("a").alias("node"), F.col("b").alias("label"))
         .union(now.select(F.col("b").alias("node"), F.col("b").alias("label")))
