@@ -75,6 +75,27 @@ def test_components_of_a_path_and_a_star(spark):
     assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100)}
 
 
+def test_components_of_random_edges(spark, monkeypatch):
+    monkeypatch.setattr("siteatlas.llm.components.FILE_ROWS", 20)
+    rng = random.Random(11)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(900 - i, 899 - i) for i in range(60)]
+    edges += [(b, a) for a, b in edges[:40]] + edges[:40]
+    expected = components([(a, b) for a, b in edges if a != b])
+    found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(found) == len({r.node for r in found})
+    members = {x for a, b in edges if a != b for x in (a, b)}
+    assert {r.node for r in found} == members
+    groups = {}
+    for x in members:
+        groups.setdefault(expected.get(x, x), []).append(x)
+    assert {r.node: r.label for r in found} == {x: min(g) for g in groups.values() for x in g}
+
+
+def test_components_of_no_edges(spark):
+    for edges in ([], [(3, 3)]):
+        assert connected_components(spark.createDataFrame(edges, "a long, b long")).collect() == []
+
+
 def test_drop_keeps_one_of_each_component(spark):
     rows = documents()
     docs = frame(spark, rows)
