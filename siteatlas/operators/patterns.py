@@ -7,11 +7,11 @@ members are all URLs of all pairs that share it.
 Pairs are not made one by one.  A pair that differs at a set of positions is
 found by grouping on the segments outside the set: the groups of every
 non-empty set of positions, with two members or more that differ in each of
-the set's positions.  Only positions that vary within the bucket count, so the
-number of sets depends on how many of a path's segments vary, not on the
-number of URLs, and a bucket costs as much as it has rows.  The sets, and what
-decides whether a partner differs in all slots, grow threefold with each
-segment that varies; a bucket in which more than ``MAX_VARYING`` do is paired.
+the set's positions.  Only positions that vary within the bucket count.  Sets
+grow by ``STEP`` positions at a time, and rows that are alone in their group,
+or whose group agrees in a position that is to be a slot, are dropped before
+the next step: no larger set can bring them a partner.  So paths of every depth
+go the same way, and the rows of a step follow the shapes that exist.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from siteatlas.functions import classify, url
 from siteatlas.operators.extract import link_key
 from siteatlas.sources.tables import written
 
-#: With up to so many varying segments all sets of slots are tried by grouping; buckets beyond are paired.
-MAX_VARYING = 8
+#: By so many positions the sets of slots grow before rows without a partner are dropped.
+STEP = 4
 
 
 def canonical_urls(urls: DataFrame, column: str = "url") -> DataFrame:
@@ -38,64 +38,82 @@ def canonical_urls(urls: DataFrame, column: str = "url") -> DataFrame:
     )
 
 
+BUCKET = ["host", "bucket", "n"]
+
+
 def masked(rows: DataFrame) -> DataFrame:
     """(host, mask, canonical, segs): members of every shape; a slot is an empty segment.
 
     For each set of positions, rows are grouped by the other segments.  A row
     is a member of the shape if its group has a row that differs from it in all
-    positions of the set.
+    positions of the set.  Empty tables give no shapes.
     """
-    bucket = ["host", "bucket", "n"]
-    ends = rows.select(*bucket, F.posexplode("segs").alias("i", "s")).groupBy(*bucket, "i").agg(F.min("s").alias("low"), F.max("s").alias("high"))
-    vary = ends.where("low <> high").groupBy(*bucket).agg(F.array_sort(F.collect_list("i")).alias("vary"))  # as many as a path has segments
-    bits = "aggregate(vary, struct(0L as m, 0 as k), (a, i) -> struct(a.m | if((shiftright(q, a.k) & 1) = 1, shiftleft(1L, i), 0L) as m, a.k + 1 as k), a -> a.m)"
-    varying = rows.join(vary, bucket)
-    placed = varying.where(F.size("vary") <= MAX_VARYING).withColumn("q", F.explode(F.expr("sequence(1L, shiftleft(1L, size(vary)) - 1)")))
-    placed = placed.withColumn("m", F.expr(bits)).drop("q", "vary")
-    mask = F.expr("transform(segs, (s, i) -> if((shiftright(m, i) & 1) = 1, '', s))")
-    slots = F.expr("filter(transform(segs, (s, i) -> if((shiftright(m, i) & 1) = 1, s, null)), s -> s is not null)")
-    keyed = placed.select("host", "bucket", "n", "m", "canonical", "segs", mask.alias("mask"), slots.alias("slots"))
-    group = Window.partitionBy("host", "bucket", "n", "m", "mask")
-    one = F.size("slots") == 1
-    # With one slot, any other value will do; with more, a partner must differ in every slot.
-    low = F.min(F.get("slots", F.lit(0))).over(group)
-    high = F.max(F.get("slots", F.lit(0))).over(group)
-    single = keyed.where(one).withColumn("low", low).withColumn("high", high).where("low <> high").drop("low", "high")
-    crowd = keyed.where(~one).withColumn("rows", F.count(F.lit(1)).over(group)).where("rows > 1").drop("rows")
-    several = partners(crowd)
-    columns = ["host", "mask", "canonical", "segs"]
-    return single.select(*columns).union(several.select(*columns)).union(paired(varying.where(F.size("vary") > MAX_VARYING)))
-
-
-def partners(keyed: DataFrame) -> DataFrame:
-    """Rows with several slots that have a partner in their group which differs in each.
-
-    A row lacks a partner only if every other tuple of its group shares a value
-    with it in some slot, so a value at which most tuples agree decides: the
-    number of tuples that share none is counted by inclusion and exclusion over
-    the sets of slots, each a grouped count.
+    ends = rows.select(*BUCKET, F.posexplode("segs").alias("i", "s")).groupBy(*BUCKET, "i").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    vary = ends.where("low <> high").groupBy(*BUCKET).agg(F.array_sort(F.collect_list("i")).alias("vary"))  # as many as a path has segments
+    now = written(rows.join(vary, BUCKET), "varying")
+    deepest = now.agg(F.max(F.size("vary"))).first()[0] or 0
+    now, out = now.withColumn("at", F.array().cast("array<int>")), None
+    for done in range(STEP, max(deepest, 1) + STEP, STEP):
+        now = with_slots(now, done)
+        if done < deepest:
+            now = written(now, "slots")  # read by what ends here, and twice by the next step
+        ended = now.where((F.size("vary") <= done) & (F.size("at") > 0))
+        out = ended if out is None else out.union(ended)
+        now = now.where(F.size("vary") > done)
+    mask = F.transform("segs", lambda s, i: F.when(F.array_contains("at", i), F.lit("")).otherwise(s))
+    slots = F.transform("at", lambda i: F.get("segs", i))
+    keyed = out.select("host", mask.alias("mask"), "canonical", "segs", slots.alias("slots"))
+    # With one slot, any other value will do, and the group has one; with more, a partner must differ in every slot.
+    several = partners(written(keyed.where(F.size("slots") > 1), "several"), deepest)
+    return keyed.where(F.size("slots") == 1).drop("slots").union(several.select("host", "mask", "canonical", "segs"))
+
+
+def with_slots(rows: DataFrame, done: int) -> DataFrame:
+    """``rows`` once for each set of slots among the last ``STEP`` of the first ``done`` varying positions, if a group goes with it.
+
+    ``at`` has the slots so far.  The group has the same literals at the other
+    positions so far, two rows or more, and two values or more at each slot.
+    Its counts are aggregates, combined before the exchange.
     """
-    key = ["host", "bucket", "n", "m", "mask"]
-    tuples = keyed.select(*key, "slots").distinct()
-    sub = F.expr(
-        "transform(sequence(0, cast(shiftleft(1, size(slots)) as int) - 1), "
-        "q -> named_struct('q', q, 'part', filter(transform(slots, (s, i) -> if((shiftright(q, i) & 1) = 1, s, null)), s -> s is not null)))"
-    )
-    parts = tuples.select(*key, "slots", F.explode(sub).alias("p")).select(*key, "slots", "p.q", "p.part")
-    same = F.count(F.lit(1)).over(Window.partitionBy(*key, "q", "part"))
-    sign = F.when(F.bit_count("q") % 2 == 0, 1).otherwise(-1)
-    apart = parts.withColumn("signed", sign * same).groupBy(*key, "slots").agg(F.sum("signed").alias("apart")).where("apart > 0")
-    return keyed.join(apart.drop("apart"), [*key, "slots"])
-
-
-def paired(rows: DataFrame) -> DataFrame:
-    """Shapes of paths too deep for sets of slots, by pairing the URLs of a bucket."""
-    a = rows.select("host", "n", "bucket", "segs", "canonical")
-    b = a.select("host", "n", "bucket", F.col("segs").alias("segs2"), F.col("canonical").alias("canonical2"))
-    pairs = a.join(b, ["host", "n", "bucket"]).where("canonical < canonical2 and segs <> segs2")
-    mask = F.zip_with("segs", "segs2", lambda x, y: F.when(x == y, x).otherwise(F.lit("")))
-    both = pairs.select("host", mask.alias("mask"), "canonical", "segs", "canonical2", "segs2")
-    return both.select("host", "mask", "canonical", "segs").union(both.select("host", "mask", "canonical2", "segs2")).distinct()
+    last = f"slice(vary, {done - STEP + 1}, {STEP})"
+    sets = rows.withColumn("q", F.explode(F.expr(f"sequence(0, cast(shiftleft(1, size({last})) as int) - 1)")))
+    sets = sets.withColumn("new", F.expr(f"filter({last}, (p, k) -> (shiftright(q, k) & 1) = 1)")).withColumn("at", F.concat("at", "new"))
+    literals = F.expr(f"transform(filter(slice(vary, 1, {done}), p -> not array_contains(at, p)), p -> get(segs, p))")
+    sets = sets.withColumn("literals", literals)
+    key = [*BUCKET, "at", "literals"]
+    values = [F.get("segs", F.get("new", F.lit(k))) for k in range(STEP)]
+    ends = [f(v).alias(f"{name}{k}") for k, v in enumerate(values) for name, f in (("low", F.min), ("high", F.max))]
+    groups = sets.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), *ends).where("rows > 1")
+    for k in range(STEP):
+        groups = groups.where(f"low{k} is null or low{k} <> high{k}")
+    return sets.join(groups.select(*key), key, "left_semi").select(*BUCKET, "canonical", "segs", "vary", "at")
+
+
+def partners(keyed: DataFrame, most: int) -> DataFrame:
+    """Rows with several slots, ``most`` at most, that have a partner of their mask which differs in each.
+
+    The tuples that share no value with a row's are counted by inclusion and
+    exclusion over sets of slots, each a grouped count of the others with the
+    same values there.  The sets grow as those of :func:`with_slots` do: where
+    no other tuple has the same values, none has with more slots.
+    """
+    key = ["host", "mask", "slots"]
+    now, out = keyed.select(*key).distinct().withColumn("on", F.array().cast("array<int>")), None
+    for done in range(STEP, max(most, 1) + STEP, STEP):
+        last = f"filter(sequence({done - STEP}, {done - 1}), p -> p < size(slots))"
+        sets = now.withColumn("q", F.explode(F.expr(f"sequence(0, cast(shiftleft(1, size({last})) as int) - 1)")))
+        sets = sets.withColumn("on", F.concat("on", F.expr(f"filter({last}, (p, k) -> (shiftright(q, k) & 1) = 1)"))).drop("q")
+        sets = sets.withColumn("part", F.transform("on", lambda p: F.get("slots", p)))
+        same = sets.groupBy("host", "mask", "on", "part").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+        now = sets.join(same, ["host", "mask", "on", "part"]).select(*key, "on", "others")
+        if done < most:
+            now = written(now, "parts")
+        ended = now.where(F.size("slots") <= done)
+        out = ended if out is None else out.union(ended)
+        now = now.where(F.size("slots") > done).drop("others")
+    signed = F.when(F.size("on") % 2 == 0, F.col("others")).otherwise(-F.col("others"))
+    apart = out.groupBy(*key).agg(F.sum(signed).alias("apart")).where("apart > 0")
+    return keyed.join(apart.drop("apart"), key, "left_semi")
 
 
 def slot_name(i: Column, total: Column) -> Column:

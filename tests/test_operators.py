@@ -375,30 +375,38 @@ def test_page_log_stream_equals_batch(spark, tmp_path):
         q.stop()
 
 
-def test_deep_patterns_match_pairing(spark):
+def paired_members(urls):
+    """(mask, url) of all pairs of a bucket, by comparing every two."""
     import itertools
-    import random
 
-    from siteatlas.operators import patterns
-
-    rng = random.Random(17)
-    urls = set()
-    while len(urls) < 150:  # depths 9 and 11 vary in four segments and are grouped, 12 varies in eleven and is paired
-        n = rng.choice([9, 11, 12])
-        fixed = [f"f{k}" for k in range(n)]
-        for k in rng.sample(range(1, n), 4) if n == 12 else [1, 4, 5, n - 1]:
-            fixed[k] = str(rng.randrange(4))
-        urls.add("https://deep.example/" + "/".join(fixed))
-    urls = sorted(urls)
-    expected = set()
-    by_depth = {}
+    expected, by_bucket = set(), {}
     for u in urls:
         segs = tuple(u.split("/")[3:])
-        by_depth.setdefault((len(segs), segs[0] if not segs[0].isdigit() else ""), []).append((u, segs))
-    for rows in by_depth.values():
+        by_bucket.setdefault((len(segs), "" if segs[0].isdigit() else segs[0]), []).append((u, segs))
+    for rows in by_bucket.values():
         for (u, a), (v, b) in itertools.combinations(rows, 2):
             mask = tuple("" if x != y else x for x, y in zip(a, b, strict=True))
             expected |= {(mask, u), (mask, v)}
+    return expected
+
+
+def deep_urls(rng, size):
+    """Depths 9 to 12 that vary in four segments; of up to 150 URLs, those of depth 12 in eleven."""
+    urls = set()
+    while len(urls) < size:
+        n = rng.choice([9, 11, 12])
+        segs = [f"f{k}" for k in range(n)]
+        for k in rng.sample(range(1, n), 4) if n == 12 and size <= 150 else [1, 4, 5, n - 1]:
+            segs[k] = str(rng.randrange(4 if size <= 150 else 12))
+        urls.add("https://deep.example/" + "/".join(segs))
+    return sorted(urls)
+
+
+@pytest.mark.parametrize("size", [0, 1, 150, 2000])
+def test_deep_patterns_match_pairing(spark, size):
+    urls = deep_urls(random.Random(17), size)
+    if size:
+        urls += ["https://deep.example/" + "/".join(["5"] * 70 + [x] * 3) for x in "12"]  # more segments than a long has bits
     rows = patterns.masked(patterns.canonical_urls(spark.createDataFrame([(u,) for u in urls], "url string")))
-    found = {(tuple(r["mask"]), r["canonical"]) for r in rows.select("mask", "canonical").collect()}
-    assert found == expected
+    found = [(tuple(r["mask"]), r["canonical"]) for r in rows.select("mask", "canonical").collect()]
+    assert len(found) == len(set(found)) and set(found) == paired_members(urls)
