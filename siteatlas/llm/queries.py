@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteatlas.llm.decontamination import contamination_report, find_contamination
 from siteatlas.llm.exact_dedup import exact_dedup
+from siteatlas.llm.inner_products import top_k
 from siteatlas.llm.license_scan import license_scan
 from siteatlas.llm.line_dedup import dedup_lines
 from siteatlas.llm.lm_scoring import lm_scores
+from siteatlas.llm.periodic_runs import find_runs, run_digest, with_planted_periods
 from siteatlas.llm.sentencepiece_codec import encode
 from siteatlas.llm.sharding import shard_by_bytes
 from siteatlas.llm.simhash import near_duplicates
 from siteatlas.llm.substring_dedup import substring_dedup
+from siteatlas.llm.token_alignment import align_tokens, alignment_digest
 from siteatlas.llm.toxicity import toxicity
 
 
@@ -63,6 +67,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_periods(table(spark, sf_dir, "documents"))
+    return run_digest(find_runs(docs, min_length=6, min_exponent=4))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digest(align_tokens(table(spark, sf_dir, "documents")))
+
+
+def op13_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -74,4 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_inner_products": op13_inner_products,
 }
