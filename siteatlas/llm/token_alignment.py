@@ -32,8 +32,9 @@ from siteatlas.llm.common import bounded_batches, written
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-#: Parts whose ids a worker keeps from batch to batch.
-CACHE = 200_000
+#: Parts whose ids a worker keeps from batch to batch, and how many it has tokenised at once.
+CACHE = 150_000
+SLICE = 5_000
 #: Whether a join may use a partitioning by some of its keys.
 WHOLE_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 MARKER = "▁"
@@ -125,38 +126,57 @@ def cut_texts(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFr
     def run(batches):
         sides = [LOADERS[kind](path) for kind, path in (a, b)]
         apart = all(s.parts_apart for s in sides)
-        ids: dict[str, tuple[list[int], list[int], bool]] = {}
+        known: dict[str, tuple[bytes, bytes, bool]] = {}  # ids of a part on both sides, packed, and whether they spell it
         batch_no = unit = TaskContext.get().partitionId() << 33
         for batch in batches:
-            if len(ids) > CACHE:
-                ids.clear()
-            texts = batch.column("text").to_pylist()
-            split = [[] if not t else parts(t) if apart else [t] for t in texts]
-            distinct = dict.fromkeys(p for s in split for p in s)
-            new = [p for p in distinct if p not in ids]
-            if new:
-                for p, x, y in zip(new, sides[0].encode(new), sides[1].encode(new), strict=True):
+            texts = batch.column("text")
+            number: dict[str, int] = {}
+            lists = []
+            for i in range(len(texts)):
+                t = texts[i].as_py()
+                found = [] if not t else parts(t) if apart else [t]
+                lists.append(np.fromiter((number.setdefault(p, len(number)) for p in found), np.int32, len(found)))
+            if len(known) > CACHE:
+                known.clear()
+            new = [p for p in number if p not in known]
+            for at in range(0, len(new), SLICE):
+                some = new[at : at + SLICE]
+                for p, x, y in zip(some, sides[0].encode(some), sides[1].encode(some), strict=True):
                     want = b" " + p.encode()
                     whole = all(b"".join(map(s.surface.__getitem__, i)) == want for s, i in zip(sides, (x, y), strict=True))
-                    ids[p] = x, y, whole
-            bad = {p for p in distinct if not ids[p][2]}
-            if bad:
-                split = [s if bad.isdisjoint(s) else [] for s in split]
-                distinct = dict.fromkeys(p for s in split for p in s)
-            number = {p: k for k, p in enumerate(distinct)}
-            lists = [list(map(number.__getitem__, s)) for s in split]
-            uses = np.bincount(np.fromiter((k for s in lists for k in s), np.int64), minlength=len(number))
-            n, m = len(texts), len(number)
+                    known[p] = np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes(), whole
+            bad = np.fromiter((not known[p][2] for p in number), bool, len(number))
+            if bad.any():  # texts with such a part have no tokens
+                lists = [x[:0] if bad[x].any() else x for x in lists]
+            flat = np.concatenate([*lists, np.empty(0, np.int32)])
+            uses = np.bincount(flat, minlength=len(number))
+            kept = np.flatnonzero(uses)
+            place = np.zeros(len(number), np.int32)
+            place[kept] = np.arange(len(kept))
+            names = list(number)
+            n, m = len(texts), len(kept)
+
+            def rows_of_parts(values, kind):
+                return pa.concat_arrays([pa.nulls(n, kind), pa.array(values, kind)])
+
+            def ids(side):
+                packed = [known[names[k]][side] for k in kept.tolist()]
+                offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+                values = pa.array(np.frombuffer(b"".join(packed), np.int32))
+                return pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(offsets), values)])
+
+            sizes = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+            numbers = pa.ListArray.from_arrays(pa.array(sizes), pa.array(place[flat]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([batch_no] * (n + m), pa.int64()),
+                    pa.array(np.full(n + m, batch_no)),
                     pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, batch.column("doc_id").type)]),
-                    pa.array(lists + [None] * m, pa.list_(pa.int32())),
-                    pa.array([None] * n + [unit + k for k in range(m)], pa.int64()),
-                    pa.array([None] * n + list(range(m)), pa.int32()),
-                    pa.array([None] * n + uses.tolist(), pa.int64()),
-                    pa.array([None] * n + [ids[p][0] for p in number], pa.list_(pa.int32())),
-                    pa.array([None] * n + [ids[p][1] for p in number], pa.list_(pa.int32())),
+                    pa.concat_arrays([numbers, pa.nulls(m, numbers.type)]),
+                    rows_of_parts(unit + np.arange(m), pa.int64()),
+                    rows_of_parts(np.arange(m), pa.int32()),
+                    rows_of_parts(uses[kept], pa.int64()),
+                    ids(0),
+                    ids(1),
                 ],
                 ["batch", "doc_id", "parts", "unit", "part", "uses", "a_ids", "b_ids"],
             )
