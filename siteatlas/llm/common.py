@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteatlas.sources.tables import written
+from siteatlas.sources.tables import CLEANUP, setting, shared_root, written
 
-__all__ = ["ascii_lower", "back_to_rows", "bounded_batches", "text_or_empty", "utf8", "written"]
+__all__ = ["ascii_lower", "back_to_rows", "bounded_batches", "bucketed_table", "text_or_empty", "utf8", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -38,6 +40,23 @@ def utf8(batch, name: str) -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def bucketed_table(df: DataFrame, name: str, keys: list[str], sort: bool = False) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder, in buckets of ``keys``: what goes by them needs no exchange.
+
+    Rows of one key are to be in few tasks, or each task writes a file for each
+    bucket.  The table leaves the catalog at once; its files stay for the plans
+    that read it.
+    """
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    with setting(spark, CLEANUP, "true"):
+        (writer.sortBy(*keys) if sort else writer).option("path", f"{shared_root(spark)}/siteatlas/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 #: A group of more than this share of all rows is hot; so no more than its inverse of groups can be.
 HOT_SHARE = 1 / 2000
 

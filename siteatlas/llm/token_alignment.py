@@ -16,7 +16,6 @@ document is a list of part numbers; its groups and sums come from its parts.
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import re
 from collections.abc import Callable
@@ -28,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteatlas.llm.common import bounded_batches, written
+from siteatlas.llm.common import bounded_batches, bucketed_table, written
+from siteatlas.sources.tables import setting
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts whose ids a worker keeps from batch to batch, and how many it has tokenised at once.
 CACHE = 150_000
-SLICE = 5_000
+SLICE = 4_000
 #: Whether a join may use a partitioning by some of its keys.
 WHOLE_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 MARKER = "▁"
@@ -49,36 +49,65 @@ def byte_of_symbol() -> dict[str, int]:
 
 @dataclass
 class Tokeniser:
-    """``encode`` takes texts and gives ids, each text with a space before it; ``surface`` has the bytes of each id."""
+    """``encode`` gives the ids of a text that starts with a space; ``surface`` has the bytes of each id."""
 
-    encode: Callable[[list[str]], list[list[int]]]
+    encode: Callable[[str], list[int]]
     surface: list[bytes]
 
-    @functools.cached_property
-    def parts_apart(self) -> bool:
-        """Whether no token holds a space after another character that is not white space."""
-        return not any(re.search(r"\S ", s.decode("utf-8", "replace")) for s in self.surface)
+    def __post_init__(self):
+        self.lengths = np.array([len(s) for s in self.surface], np.int64)
+        # Whether no token holds a space after another character that is not white space.
+        self.parts_apart = not any(re.search(r"\S ", s.decode("utf-8", "replace")) for s in self.surface)
+
+    def of_parts(self, some: list[str]) -> list[bytes | None]:
+        """The ids of each part, packed; None where its tokens do not spell it.  The parts are tokenised as one text."""
+        text = "".join(" " + p for p in some)
+        ids = np.array(self.encode(text), np.int32)
+        if b"".join(map(self.surface.__getitem__, ids)) == text.encode():
+            ends = np.cumsum(self.lengths[ids])
+            wanted = np.cumsum([1 + len(p.encode()) for p in some])
+            cuts = np.searchsorted(ends, wanted) + 1
+            if np.array_equal(ends[cuts - 1], wanted):
+                return [ids[x:y].tobytes() for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        if len(some) == 1:
+            return [None]
+        half = len(some) // 2
+        return self.of_parts(some[:half]) + self.of_parts(some[half:])
+
+
+# Fixed value: where a byte-level BPE is cut before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @functools.lru_cache
 def byte_level(path: str) -> Tokeniser:
-    """A byte-level BPE of the ``tokenizers`` library; special tokens are plain text."""
-    import os
+    """A byte-level BPE of a file of the ``tokenizers`` library; special tokens are plain text.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    Where the file's ids are in the order of its merges, they are the ranks with
+    which ``tiktoken`` gives the same ids in less time.
+    """
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    symbol = byte_of_symbol()
+    ids: dict[str, int] = file["model"]["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
+    surface = [b""] * (1 + max([*ids.values(), *(t["id"] for t in file["added_tokens"])]))
+    for token, i in ids.items():
+        surface[i] = bytes(symbol[c] for c in token)
+    cut = file["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not file["normalizer"]
+    if plain and all(ids[a + b] == 256 + k for k, (a, b) in enumerate(merges)):
+        import tiktoken
+
+        model = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks={surface[i]: i for i in ids.values()}, special_tokens={})
+        return Tokeniser(model.encode_ordinary, surface)
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
-    symbol = byte_of_symbol()
-    surface = [b""] * model.get_vocab_size()
-    for token, i in model.get_vocab().items():
-        surface[i] = bytes(symbol[c] for c in token) if all(c in symbol for c in token) else token.encode()
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-
-    return Tokeniser(encode, surface)
+    return Tokeniser(lambda text: model.encode(text, add_special_tokens=False).ids, surface)
 
 
 @functools.lru_cache
@@ -92,7 +121,7 @@ def sentence_pieces(path: str) -> Tokeniser:
         for i in range(model.get_piece_size())
     ]
     space = [model.piece_to_id(MARKER)]  # the model adds no space to an empty text
-    return Tokeniser(lambda texts: [i or space for i in model.encode(texts, num_threads=1)], surface)
+    return Tokeniser(lambda text: model.encode(text[1:]) or space, surface)
 
 
 LOADERS = {"byte_level": byte_level, "sentence_pieces": sentence_pieces}
@@ -115,19 +144,19 @@ def parts(text: str) -> list[str]:
 
 
 def cut_texts(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
-    """A written table with two sorts of rows: documents (batch, doc_id, parts) and their distinct parts.
+    """A table with two sorts of rows, in buckets of their batch: documents (batch, doc_id, parts) and distinct parts.
 
-    A part has its batch, ``unit`` (unique), ``part`` (its number within the
-    batch), ``uses`` (how often texts with tokens hold it), ``a_ids`` and
-    ``b_ids``.  A text without tokens has no parts.
+    A part has its batch, ``part`` (its number within it), ``uses`` (how often
+    texts with tokens hold it), ``a_ids`` and ``b_ids``.  A text without tokens
+    has no parts.  A task writes a file for each batch at most.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         sides = [LOADERS[kind](path) for kind, path in (a, b)]
         apart = all(s.parts_apart for s in sides)
-        known: dict[str, tuple[bytes, bytes, bool]] = {}  # ids of a part on both sides, packed, and whether they spell it
-        batch_no = unit = TaskContext.get().partitionId() << 33
+        known: dict[str, tuple[bytes | None, bytes | None]] = {}  # ids of a part on both sides, packed
+        number_of_batch = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column("text")
             number: dict[str, int] = {}
@@ -141,11 +170,9 @@ def cut_texts(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFr
             new = [p for p in number if p not in known]
             for at in range(0, len(new), SLICE):
                 some = new[at : at + SLICE]
-                for p, x, y in zip(some, sides[0].encode(some), sides[1].encode(some), strict=True):
-                    want = b" " + p.encode()
-                    whole = all(b"".join(map(s.surface.__getitem__, i)) == want for s, i in zip(sides, (x, y), strict=True))
-                    known[p] = np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes(), whole
-            bad = np.fromiter((not known[p][2] for p in number), bool, len(number))
+                known.update(zip(some, zip(*(s.of_parts(some) for s in sides), strict=True), strict=True))
+            packed = [known[p] for p in number]
+            bad = np.fromiter((None in p for p in packed), bool, len(packed))
             if bad.any():  # texts with such a part have no tokens
                 lists = [x[:0] if bad[x].any() else x for x in lists]
             flat = np.concatenate([*lists, np.empty(0, np.int32)])
@@ -153,63 +180,61 @@ def cut_texts(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFr
             kept = np.flatnonzero(uses)
             place = np.zeros(len(number), np.int32)
             place[kept] = np.arange(len(kept))
-            names = list(number)
             n, m = len(texts), len(kept)
 
-            def rows_of_parts(values, kind):
-                return pa.concat_arrays([pa.nulls(n, kind), pa.array(values, kind)])
-
             def ids(side):
-                packed = [known[names[k]][side] for k in kept.tolist()]
-                offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(packed), np.int32))
+                own = [packed[k][side] for k in kept.tolist()]
+                offsets = np.cumsum([0, *(len(x) // 4 for x in own)], dtype=np.int32)
+                values = pa.array(np.frombuffer(b"".join(own), np.int32))
                 return pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(offsets), values)])
 
             sizes = np.cumsum([0, *map(len, lists)], dtype=np.int32)
             numbers = pa.ListArray.from_arrays(pa.array(sizes), pa.array(place[flat]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(n + m, batch_no)),
+                    pa.array(np.full(n + m, number_of_batch)),
                     pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, batch.column("doc_id").type)]),
                     pa.concat_arrays([numbers, pa.nulls(m, numbers.type)]),
-                    rows_of_parts(unit + np.arange(m), pa.int64()),
-                    rows_of_parts(np.arange(m), pa.int32()),
-                    rows_of_parts(uses[kept], pa.int64()),
+                    pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(m), pa.int32())]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(uses[kept], pa.int64())]),
                     ids(0),
                     ids(1),
                 ],
-                ["batch", "doc_id", "parts", "unit", "part", "uses", "a_ids", "b_ids"],
+                ["batch", "doc_id", "parts", "part", "uses", "a_ids", "b_ids"],
             )
-            batch_no += 1
-            unit += m
+            number_of_batch += 1
+
+    schema = f"batch long, doc_id {kind}, parts array<int>, part int, uses long, a_ids array<int>, b_ids array<int>"
+    return bucketed_table(docs.mapInArrow(run, schema), "parts", ["batch"])
 
-    schema = f"batch long, doc_id {kind}, parts array<int>, unit long, part int, uses long, a_ids array<int>, b_ids array<int>"
-    return written(docs.mapInArrow(run, schema), "parts")
+
+#: What a text is known by: a part of a batch.
+UNIT = ["part", "batch"]
 
 
 def token_ends(units: DataFrame, side: str, lengths: DataFrame) -> DataFrame:
-    """(unit, end, <side>_own): every token of one side and the byte offset at which it ends."""
-    tokens = units.select("unit", F.posexplode(f"{side}_ids").alias("pos", f"{side}_own"))
-    upto = Window.partitionBy("unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """(part, batch, end, <side>_own): every token of one side and the byte offset at which it ends."""
+    tokens = units.select(*UNIT, F.posexplode(f"{side}_ids").alias("pos", f"{side}_own"))
+    upto = Window.partitionBy(*UNIT).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = tokens.join(F.broadcast(lengths.withColumnRenamed("id", f"{side}_own")), f"{side}_own")
-    return sized.select("unit", F.sum("length").over(upto).alias("end"), f"{side}_own")
+    return sized.select(*UNIT, F.sum("length").over(upto).alias("end"), f"{side}_own")
 
 
 def aligned(units: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> DataFrame:
     """The links of every text: one row for each pair of overlapping tokens.
 
-    ``units`` has unit, a_ids and b_ids, whose tokens cover the same bytes;
-    ``*_lengths`` (id, length) are vocabularies, which bound what is broadcast.
-    Returns unit, end (of the stretch that both tokens cover), a_id, b_id,
-    group (numbered from the end of the text, from 1), and a_own and b_own: the
-    id where the token ends here, else null.
+    ``units`` has part and batch, which name a text, a_ids and b_ids, whose
+    tokens cover the same bytes; ``*_lengths`` (id, length) are vocabularies,
+    which bound what is broadcast.  Returns part, batch, end (of the stretch
+    that both tokens cover), a_id, b_id, group (numbered from the end of the
+    text, from 1), and a_own and b_own: the id where the token ends here, else
+    null.
     """
-    spread = units.repartition("unit")
-    both = token_ends(spread, "a", a_lengths).join(token_ends(spread, "b", b_lengths), ["unit", "end"], "full_outer")
-    from_end = Window.partitionBy("unit").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = token_ends(units, "a", a_lengths).join(token_ends(units, "b", b_lengths), [*UNIT, "end"], "full_outer")
+    from_end = Window.partitionBy(*UNIT).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.col("a_own").isNotNull() & F.col("b_own").isNotNull()
     return both.select(
-        "unit",
+        *UNIT,
         "end",
         F.last("a_own", ignorenulls=True).over(from_end).alias("a_id"),
         F.last("b_own", ignorenulls=True).over(from_end).alias("b_id"),
@@ -219,8 +244,8 @@ def aligned(units: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> Dat
     )
 
 
-def by_unit(links: DataFrame) -> DataFrame:
-    """One row for each unit of ``aligned``: n_a, n_b, n_groups, links (array of a_id, b_id) and groups.
+def by_text(links: DataFrame) -> DataFrame:
+    """One row for each text of ``aligned``: n_a, n_b, n_groups, links (array of a_id, b_id) and groups.
 
     ``groups`` has the ids of each group in text order, ``a1,a2|b1;a3|b2,b3``.
     """
@@ -233,7 +258,7 @@ def by_unit(links: DataFrame) -> DataFrame:
 
     ordered = F.sort_array(F.concat("a_texts", "b_texts"))
     return (
-        links.groupBy("unit")
+        links.groupBy(*UNIT)
         .agg(
             F.count("a_own").cast("int").alias("n_a"),
             F.count("b_own").cast("int").alias("n_b"),
@@ -242,21 +267,10 @@ def by_unit(links: DataFrame) -> DataFrame:
             pieces("a", 0, "|"),
             pieces("b", 1, ";"),
         )
-        .select("unit", "n_a", "n_b", "n_groups", "links", F.rtrim(F.array_join(F.transform(ordered, lambda p: p.text), ""), F.lit(";")).alias("groups"))
+        .select(*UNIT, "n_a", "n_b", "n_groups", "links", F.rtrim(F.array_join(F.transform(ordered, lambda p: p.text), ""), F.lit(";")).alias("groups"))
     )
 
 
-@contextlib.contextmanager
-def joins_by_some_keys(spark: SparkSession):
-    """Lets rows that are together by text be joined on (text, end) where they are."""
-    before = spark.conf.get(WHOLE_KEYS)
-    spark.conf.set(WHOLE_KEYS, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(WHOLE_KEYS, before)
-
-
 def lengths_of(spark: SparkSession, tokeniser: Tokeniser) -> DataFrame:
     """(id, length in bytes) of a vocabulary."""
     return spark.createDataFrame([(i, len(s)) for i, s in enumerate(tokeniser.surface)], "id int, length int")
@@ -275,32 +289,33 @@ def align_tokens(
     rows and null ids too: doc_id, n_a, n_b, n_groups, n_links (overlapping
     token pairs), n_best (links whose id pair is linked as often, corpus-wide,
     as any with this B id), count_sum (over the links, how often their id pair is
-    linked), all long, and groups (see ``by_unit``).  A text that is null or
+    linked), all long, and groups (see ``by_text``).  A text that is null or
     empty, or that either side's tokens do not spell, has no tokens: zeros and
     an empty ``groups``.  An empty table gives an empty result; further columns
     are not read.  A batch of texts is bounded, and so is all that one row or
     task holds, but for a single text beyond that bound.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, rows=10_000)
+    bounded_batches(spark, rows=20_000, size=16 << 20)
     a_lengths, b_lengths = (lengths_of(spark, LOADERS[kind](path)) for kind, path in (a, b))
     table = cut_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), a, b)
-    found = table.where(F.col("unit").isNotNull())
-    with joins_by_some_keys(spark):
-        units = written(by_unit(aligned(found.select("unit", "a_ids", "b_ids"), a_lengths, b_lengths)), "units")
-    links = units.select("unit", F.explode("links").alias("link")).select("unit", "link.*")
-    weighted = found.select("unit", "uses").join(links, "unit")
-    pairs = written(weighted.groupBy("a_id", "b_id").agg(F.sum("uses").alias("n")), "pairs")
-    best = pairs.groupBy("b_id").agg(F.max("n").alias("most"))
-    pairs = written(pairs.join(best, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("most")).cast("int").alias("best")), "pairs")
-    sums = links.join(pairs, ["a_id", "b_id"]).groupBy("unit").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    found = table.where(F.col("part").isNotNull())
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    known = found.select("unit", "batch", "part").join(units.drop("links"), "unit").join(sums, "unit")
-    # The parts of a batch as one row, in order of their numbers; parts without uses have none.
-    listed = known.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("part", *(F.col(n).cast("long").alias(n) for n in numbers), "groups"))).alias("rows"))
-    listed = listed.select("batch", *(F.col("rows")[n].alias(f"{n}_of") for n in ["part", *numbers, "groups"]))
-    texts = table.where(F.col("unit").isNull()).select("batch", "doc_id", "parts")
-    joined = texts.join(listed, "batch", "left")
+    # Rows of a batch are together, so they may be joined by more than their batch where they are.
+    with setting(spark, WHOLE_KEYS, "false"):
+        texts = by_text(aligned(found.select(*UNIT, "a_ids", "b_ids"), a_lengths, b_lengths))
+        units = bucketed_table(texts.join(found.select(*UNIT, "uses"), UNIT), "units", ["batch"])
+        links = units.select(*UNIT, "uses", F.explode("links").alias("link")).select(*UNIT, "uses", "link.*")
+        counts = written(links.groupBy("a_id", "b_id").agg(F.sum("uses").alias("n")), "counts")
+        best = counts.groupBy("b_id").agg(F.max("n").alias("most"))
+        pairs = written(counts.join(best, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("most")).cast("int").alias("best")), "pairs")
+        sums = links.join(pairs, ["a_id", "b_id"]).groupBy(*UNIT).agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+        known = units.drop("links", "uses").join(sums, UNIT)
+        # The parts of a batch as one row, in order of their numbers.
+        rows = F.sort_array(F.collect_list(F.struct("part", *(F.col(n).cast("long").alias(n) for n in numbers), "groups")))
+        listed = known.groupBy("batch").agg(rows.alias("rows")).select("batch", *(F.col("rows")[n].alias(f"{n}_of") for n in [*numbers, "groups"]))
+        listed = bucketed_table(listed, "listed", ["batch"])
+    joined = table.where(F.col("part").isNull()).select("batch", "doc_id", "parts").join(listed, "batch", "left")
 
     def total(name: str):
         of = F.col(f"{name}_of")

@@ -97,10 +97,10 @@ def test_parts_join_to_the_text():
 def test_links_of_one_long_group(spark):
     """Tokens of 3 and of 2 bytes meet every 6 bytes; where they never meet, all is one group with as many links as ends."""
     lengths = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id int, length int")
-    units = spark.createDataFrame([(1, [3, 3], [2, 2, 2]), (2, [1] + [2] * 500, [2] * 500 + [1])], "unit long, a_ids array<int>, b_ids array<int>")
-    out = aligned(units, lengths, lengths).orderBy("unit", "end").collect()
-    assert [(r.end, r.a_id, r.b_id, r.group) for r in out if r.unit == 1] == [(2, 3, 2, 1), (3, 3, 2, 1), (4, 3, 2, 1), (6, 3, 2, 1)]
-    second = [r for r in out if r.unit == 2]
+    units = spark.createDataFrame([(1, 0, [3, 3], [2, 2, 2]), (2, 0, [1] + [2] * 500, [2] * 500 + [1])], "part int, batch long, a_ids array<int>, b_ids array<int>")
+    out = aligned(units, lengths, lengths).orderBy("part", "end").collect()
+    assert [(r.end, r.a_id, r.b_id, r.group) for r in out if r.part == 1] == [(2, 3, 2, 1), (3, 3, 2, 1), (4, 3, 2, 1), (6, 3, 2, 1)]
+    second = [r for r in out if r.part == 2]
     assert len(second) == 1001 and {r.group for r in second} == {1}
 
 
