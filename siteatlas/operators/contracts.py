@@ -9,7 +9,7 @@ before its exchange; the result is a set of tables keyed by path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteatlas.functions import bodies, classify, url
@@ -180,12 +180,12 @@ def field_kinds(values: DataFrame) -> DataFrame:
     )
 
 
-def finished(rows: DataFrame) -> DataFrame:
+def finished(values: DataFrame) -> DataFrame:
     """Fields with their kind, and their values listed in the order in which they were first seen.
 
-    The list is for captures and reports; :func:`field_kinds` has all else.
+    ``values`` as of :func:`field_values`, written.  The list is for captures
+    and reports; :func:`field_kinds` has all else.
     """
-    values = written(field_values(rows), "values")
     order = F.array_sort(F.collect_list(F.when(~F.col("placeholder"), F.struct("first", "value"))))
     listed = values.groupBy(*FIELD).agg(F.array_distinct(F.transform(order, lambda r: r["value"])).alias("values"))
     return field_kinds(values).join(listed, FIELD).select(
@@ -254,40 +254,95 @@ def rendered_request(obs: DataFrame) -> Column:
     return F.concat(F.col("method"), F.lit(" "), shown, with_body, with_headers)
 
 
-def infer_contracts(observations: DataFrame) -> dict[str, DataFrame]:
-    """endpoints, contract_fields, contract_bodies and endpoint_response of all requests."""
+#: How the tables of :func:`partial_contracts` are combined: their keys, and an aggregate for each other column.
+MERGE = {
+    "values": ([*FIELD, "value", "placeholder"], {"first": F.min}),
+    "lines": (["path", "line"], {"seq": F.min}),
+    "methods": (["path", "method"], {}),
+    "calls": (["path"], {"calls": F.sum, "endpoint_only": F.max, "all_inferred": F.min}),
+    "formats": (["path", "body_kind", "mime"], {"sample": F.min}),
+    "body_methods": (["path", "body_kind", "mime", "method"], {"first": F.min}),
+    "answers": (["path", "field"], {"best": F.min}),
+}
+
+
+def combined(name: str, rows: DataFrame, max_raw: int = MAX_RAW) -> DataFrame:
+    """Rows of one table of partial contracts, of any number of parts, with one row for each key; combined before the exchange.
+
+    Of the request lines only those of the first ``max_raw`` per path stay,
+    which is enough for any later part: a line among the first of all is among
+    the first of the part that saw it first.
+    """
+    keys, aggregates = MERGE[name]
+    out = rows.groupBy(*keys).agg(*(f(c).alias(c) for c, f in aggregates.items())) if aggregates else rows.select(*keys).distinct()
+    if name == "lines":
+        nth = F.row_number().over(Window.partitionBy("path").orderBy("seq", "line"))
+        out = out.withColumn("__nth", nth).where(F.col("__nth") <= max_raw).drop("__nth")
+    return out
+
+
+def partial_contracts(observations: DataFrame, max_raw: int = MAX_RAW) -> dict[str, DataFrame]:
+    """What a part of the requests says of its endpoints, as tables that :func:`combined` merges with those of other parts."""
     obs = observations.withColumn("path", contract_path(F.col("url"))).where("path is not null")
-    obs = obs.withColumn("shape", F.when(F.col("body") != "", bodies.infer_body(F.col("body"), content_type(F.col("headers")))))
+    shape = F.when(F.col("body") != "", bodies.infer_body(F.col("body"), content_type(F.col("headers"))))
+    obs = written(obs.withColumn("shape", shape).withColumn("line", rendered_request(obs)), "observations")
     called = ~F.col("endpoint_only")
-    raw = obs.withColumn("line", rendered_request(obs)).groupBy("path", "line").agg(F.min("seq").alias("seq"))
-    raw = raw.groupBy("path").agg(
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "line"))), 1, MAX_RAW), lambda r: r["line"]).alias("raw")
-    )
-    heads = obs.groupBy("path").agg(
-        F.array_sort(F.collect_set(F.when(called & (F.col("method") != ""), F.upper("method")))).alias("methods"),
-        F.count_if(called).alias("calls"),
-        (F.bool_or("endpoint_only") & (F.count_if(called) == 0)).alias("unobserved"),
-        F.coalesce(F.bool_and(F.when(called, F.col("method_inferred"))), F.lit(False)).alias("method_inferred"),
-    )
-    fields = finished(field_rows(obs))
-    seen = obs.where("shape.kind is not null").select("path", F.col("shape.kind").alias("body_kind"), F.col("shape.mime").alias("mime"), "shape.methods", "shape.sample", "seq")
-    seen = seen.groupBy("path", "body_kind", "mime").agg(
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "methods"))), lambda r: r["methods"]))).alias("methods"),
-        F.coalesce(F.min_by("sample", F.struct(F.when(F.col("sample") != "", 0).otherwise(1), "seq")), F.lit("")).alias("sample"),
-    )
-    answers = obs.select("path", "seq", F.posexplode("response_fields").alias("pos", "f")).where("f.path <> ''")
+    shaped = obs.where("shape.kind is not null").select("path", F.col("shape.kind").alias("body_kind"), F.col("shape.mime").alias("mime"), "shape.methods", "shape.sample", "seq")
     generic = F.col("f.kind").isin("any", "")
-    answers = answers.groupBy("path", F.col("f.path").alias("field")).agg(
-        F.min_by("f.kind", F.struct(generic.alias("g"), "seq", "pos")).alias("kind")
+    tables = {
+        "values": field_rows(obs).select(*FIELD, "value", "placeholder", F.struct("seq", "pos").alias("first")),
+        "lines": obs.select("path", "line", "seq"),
+        "methods": obs.where(called & (F.col("method") != "")).select("path", F.upper("method").alias("method")),
+        "calls": obs.select(
+            "path", called.cast("long").alias("calls"), "endpoint_only", F.when(called, F.col("method_inferred")).alias("all_inferred")
+        ),
+        "formats": shaped.select(
+            "path", "body_kind", "mime", F.struct(F.when(F.col("sample") != "", 0).otherwise(1).alias("none"), "seq", "sample").alias("sample")
+        ),
+        "body_methods": shaped.select("path", "body_kind", "mime", "seq", F.posexplode("methods").alias("pos", "method")).select(
+            "path", "body_kind", "mime", "method", F.struct("seq", "pos").alias("first")
+        ),
+        "answers": obs.select("path", "seq", F.posexplode("response_fields").alias("pos", "f")).where("f.path <> ''").select(
+            "path", F.col("f.path").alias("field"), F.struct(generic.alias("g"), "seq", "pos", F.col("f.kind").alias("kind")).alias("best")
+        ),
+    }
+    return {name: combined(name, rows, max_raw) for name, rows in tables.items()}
+
+
+def whole_contracts(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """endpoints, contract_fields, contract_bodies and endpoint_response of combined partial contracts."""
+    lines = parts["lines"].groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"]).alias("raw"))
+    methods = parts["methods"].groupBy("path").agg(F.array_sort(F.collect_set("method")).alias("methods"))
+    heads = parts["calls"].join(methods, "path", "left").select(
+        "path",
+        F.coalesce("methods", F.array().cast("array<string>")).alias("methods"),
+        "calls",
+        (F.col("endpoint_only") & (F.col("calls") == 0)).alias("unobserved"),
+        F.coalesce("all_inferred", F.lit(False)).alias("method_inferred"),
+    )
+    fields = finished(written(parts["values"], "values"))
+    order = F.array_sort(F.collect_list(F.struct("first", "method")))
+    names = parts["body_methods"].groupBy("path", "body_kind", "mime").agg(F.transform(order, lambda r: r["method"]).alias("methods"))
+    seen = parts["formats"].join(names, ["path", "body_kind", "mime"], "left").select(
+        "path",
+        "body_kind",
+        "mime",
+        F.coalesce("methods", F.array().cast("array<string>")).alias("methods"),
+        F.coalesce("sample.sample", F.lit("")).alias("sample"),
     )
     return {
-        "endpoints": heads.join(raw, "path", "left"),
+        "endpoints": heads.join(lines, "path", "left"),
         "contract_fields": fields,
         "contract_bodies": body_samples(fields, seen),
-        "endpoint_response": answers,
+        "endpoint_response": parts["answers"].select("path", "field", F.col("best.kind").alias("kind")),
     }
 
 
+def infer_contracts(observations: DataFrame, max_raw: int = MAX_RAW) -> dict[str, DataFrame]:
+    """endpoints, contract_fields, contract_bodies and endpoint_response of all requests; ``max_raw`` lines are shown of an endpoint."""
+    return whole_contracts(partial_contracts(observations, max_raw))
+
+
 def request_samples(endpoints: DataFrame, contract_bodies: DataFrame) -> DataFrame:
     """(path, sample): a line for each method and body of an endpoint."""
     texts = contract_bodies.select("path", F.explode(F.split("sample", "  /  ", -1)).alias("body"))
