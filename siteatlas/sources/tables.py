@@ -49,3 +49,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     with setting(spark, CLEANUP, "true"):
         df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that a step wrote, once what was made of it is written too."""
+    jvm = table.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
