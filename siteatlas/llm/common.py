@@ -51,7 +51,7 @@ def bucketed_table(df: DataFrame, name: str, keys: list[str], sort: bool = False
     name = f"{name}_{uuid.uuid4().hex}"
     writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
     with setting(spark, CLEANUP, "true"):
-        (writer.sortBy(*keys) if sort else writer).option("path", f"{shared_root(spark)}/siteatlas/{name}").saveAsTable(name)
+        (writer.sortBy(*keys) if sort else writer).option("path", f"{shared_root(spark)}/siteatlas/{name}").option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table

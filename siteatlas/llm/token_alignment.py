@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteatlas.llm.common import bounded_batches, bucketed_table, written
-from siteatlas.sources.tables import setting
+from siteatlas.sources.tables import discard, setting
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -230,10 +230,19 @@ def aligned(units: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> Dat
     text, from 1), and a_own and b_own: the id where the token ends here, else
     null.
     """
-    both = token_ends(units, "a", a_lengths).join(token_ends(units, "b", b_lengths), [*UNIT, "end"], "full_outer")
+    return linked(all_ends(units, a_lengths, b_lengths))
+
+
+def all_ends(units: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> DataFrame:
+    """(part, batch, end, a_own, b_own): every offset at which a token of either side ends."""
+    return token_ends(units, "a", a_lengths).join(token_ends(units, "b", b_lengths), [*UNIT, "end"], "full_outer")
+
+
+def linked(ends: DataFrame) -> DataFrame:
+    """The links of :func:`aligned`: each end with the nearest token of either side that ends there or later."""
     from_end = Window.partitionBy(*UNIT).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.col("a_own").isNotNull() & F.col("b_own").isNotNull()
-    return both.select(
+    return ends.select(
         *UNIT,
         "end",
         F.last("a_own", ignorenulls=True).over(from_end).alias("a_id"),
@@ -296,15 +305,17 @@ def align_tokens(
     task holds, but for a single text beyond that bound.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, rows=20_000, size=16 << 20)
+    bounded_batches(spark, rows=20_000)
     a_lengths, b_lengths = (lengths_of(spark, LOADERS[kind](path)) for kind, path in (a, b))
     table = cut_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), a, b)
     found = table.where(F.col("part").isNotNull())
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     # Rows of a batch are together, so they may be joined by more than their batch where they are.
     with setting(spark, WHOLE_KEYS, "false"):
-        texts = by_text(aligned(found.select(*UNIT, "a_ids", "b_ids"), a_lengths, b_lengths))
-        units = bucketed_table(texts.join(found.select(*UNIT, "uses"), UNIT), "units", ["batch"])
+        # An outer join does not tell that its rows are still together; a table in buckets does.
+        ends = bucketed_table(all_ends(found.select(*UNIT, "a_ids", "b_ids"), a_lengths, b_lengths), "ends", ["batch"])
+        units = bucketed_table(by_text(linked(ends)).join(found.select(*UNIT, "uses"), UNIT), "units", ["batch"])
+        discard(ends)
         links = units.select(*UNIT, "uses", F.explode("links").alias("link")).select(*UNIT, "uses", "link.*")
         counts = written(links.groupBy("a_id", "b_id").agg(F.sum("uses").alias("n")), "counts")
         best = counts.groupBy("b_id").agg(F.max("n").alias("most"))
@@ -315,6 +326,7 @@ def align_tokens(
         rows = F.sort_array(F.collect_list(F.struct("part", *(F.col(n).cast("long").alias(n) for n in numbers), "groups")))
         listed = known.groupBy("batch").agg(rows.alias("rows")).select("batch", *(F.col("rows")[n].alias(f"{n}_of") for n in [*numbers, "groups"]))
         listed = bucketed_table(listed, "listed", ["batch"])
+        discard(units)
     joined = table.where(F.col("part").isNull()).select("batch", "doc_id", "parts").join(listed, "batch", "left")
 
     def total(name: str):
