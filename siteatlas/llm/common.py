@@ -40,16 +40,16 @@ def utf8(batch, name: str) -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def bucketed_table(df: DataFrame, name: str, keys: list[str], sort: bool = False) -> DataFrame:
+def bucketed_table(df: DataFrame, name: str, keys: list[str], sort: bool = False, spread: int = 1) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder, in buckets of ``keys``: what goes by them needs no exchange.
 
     Rows of one key are to be in few tasks, or each task writes a file for each
-    bucket.  The table leaves the catalog at once; its files stay for the plans
+    bucket.  There are ``spread`` buckets for each shuffle partition.  The table leaves the catalog at once; its files stay for the plans
     that read it.
     """
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    writer = df.write.bucketBy(spread * int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
     with setting(spark, CLEANUP, "true"):
         (writer.sortBy(*keys) if sort else writer).option("path", f"{shared_root(spark)}/siteatlas/{name}").option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)

@@ -35,6 +35,8 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts whose ids a worker keeps from batch to batch, and how many it has tokenised at once.
 CACHE = 150_000
 SLICE = 4_000
+#: Buckets for each shuffle partition, so that a task sorts the tokens of one or two batches in memory.
+SPREAD = 8
 #: Whether a join may use a partitioning by some of its keys.
 WHOLE_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 MARKER = "▁"
@@ -205,7 +207,7 @@ def cut_texts(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFr
             number_of_batch += 1
 
     schema = f"batch long, doc_id {kind}, parts array<int>, part int, uses long, a_ids array<int>, b_ids array<int>"
-    return bucketed_table(docs.mapInArrow(run, schema), "parts", ["batch"])
+    return bucketed_table(docs.mapInArrow(run, schema), "parts", ["batch"], spread=SPREAD)
 
 
 #: What a text is known by: a part of a batch.
@@ -313,8 +315,8 @@ def align_tokens(
     # Rows of a batch are together, so they may be joined by more than their batch where they are.
     with setting(spark, WHOLE_KEYS, "false"):
         # An outer join does not tell that its rows are still together; a table in buckets does.
-        ends = bucketed_table(all_ends(found.select(*UNIT, "a_ids", "b_ids"), a_lengths, b_lengths), "ends", ["batch"])
-        units = bucketed_table(by_text(linked(ends)).join(found.select(*UNIT, "uses"), UNIT), "units", ["batch"])
+        ends = bucketed_table(all_ends(found.select(*UNIT, "a_ids", "b_ids"), a_lengths, b_lengths), "ends", ["batch"], spread=SPREAD)
+        units = bucketed_table(by_text(linked(ends)).join(found.select(*UNIT, "uses"), UNIT), "units", ["batch"], spread=SPREAD)
         discard(ends)
         links = units.select(*UNIT, "uses", F.explode("links").alias("link")).select(*UNIT, "uses", "link.*")
         counts = written(links.groupBy("a_id", "b_id").agg(F.sum("uses").alias("n")), "counts")
@@ -325,7 +327,7 @@ def align_tokens(
         # The parts of a batch as one row, in order of their numbers.
         rows = F.sort_array(F.collect_list(F.struct("part", *(F.col(n).cast("long").alias(n) for n in numbers), "groups")))
         listed = known.groupBy("batch").agg(rows.alias("rows")).select("batch", *(F.col("rows")[n].alias(f"{n}_of") for n in [*numbers, "groups"]))
-        listed = bucketed_table(listed, "listed", ["batch"])
+        listed = bucketed_table(listed, "listed", ["batch"], spread=SPREAD)
         discard(units)
     joined = table.where(F.col("part").isNull()).select("batch", "doc_id", "parts").join(listed, "batch", "left")
 
