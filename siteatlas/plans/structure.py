@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteatlas.operators import dom
-from siteatlas.plans.queries import bodies, query
+from siteatlas.functions import url
+from siteatlas.operators import dom, scope, tree
+from siteatlas.plans.queries import bodies, query, table
 
 ORACLES: dict[str, str] = {}
 
@@ -85,3 +86,115 @@ WITH {PLAIN_MARKUP}, t AS (SELECT url, lower(unnest(regexp_extract_all(h, '<(for
 SELECT url AS source_url, CASE tag WHEN 'form' THEN 'forms' WHEN 'img' THEN 'images' WHEN 'a' THEN 'links' ELSE 'scripts' END AS name,
   count(*) AS n FROM t GROUP BY ALL
 """)
+
+
+#: Where pages stand: host and path, without scheme, port, query and fragment.
+PLACE = "regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '')"
+
+
+def place_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folders of a capture as a forest: hosts, and below them the places of pages and all that lead to them."""
+    places = table(spark, sf_dir, "pages").select(F.split(F.expr(PLACE), "/").alias("s")).distinct()
+    steps = places.select("s", F.explode(F.sequence(F.lit(2), F.greatest(F.size("s"), F.lit(2)))).alias("n")).where(F.col("n") <= F.size("s"))
+    head = lambda n: F.array_join(F.slice("s", F.lit(1), n), "/")
+    edges = steps.select(head(F.col("n") - 1).alias("from_key"), head(F.col("n")).alias("to_key")).distinct()
+    return tree.forest(edges, places.select(F.get("s", F.lit(0)).alias("key")).distinct())
+
+
+PLACES = f"""p AS (SELECT DISTINCT string_split({PLACE}, '/') AS s FROM pages),
+n AS (SELECT DISTINCT array_to_string(list_slice(s, 1, k), '/') AS key, k - 1 AS depth, CASE WHEN k > 1 THEN array_to_string(list_slice(s, 1, k - 1), '/') END AS parent
+  FROM (SELECT s, unnest(generate_series(1, len(s))) AS k FROM p)),
+t AS (SELECT key, parent, CAST(depth AS INTEGER) AS depth, (SELECT count(*) FROM n b WHERE starts_with(b.key, n.key || '/')) AS below,
+  row_number() OVER (ORDER BY string_split(key, '/')) - 1 AS place FROM n)"""
+
+
+@query
+def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth-first order, and how many places are below each."""
+    return tree.depth_first(place_tree(spark, sf_dir))
+
+
+sql("tree_walk", f"WITH {PLACES} SELECT * FROM t")
+
+
+@query
+def tree_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk down to a depth, with what it hides."""
+    return tree.shown_tree(place_tree(spark, sf_dir), max_depth=1).select("key", "depth", "hidden")
+
+
+sql("tree_cut", f"WITH {PLACES} SELECT key, depth, CASE WHEN depth = 1 THEN below ELSE 0 END AS hidden FROM t WHERE depth <= 1")
+
+
+@query
+def tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many places each host has at each depth, by the walk from its root."""
+    found = place_tree(spark, sf_dir)
+    return found.groupBy(F.substring_index("key", "/", 1).alias("host"), "depth").agg(F.count("*").alias("n"))
+
+
+sql("tree_counts", f"""
+WITH RECURSIVE {PLACES},
+r(root, key, depth) AS (SELECT key, key, 0 FROM n WHERE parent IS NULL UNION ALL SELECT r.root, n.key, r.depth + 1 FROM r JOIN n ON n.parent = r.key)
+SELECT root AS host, CAST(depth AS INTEGER) AS depth, count(*) AS n FROM r GROUP BY ALL
+""")
+
+
+@query
+def covered_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of pages' addresses that a template, an address with its numbers as slots, says in full."""
+    pages = table(spark, sf_dir, "pages")
+    template = F.regexp_replace("url", "/[0-9]+", "/{id}")
+    heads = pages.select(F.regexp_extract("url", "^(.*?/)[0-9]", 1).alias("fragment")).union(pages.select("url"))
+    return scope.covered(heads, pages.select(F.col("url").alias("href"), template.alias("resolved")))
+
+
+sql("covered_fragments", """
+WITH f AS (SELECT regexp_extract(url, '^(.*?/)[0-9]', 1) AS fragment FROM pages UNION SELECT url FROM pages),
+t AS (SELECT DISTINCT regexp_replace(url, '/[0-9]+', '/{id}', 'g') AS t FROM pages)
+SELECT fragment FROM f WHERE fragment <> '' AND EXISTS (
+  SELECT 1 FROM t WHERE contains(t, '{') AND length(t) > length(fragment) AND starts_with(t, fragment))
+""")
+
+
+def page_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of domains: hosts of three labels, and the domains of two labels that begin with them."""
+    hosts = table(spark, sf_dir, "pages").select(url.host(F.col("url")).alias("host")).distinct()
+    three = hosts.where(F.size(F.split("host", r"\.")) == 3).select(F.col("host").alias("domain"))
+    return three.union(hosts.select(F.regexp_extract("host", r"([^.]+\.(?:com|net))$", 1))).where("domain <> ''").distinct()
+
+
+SCOPES = """h AS (SELECT DISTINCT lower(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1), ':[0-9]+$', '')) AS host FROM pages),
+s AS (SELECT host AS domain FROM h WHERE len(string_split(host, '.')) = 3
+  UNION SELECT regexp_extract(host, '([^.]+\.(?:com|net))$', 1) FROM h),
+m AS (SELECT host, domain, row_number() OVER (PARTITION BY host ORDER BY length(domain) DESC) AS n
+  FROM h JOIN s ON domain <> '' AND (host = domain OR ends_with(host, '.' || domain)))"""
+
+
+@query
+def longest_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each page's host the longest domain of the list that it is under."""
+    hosts = table(spark, sf_dir, "pages").select(url.host(F.col("url")).alias("host"))
+    return scope.longest_domain(hosts, page_scopes(spark, sf_dir))
+
+
+sql("longest_scopes", f"WITH {SCOPES} SELECT host, domain FROM m WHERE n = 1")
+
+
+@query
+def scoped_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as requests: a header for each scope, one for every host in scope, none outside."""
+    scopes = page_scopes(spark, sf_dir)
+    given = scopes.select("domain", F.lit("X-Scope").alias("name"), F.col("domain").alias("value"))
+    given = given.union(scopes.select("domain", F.lit("Accept"), F.lit("text/html")))
+    own = F.array(F.struct(F.lit("accept").alias("name"), F.lit("*/*").alias("value")), F.struct(F.lit("Host").alias("name"), url.host(F.col("url")).alias("value")))
+    sent = scope.apply_headers(table(spark, sf_dir, "pages").select("url", own.alias("headers")), given, scopes)
+    return sent.select("url", F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "|").alias("headers"))
+
+
+sql("scoped_headers", f"""
+WITH {SCOPES}, r AS (SELECT url, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS given FROM pages)
+SELECT url, CASE WHEN m.domain IS NULL THEN 'accept: */*|Host: ' || given
+  ELSE 'Host: ' || given || '|Accept: text/html|X-Scope: ' || m.domain END AS headers
+FROM r LEFT JOIN m ON n = 1 AND m.host = lower(regexp_replace(given, ':[0-9]+$', ''))
+""")
