@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siteatlas.sources.tables import CLEANUP, setting, shared_root, written
 
-__all__ = ["ascii_lower", "back_to_rows", "bounded_batches", "bucketed_table", "text_or_empty", "utf8", "written"]
+__all__ = ["ascii_lower", "back_to_rows", "bounded_batches", "bucketed_table", "runs_in_order", "sorted_run", "text_or_empty", "utf8", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -57,6 +58,20 @@ def bucketed_table(df: DataFrame, name: str, keys: list[str], sort: bool = False
     return table
 
 
+@contextlib.contextmanager
+def runs_in_order(spark: SparkSession):
+    """Tables in sorted buckets of one file each are read as sorted, so that merge joins of runs sort nothing."""
+    with setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"):
+        yield
+
+
+def sorted_run(rows: DataFrame, name: str, keys: list[str], apart: bool = True) -> DataFrame:
+    """Rows as a run: a table in buckets of ``keys``, each in order.  ``apart``: whether they have to be dealt to their buckets first."""
+    if apart:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return bucketed_table(rows, name, keys, sort=True)
+
+
 #: A group of more than this share of all rows is hot; so no more than its inverse of groups can be.
 HOT_SHARE = 1 / 2000
 

@@ -1,25 +1,23 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
-Every input partition makes one run: its distinct digests in order, each with
-the identifier to keep and the number of rows.  A run is dealt in slices of the
-digest space, so that slice k of all runs is in one place, and slices are then
-merged in binomial rounds: in each round run 2j takes in run 2j + 1.  A merge
-is a sort by (run, digest), which brings the two sorted runs together, and an
-aggregation of neighbours in that order.  Since a slice holds one record of a
-digest for each run at most, however many rows have it, no task sees a group of
-rows whole, and the rounds need no exchange beyond the first.  Equal digests
-count as equal texts only if byte length and a second, independent hash agree
-as well; this is part of every merge.
+The input partitions make ``runs`` runs: the distinct digests of a run in
+order, each with the identifier to keep and the number of rows.  A run is a
+table in buckets of the digest space, each in order, so that bucket k of all
+runs can be merged in one place.  In binomial rounds, run 2j takes in run
+2j + 1: a full outer merge join walks along the two sorted runs, records of
+equal texts become one, and what comes out is the next round's run.  A bucket
+holds one record of a digest for each run at most, however many rows have it,
+so no task sees a group of rows whole.  Equal digests count as equal texts only
+if byte length and a second, independent hash agree as well; they are part of
+every merge.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteatlas.llm.common import ascii_lower, back_to_rows, text_or_empty, written
+from siteatlas.llm.common import ascii_lower, back_to_rows, bucketed_table, runs_in_order, sorted_run, text_or_empty, written
 
 IDENTITY = ["text_sha256", "n_bytes", "check_hash"]
 
@@ -36,42 +34,46 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-@contextmanager
-def merging_sorted(spark: SparkSession):
-    """Aggregations over sorted rows walk along them instead of hashing."""
-    name = "spark.sql.execution.replaceHashWithSortAgg"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def better(a: Column, b: Column, keep: str) -> Column:
+    """The identifier of two that stays; a null one only beside another."""
+    return (F.greatest if keep == "largest" else F.least)(a, b)
 
 
-def sorted_runs(table: DataFrame, keep: str) -> DataFrame:
-    """(run, digest, keep_id, group_size): the run of each partition, combined before it is dealt in slices and sorted."""
+def sorted_runs(table: DataFrame, keep: str, runs: int) -> list[DataFrame]:
+    """(digest, keep_id, group_size): the runs, combined in their partitions before they are dealt to buckets and sorted."""
     best = F.max if keep == "largest" else F.min
-    runs = table.groupBy("run", *IDENTITY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return runs.repartition(*IDENTITY).sortWithinPartitions("run", *IDENTITY)
+    own = table.groupBy("run", *IDENTITY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return [sorted_run(own.where(F.col("run") == r).drop("run"), "digest_run", IDENTITY) for r in range(runs)]
 
 
-def merge_runs(runs: DataFrame, keep: str, fan_in: int = 2) -> DataFrame:
-    """One round: ``fan_in`` neighbouring runs each become one sorted run; records of equal texts become one."""
-    best = F.max if keep == "largest" else F.min
-    together = runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).sortWithinPartitions("run", *IDENTITY)
-    return together.groupBy("run", *IDENTITY).agg(
-        best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
+def merge_runs(one: DataFrame, other: DataFrame, keep: str) -> DataFrame:
+    """Two sorted runs as one, in order and in the same buckets."""
+    more = other.select(*IDENTITY, F.col("keep_id").alias("other_id"), F.col("group_size").alias("more")).hint("merge")
+    return one.join(more, IDENTITY, "full_outer").select(
+        *IDENTITY,
+        better(F.col("keep_id"), F.col("other_id"), keep).alias("keep_id"),
+        (F.coalesce("group_size", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("group_size"),
     )
 
 
+def tree_merge(runs: list[DataFrame], keep: str) -> DataFrame:
+    """One run of all, by rounds in which every second run is merged into the one before it."""
+    with runs_in_order(runs[0].sparkSession):
+        while len(runs) > 1:
+            pairs = [runs[k : k + 2] for k in range(0, len(runs), 2)]
+            # The rows of a merge are in their buckets already, so each task writes one.
+            runs = [p[0] if len(p) == 1 else bucketed_table(merge_runs(*p, keep), "digest_run", IDENTITY, sort=True) for p in pairs]
+    return runs[0]
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "largest",
-    fan_in: int = 2,
+    runs: int = 4,
 ) -> DataFrame:
-    """Group equal texts (A-Z lower-cased) and name the row that stays.
+    """Group equal texts (A-Z lower-cased) and name the row that stays, by ``runs`` sorted runs.
 
     Returns one row per input row: doc_id, keep_id, group_size, kept,
     text_sha256.  A null text counts as empty, and all empty texts are equal.
@@ -80,13 +82,8 @@ def exact_dedup(
     group has null ids.  An empty table gives an empty result.  Further
     columns of ``docs`` are ignored, whatever their names.
     """
-    table = written(digests(docs, id_col, text_col), "digests")
-    runs = sorted_runs(table, keep)
-    last = table.agg(F.max("run")).first()[0] or 0
-    while last > 0:
-        runs, last = merge_runs(runs, keep, fan_in), last // fan_in
-    with merging_sorted(docs.sparkSession):
-        groups = written(runs.drop("run"), "groups")
+    table = written(digests(docs, id_col, text_col).withColumn("run", F.col("run") % runs), "digests")
+    groups = tree_merge(sorted_runs(table, keep, runs), keep)
     return back_to_rows(table, groups, IDENTITY, "group_size").select(
         "doc_id",
         "keep_id",

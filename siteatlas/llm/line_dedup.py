@@ -11,15 +11,13 @@ descending order of doc_id, which makes the first document seen the owner.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from siteatlas.llm.common import ascii_lower, back_to_rows, text_or_empty, written
-from siteatlas.sources.tables import shared_root
+from siteatlas.llm.common import ascii_lower, back_to_rows, runs_in_order, sorted_run, text_or_empty, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -43,17 +41,6 @@ def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def bucketed(run: DataFrame) -> DataFrame:
-    """A run as a table in the shared folder, in buckets of its key, each sorted: joins on the key need no exchange of it."""
-    spark = run.sparkSession
-    name = f"line_run_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{shared_root(spark)}/siteatlas/{name}"
-    table = run.repartition(buckets, *KEY).write.bucketBy(buckets, *KEY).sortBy(*KEY)
-    table.option("path", path).saveAsTable(name)
-    return spark.table(name)
-
-
 @dataclass
 class LineRuns:
     """The runs of all batches so far, by level."""
@@ -76,8 +63,9 @@ class LineRuns:
             own = own.join(known, KEY, "left").select(
                 *KEY, "n_docs", F.when(F.col(f"known{k}").isNull(), F.col("owner")).alias("owner")
             )
-        run = bucketed(own)
-        self._put(run, 0)
+        with runs_in_order(batch.sparkSession):
+            run = sorted_run(own, "line_run", KEY)
+            self._put(run, 0)
         return run
 
     def _put(self, run: DataFrame, level: int) -> None:
@@ -85,7 +73,7 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan:
-            merged = bucketed(self._merge(self.levels[level]))
+            merged = sorted_run(self._merge(self.levels[level]), "line_run", KEY)
             self.levels[level] = []
             self._put(merged, level + 1)
 
@@ -108,15 +96,19 @@ class LineRuns:
 def batches_of(lines: DataFrame, batches: int) -> DataFrame:
     """``lines`` with a number of their batch, from 0 for the largest ids on; null ids come last.
 
-    Batches of numbers are of about equal size; of ids of other types, that
-    have no percentiles, all make one batch.
+    Batches are of about equal size.  Ids that are no integers go by the first
+    seven bytes of their text, whose order is theirs, so ids alike in these are
+    in one batch.
     """
-    numeric = isinstance(lines.schema["doc_id"].dataType, IntegralType)
-    shares = [k / batches for k in range(1, batches)] if numeric else []
-    cuts = lines.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else []
+    place = F.col("doc_id")
+    if not isinstance(lines.schema["doc_id"].dataType, IntegralType):
+        start = F.rpad(F.hex(F.substring(place.cast("string").cast("binary"), 1, 7)), 14, "0")
+        place = F.conv(start, 16, 10).cast("long")
+    shares = [k / batches for k in range(1, batches)]
+    cuts = lines.agg(F.percentile_approx(place, shares, 1000)).first()[0] if shares else []
     number = F.lit(0)
     for c in sorted(set(cuts or [])):
-        number = number + (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) <= F.lit(c)).cast("int")
+        number = number + (F.coalesce(place, F.lit(-(1 << 63))) <= F.lit(c)).cast("int")
     return lines.withColumn("batch", number)
 
 
@@ -139,7 +131,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     runs = LineRuns(fan)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k))
-    hot = written(runs.keys().where(F.col("n_docs") >= min_docs), "hot")
+    with runs_in_order(docs.sparkSession):
+        hot = written(runs.keys().where(F.col("n_docs") >= min_docs), "hot")
     goes = (
         back_to_rows(lines, hot, KEY, "n_docs")
         .where(~F.col("doc_id").eqNullSafe(F.col("owner")))

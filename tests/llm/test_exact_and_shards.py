@@ -2,7 +2,10 @@ import hashlib
 import zlib
 from collections import defaultdict
 
-from siteatlas.llm.exact_dedup import drop_exact_duplicates, exact_dedup
+from pyspark.sql import functions as F
+
+from siteatlas.llm.common import runs_in_order
+from siteatlas.llm.exact_dedup import digests, drop_exact_duplicates, exact_dedup, merge_runs, sorted_runs, tree_merge
 from siteatlas.llm.sharding import shard_by_bytes
 from tests.llm.corpora import SCHEMA, documents, frame, lower
 
@@ -17,11 +20,25 @@ def test_exact_dedup_matches_brute_force(spark):
         (str(i), str(keep[lower(t)]), len(groups[lower(t)]), i == keep[lower(t)], hashlib.sha256(lower(t).encode()).hexdigest())
         for i, t in rows
     )
-    for fan_in in (2, 8):
-        found = exact_dedup(frame(spark, rows), fan_in=fan_in).collect()
+    for runs in (1, 2, 5):
+        found = exact_dedup(frame(spark, rows), runs=runs).collect()
         assert sorted((str(r[0]), str(r[1]), r[2], r[3], r[4]) for r in found) == expected
 
 
+def test_merge_walks_along_sorted_runs(spark):
+    """Both runs are read in order from their buckets: no sort, no exchange, no hash, and no table is left in the catalog."""
+    before = spark.sql("SHOW TABLES").count()
+    table = digests(frame(spark, documents())).withColumn("run", F.col("run") % 3)
+    runs = sorted_runs(table, "largest", 3)
+    with runs_in_order(spark):
+        plan = merge_runs(runs[0], runs[1], "largest")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Sort [" not in plan and "Exchange" not in plan and "HashAggregate" not in plan
+    rows = tree_merge(runs, "largest").collect()
+    assert len(rows) == len({r.text_sha256 for r in rows}) == table.select("text_sha256").distinct().count()
+    assert sum(r.group_size for r in rows) == table.count()
+    assert spark.sql("SHOW TABLES").count() == before
+
+
 def test_smallest_can_stay(spark):
     found = exact_dedup(frame(spark, [(3, "a"), (1, "A"), (2, "b")]), keep="smallest").collect()
     assert {r.doc_id: r.keep_id for r in found} == {3: 1, 1: 1, 2: 2}

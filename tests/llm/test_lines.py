@@ -1,7 +1,8 @@
 import hashlib
 from collections import defaultdict
 
-from siteatlas.llm.line_dedup import LineRuns, dedup_lines, long_lines
+from siteatlas.llm.common import runs_in_order
+from siteatlas.llm.line_dedup import LineRuns, batches_of, dedup_lines, long_lines
 from tests.llm.corpora import SCHEMA, documents, frame, lower
 
 
@@ -47,5 +48,26 @@ def test_many_dropped_lines_in_one_document(spark):
     assert found[9].n_dropped == 20000 and found[9].kept_text == "" and found[20].n_dropped == 0
 
 
+def test_runs_are_read_in_order(spark):
+    """A merge-anti-join sorts the batch alone, a compaction nothing; no table is left in the catalog."""
+    before = spark.sql("SHOW TABLES").count()
+    runs = LineRuns(fan=4)
+    for k in range(2):
+        runs.add(long_lines(frame(spark, [(100 - 10 * k - j, "y" * (50 + j)) for j in range(4)]), 40))
+    with runs_in_order(spark):
+        plan = runs.keys()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Sort [" not in plan and "Exchange" not in plan
+    assert spark.sql("SHOW TABLES").count() == before
+
+
+def test_ids_of_text(spark):
+    rows = [(None if i is None else f"d{i:05}", t) for i, t in documents()] + [(f"d{900 + i:05}", "z" * 45) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    for batches in (1, 4):
+        found = dedup_lines(docs, batches=batches).collect()
+        assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in found) == brute(rows)
+    assert batches_of(docs, 4).select("batch").distinct().count() > 1
+
+
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
