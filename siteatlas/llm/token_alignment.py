@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteatlas.llm.common import bounded_batches, bucketed_table, written
@@ -255,31 +255,74 @@ def linked(ends: DataFrame) -> DataFrame:
     )
 
 
-def by_text(links: DataFrame) -> DataFrame:
-    """One row for each text of ``aligned``: n_a, n_b, n_groups, links (array of a_id, b_id) and groups.
+#: A link as one number: where it ends, both ids, and whether a token of either side ends there.
+ID_BITS = 17
 
-    ``groups`` has the ids of each group in text order, ``a1,a2|b1;a3|b2,b3``.
-    """
-    cut = F.col("a_own").isNotNull() & F.col("b_own").isNotNull()
 
-    def pieces(side: str, order: int, last: str):
-        text = F.concat(F.col(f"{side}_own").cast("string"), F.when(cut, last).otherwise(","))
-        place = F.struct((-F.col("group")).alias("g"), F.lit(order).alias("side"), F.col("end"), text.alias("text"))
-        return F.collect_list(F.when(F.col(f"{side}_own").isNotNull(), place)).alias(f"{side}_texts")
-
-    ordered = F.sort_array(F.concat("a_texts", "b_texts"))
-    return (
-        links.groupBy(*UNIT)
-        .agg(
-            F.count("a_own").cast("int").alias("n_a"),
-            F.count("b_own").cast("int").alias("n_b"),
-            F.max("group").alias("n_groups"),
-            F.collect_list(F.struct("a_id", "b_id")).alias("links"),
-            pieces("a", 0, "|"),
-            pieces("b", 1, ";"),
-        )
-        .select(*UNIT, "n_a", "n_b", "n_groups", "links", F.rtrim(F.array_join(F.transform(ordered, lambda p: p.text), ""), F.lit(";")).alias("groups"))
-    )
+def by_text(links: DataFrame) -> DataFrame:
+    """(part, batch, links): one row for each text of ``aligned``, its links packed, in text order."""
+    code = F.shiftleft(F.col("end").cast("long"), 2 * ID_BITS + 2)
+    code = code + F.shiftleft(F.col("a_id").cast("long"), ID_BITS + 2) + F.shiftleft(F.col("b_id").cast("long"), 2)
+    code = code + F.col("a_own").isNotNull().cast("long") * 2 + F.col("b_own").isNotNull().cast("long")
+    return links.groupBy(*UNIT).agg(F.sort_array(F.collect_list(code)).alias("links"))
+
+
+def id_in(code: Column, side: str) -> Column:
+    return F.shiftright(code, 2 + (ID_BITS if side == "a" else 0)).bitwiseAND((1 << ID_BITS) - 1).cast("int")
+
+
+def groups_of(codes: list[int]) -> str:
+    """The ids of each group of a text, ``a1,a2|b1;a3|b2,b3``, from its packed links."""
+    mask, out = (1 << ID_BITS) - 1, []
+    a: list[str] = []
+    b: list[str] = []
+    for c in codes:
+        if c & 2:
+            a.append(str(c >> (ID_BITS + 2) & mask))
+        if c & 1:
+            b.append(str(c >> 2 & mask))
+            if c & 2:
+                out.append(",".join(a) + "|" + ",".join(b))
+                a, b = [], []
+    return ";".join(out)
+
+
+def per_document(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """The documents of each batch from its parts: sums of numbers, and the parts' groups in order.
+
+    ``units`` has part, batch, links, n_best and count_sum.  Both sides lie in
+    buckets of their batch, which is bounded.
+    """
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def assemble(docs: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("part").combine_chunks()
+        links = found["links"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int64()))
+        flat, sizes = np.asarray(links.flatten()), np.asarray(links.value_lengths(), dtype=np.int64)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+
+        def added(flags: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(flags)])
+            return sums[upto[1:]] - sums[upto[:-1]]
+
+        own_a, own_b = flat >> 1 & 1, flat & 1
+        of = {"n_a": added(own_a), "n_b": added(own_b), "n_groups": added(own_a & own_b), "n_links": sizes}
+        of |= {n: np.asarray(found[n], dtype=np.int64) for n in ("n_best", "count_sum")}
+        codes = flat.tolist()
+        groups = [groups_of(codes[x:y]) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+        parts = docs["parts"].combine_chunks()
+        held = np.asarray(parts.flatten())
+        edges = np.concatenate([[0], np.cumsum(np.asarray(parts.value_lengths(), dtype=np.int64))])
+        columns = {"doc_id": docs["doc_id"]}
+        for n, numbers in of.items():
+            sums = np.concatenate([[0], np.cumsum(numbers[held])]).astype(np.int64)
+            columns[n] = pa.array(sums[edges[1:]] - sums[edges[:-1]])
+        held = held.tolist()
+        columns["groups"] = pa.array([";".join(map(groups.__getitem__, held[x:y])) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.string())
+        return pa.table(columns)
+
+    schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
+    return texts.groupBy("batch").cogroup(units.groupBy("batch")).applyInArrow(assemble, schema)
 
 
 def lengths_of(spark: SparkSession, tokeniser: Tokeniser) -> DataFrame:
@@ -300,7 +343,7 @@ def align_tokens(
     rows and null ids too: doc_id, n_a, n_b, n_groups, n_links (overlapping
     token pairs), n_best (links whose id pair is linked as often, corpus-wide,
     as any with this B id), count_sum (over the links, how often their id pair is
-    linked), all long, and groups (see ``by_text``).  A text that is null or
+    linked), all long, and groups (``a1,a2|b1;a3|b2,b3``).  A text that is null or
     empty, or that either side's tokens do not spell, has no tokens: zeros and
     an empty ``groups``.  An empty table gives an empty result; further columns
     are not read.  A batch of texts is bounded, and so is all that one row or
@@ -311,35 +354,22 @@ def align_tokens(
     a_lengths, b_lengths = (lengths_of(spark, LOADERS[kind](path)) for kind, path in (a, b))
     table = cut_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), a, b)
     found = table.where(F.col("part").isNotNull())
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     # Rows of a batch are together, so they may be joined by more than their batch where they are.
     with setting(spark, WHOLE_KEYS, "false"):
         # An outer join does not tell that its rows are still together; a table in buckets does.
         ends = bucketed_table(all_ends(found.select(*UNIT, "a_ids", "b_ids"), a_lengths, b_lengths), "ends", ["batch"], spread=SPREAD)
         units = bucketed_table(by_text(linked(ends)).join(found.select(*UNIT, "uses"), UNIT), "units", ["batch"], spread=SPREAD)
         discard(ends)
-        links = units.select(*UNIT, "uses", F.explode("links").alias("link")).select(*UNIT, "uses", "link.*")
+        links = units.select(*UNIT, "uses", F.explode("links").alias("c"))
+        links = links.select(*UNIT, "uses", id_in(F.col("c"), "a").alias("a_id"), id_in(F.col("c"), "b").alias("b_id"))
         counts = written(links.groupBy("a_id", "b_id").agg(F.sum("uses").alias("n")), "counts")
         best = counts.groupBy("b_id").agg(F.max("n").alias("most"))
         pairs = written(counts.join(best, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("most")).cast("int").alias("best")), "pairs")
-        sums = links.join(pairs, ["a_id", "b_id"]).groupBy(*UNIT).agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-        known = units.drop("links", "uses").join(sums, UNIT)
-        # The parts of a batch as one row, in order of their numbers.
-        rows = F.sort_array(F.collect_list(F.struct("part", *(F.col(n).cast("long").alias(n) for n in numbers), "groups")))
-        listed = known.groupBy("batch").agg(rows.alias("rows")).select("batch", *(F.col("rows")[n].alias(f"{n}_of") for n in [*numbers, "groups"]))
-        listed = bucketed_table(listed, "listed", ["batch"], spread=SPREAD)
+        sums = links.join(pairs, ["a_id", "b_id"]).groupBy(*UNIT).agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+        known = bucketed_table(units.drop("uses").join(sums, UNIT), "known", ["batch"], spread=SPREAD)
         discard(units)
-    joined = table.where(F.col("part").isNull()).select("batch", "doc_id", "parts").join(listed, "batch", "left")
-
-    def total(name: str):
-        of = F.col(f"{name}_of")
-        return F.aggregate("parts", F.lit(0).cast("long"), lambda acc, k: acc + F.get(of, k)).alias(name)
-
-    return joined.select(
-        "doc_id",
-        *(total(n) for n in numbers),
-        F.array_join(F.transform("parts", lambda k: F.get(F.col("groups_of"), k)), ";").alias("groups"),
-    )
+    texts = table.where(F.col("part").isNull()).select("batch", "doc_id", "parts")
+    return per_document(texts, known.select("batch", "part", "links", "n_best", "count_sum"))
 
 
 def alignment_digest(found: DataFrame) -> DataFrame:
