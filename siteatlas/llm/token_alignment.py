@@ -32,8 +32,7 @@ from siteatlas.sources.tables import discard, setting
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-#: Parts whose ids a worker keeps from batch to batch, and how many it has tokenised at once.
-CACHE = 150_000
+#: So many parts are tokenised as one text.
 SLICE = 4_000
 #: Buckets for each shuffle partition, so that a task sorts the tokens of one or two batches in memory.
 SPREAD = 8
@@ -64,8 +63,9 @@ class Tokeniser:
     def of_parts(self, some: list[str]) -> list[bytes | None]:
         """The ids of each part, packed; None where its tokens do not spell it.  The parts are tokenised as one text."""
         text = "".join(" " + p for p in some)
-        ids = np.array(self.encode(text), np.int32)
-        if b"".join(map(self.surface.__getitem__, ids)) == text.encode():
+        found = self.encode(text)
+        if b"".join(map(self.surface.__getitem__, found)) == text.encode():
+            ids = np.array(found, np.int32)
             ends = np.cumsum(self.lengths[ids])
             wanted = np.cumsum([1 + len(p.encode()) for p in some])
             cuts = np.searchsorted(ends, wanted) + 1
@@ -157,7 +157,6 @@ def cut_texts(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFr
     def run(batches):
         sides = [LOADERS[kind](path) for kind, path in (a, b)]
         apart = all(s.parts_apart for s in sides)
-        known: dict[str, tuple[bytes | None, bytes | None]] = {}  # ids of a part on both sides, packed
         number_of_batch = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column("text")
@@ -167,25 +166,21 @@ def cut_texts(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFr
                 t = texts[i].as_py()
                 found = [] if not t else parts(t) if apart else [t]
                 lists.append(np.fromiter((number.setdefault(p, len(number)) for p in found), np.int32, len(found)))
-            if len(known) > CACHE:
-                known.clear()
-            new = [p for p in number if p not in known]
-            for at in range(0, len(new), SLICE):
-                some = new[at : at + SLICE]
-                known.update(zip(some, zip(*(s.of_parts(some) for s in sides), strict=True), strict=True))
-            packed = [known[p] for p in number]
-            bad = np.fromiter((None in p for p in packed), bool, len(packed))
+            names = list(number)
+            del number
+            packed = [[x for at in range(0, len(names), SLICE) for x in s.of_parts(names[at : at + SLICE])] for s in sides]
+            bad = np.fromiter((a is None or b is None for a, b in zip(*packed, strict=True)), bool, len(names))
             if bad.any():  # texts with such a part have no tokens
                 lists = [x[:0] if bad[x].any() else x for x in lists]
             flat = np.concatenate([*lists, np.empty(0, np.int32)])
-            uses = np.bincount(flat, minlength=len(number))
+            uses = np.bincount(flat, minlength=len(names))
             kept = np.flatnonzero(uses)
-            place = np.zeros(len(number), np.int32)
+            place = np.zeros(len(names), np.int32)
             place[kept] = np.arange(len(kept))
             n, m = len(texts), len(kept)
 
             def ids(side):
-                own = [packed[k][side] for k in kept.tolist()]
+                own = [packed[side][k] for k in kept.tolist()]
                 offsets = np.cumsum([0, *(len(x) // 4 for x in own)], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(own), np.int32))
                 return pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(offsets), values)])
@@ -308,8 +303,7 @@ def per_document(texts: DataFrame, units: DataFrame) -> DataFrame:
         own_a, own_b = flat >> 1 & 1, flat & 1
         of = {"n_a": added(own_a), "n_b": added(own_b), "n_groups": added(own_a & own_b), "n_links": sizes}
         of |= {n: np.asarray(found[n], dtype=np.int64) for n in ("n_best", "count_sum")}
-        codes = flat.tolist()
-        groups = [groups_of(codes[x:y]) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+        groups = [groups_of(flat[x:y].tolist()) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
         parts = docs["parts"].combine_chunks()
         held = np.asarray(parts.flatten())
         edges = np.concatenate([[0], np.cumsum(np.asarray(parts.value_lengths(), dtype=np.int64))])
@@ -317,8 +311,7 @@ def per_document(texts: DataFrame, units: DataFrame) -> DataFrame:
         for n, numbers in of.items():
             sums = np.concatenate([[0], np.cumsum(numbers[held])]).astype(np.int64)
             columns[n] = pa.array(sums[edges[1:]] - sums[edges[:-1]])
-        held = held.tolist()
-        columns["groups"] = pa.array([";".join(map(groups.__getitem__, held[x:y])) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.string())
+        columns["groups"] = pa.array([";".join(map(groups.__getitem__, held[x:y].tolist())) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.string())
         return pa.table(columns)
 
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
