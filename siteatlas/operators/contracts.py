@@ -360,6 +360,12 @@ def on_patterns(observations: DataFrame, patterns: DataFrame, links: DataFrame)
     return observations.join(free, "url", "left").withColumn("url", F.coalesce("pattern", "url")).drop("pattern")
 
 
+def patterns_with_contracts(observations: DataFrame, patterns: DataFrame, links: DataFrame) -> DataFrame:
+    """The patterns that some request falls under: those whose pattern is the URL of a request on patterns."""
+    seen = on_patterns(observations, patterns, links).select(F.col("url").alias("pattern")).distinct()
+    return patterns.join(seen, "pattern", "left_semi")
+
+
 def with_fallback(observations: DataFrame, found: DataFrame, column: str) -> DataFrame:
     """Observations with ``column`` of ``found`` (keyed by url) for their URL, else for it without query."""
     base = url.drop_query(F.col("url"))

@@ -110,6 +110,16 @@ def link_type_code() -> Column:
     return code_of(F.col("link_type"), LINK_TYPES)
 
 
+def with_content_types(refs: DataFrame, responses: DataFrame) -> DataFrame:
+    """References with the content type of their document: the first by ``seq`` that is not empty, else empty.
+
+    ``responses`` has url, content_type and seq; a document fetched twice keeps
+    its first answer.
+    """
+    first = responses.where("content_type <> '' and url <> ''").groupBy(F.col("url").alias("source_url")).agg(F.min_by("content_type", "seq").alias("content_type"))
+    return refs.join(first, "source_url", "left").withColumn("content_type", F.coalesce("content_type", F.lit("")))
+
+
 def references(bodies: DataFrame) -> DataFrame:
     """(source_url, target, tag, offset, line, column, snippet) of every match, refused ones too.
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteatlas.functions import url
-from siteatlas.operators.extract import first_of, link_key
+from siteatlas.operators.extract import code_of, first_of, link_key
+from siteatlas.operators.tree import running_total
+from siteatlas.rules import CATEGORIES
 from siteatlas.sources.tables import written
 
 EDGE_KINDS = ["source", "crawled", "pattern", "contract", "param"]
@@ -117,6 +119,20 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def deepest_page(pages: DataFrame) -> DataFrame:
+    """(depth): how deep the crawl went; 0 without pages."""
+    return pages.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
+
+
+def in_file_order(links: DataFrame) -> DataFrame:
+    """Links with ``nth``: their place in a capture's file, by key, category and href, so that neighbours of the site are neighbours.
+
+    Numbered by ranges, without a sort of all links in one task.
+    """
+    keyed = links.withColumns({"__key": link_key(), "__category": code_of(F.col("category"), CATEGORIES), "__one": F.lit(1)})
+    return running_total(keyed, ["__key", "__category", "href"], "__one", "nth").drop("__key", "__category", "__one")
+
+
 def first_file_wins(a: DataFrame, b: DataFrame, keys: list) -> DataFrame:
     """Union of two tables; of rows with equal keys those of the first table stay."""
     rows = a.withColumn("__file", F.lit(0)).unionByName(b.withColumn("__file", F.lit(1)), allowMissingColumns=True)

@@ -15,6 +15,7 @@ from siteatlas.functions import classify, documents, url
 from siteatlas.operators import contracts, extract, fold, graph, patterns
 from siteatlas.operators.extract import link_key
 from siteatlas.plans.session import glob_match, is_kind
+from siteatlas.sources.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -283,7 +284,7 @@ def source_edges(spark, sf_dir):
 
 
 def graph_edges(spark, sf_dir) -> DataFrame:
-    found = with_seq(links(spark, sf_dir))
+    found = written(with_seq(links(spark, sf_dir)), "found")  # read by the nodes, and several times by the edges
     made = graph.normalize(found).where("synthesized").select("href", "resolved", "source_url")
     l = found.select("href", "resolved", "source_url").unionByName(made)
     pages = table(spark, sf_dir, "pages").select("url")

@@ -13,6 +13,7 @@ from siteatlas.functions import classify, url
 from siteatlas.operators import fold, graph
 from siteatlas.operators.extract import link_key
 from siteatlas.operators.patterns import described_patterns, without_members
+from siteatlas.operators.tree import running_total
 from siteatlas.sources.snapshot import Snapshot
 
 
@@ -290,7 +291,12 @@ class Report:
             raise UnavailableError(f"{table}: the capture was made without it")
 
     def lines(self, sections: list[tuple[str, DataFrame]]) -> DataFrame:
-        """(section, nth, line) of several sections, cut to one budget of lines over all of them."""
+        """(section_no, section, nth, line) of several sections, cut to one budget of lines over all of them.
+
+        A line's number is a running count in two passes, per range and over
+        the ranges, so no sort of all lines is in one task.  Where lines are
+        cut, one more says how many.
+        """
         parts = [
             df.select(F.lit(k).alias("section_no"), F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("line"))
             for k, (name, df) in enumerate(sections)
@@ -298,13 +304,30 @@ class Report:
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
-        ordered = out.orderBy("section_no", "line")
-        return ordered.limit(self.limit) if self.limit else ordered
-
-    def markdown(self) -> str:
-        """A short written report; every list in it is cut at 200 rows."""
-        out = ["# Links", ""]
-        out += [f"- {r['href']} ({r['category']})" for r in fold.valuable(self.rows()).limit(200).collect()]
-        out += ["", "# Patterns", ""]
-        out += [f"- {r['pattern']} {r['annotation']}" for r in self.patterns().limit(200).collect()]
+        numbered = running_total(out.withColumn("__one", F.lit(1)), ["section_no", "line"], "__one", "nth").drop("__one")
+        numbered = numbered.select("section_no", "section", "nth", "line")
+        if not self.limit:
+            return numbered
+        cut = numbered.agg((F.count("*") - self.limit).alias("n")).where("n > 0")
+        notice = cut.select(
+            F.lit(len(sections)).alias("section_no"),
+            F.lit("").alias("section"),
+            F.lit(self.limit).cast("long").alias("nth"),
+            F.concat(F.lit("... "), F.col("n").cast("string"), F.lit(" more lines")).alias("line"),
+        )
+        return numbered.where(F.col("nth") < self.limit).unionByName(notice)
+
+    def markdown(self, rows: int = 200) -> str:
+        """A short written report for a screen; ``rows`` of each list, and how many there are.
+
+        :func:`siteatlas.sources.site_files.save_report` writes whole lists.
+        """
+        out = []
+        for title, df, text in [
+            ("Links", fold.valuable(self.rows()), lambda r: f"- {r['href']} ({r['category']})"),
+            ("Patterns", self.patterns(), lambda r: f"- {r['pattern']} {r['annotation']}"),
+        ]:
+            total = df.count()
+            out += [f"# {title}", "", *map(text, df.limit(rows).collect())]
+            out += [f"- ... {total - rows} more"] * (total > rows) + [""]
         return "\n".join(out) + "\n"

@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteatlas.functions import url
-from siteatlas.operators import dom, scope, tree
-from siteatlas.plans.queries import bodies, query, table
+from siteatlas.operators import contracts, dom, extract, graph, scope, tree
+from siteatlas.plans import oracles
+from siteatlas.plans.oracles import RESOLVED, URLS
+from siteatlas.plans.queries import bodies, links, page_observations, query, table, url_links, url_patterns
+from siteatlas.plans.session import Report
+from siteatlas.rules import CATEGORIES
+from siteatlas.sources import site_files
+from siteatlas.sources.snapshot import Snapshot
 
 ORACLES: dict[str, str] = {}
 
@@ -198,3 +204,70 @@ SELECT url, CASE WHEN m.domain IS NULL THEN 'accept: */*|Host: ' || given
   ELSE 'Host: ' || given || '|Accept: text/html|X-Scope: ' || m.domain END AS headers
 FROM r LEFT JOIN m ON n = 1 AND m.host = lower(regexp_replace(given, ':[0-9]+$', ''))
 """)
+
+
+@query
+def links_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many links of pages each category has."""
+    return site_files.by_category(links(spark, sf_dir))
+
+
+sql("links_by_category", f"WITH {RESOLVED} SELECT category, count(*) AS n FROM r GROUP BY category")
+
+RANK = "CASE category " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(CATEGORIES)) + " END"
+
+
+@query
+def links_in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each page's link in a capture's file."""
+    return graph.in_file_order(url_links(spark, sf_dir)).select("href", "nth")
+
+
+sql("links_in_file_order", f"WITH {URLS} SELECT href, row_number() OVER (ORDER BY resolved, {RANK}, href) - 1 AS nth FROM u")
+
+
+@query
+def report_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sections of a report under one budget of lines, with the notice of what is cut."""
+    l = url_links(spark, sf_dir)
+    report = Report(Snapshot({"links": l}), [], everything=True, limit=120)
+    found = report.lines([("hosts", report.hosts()), ("categories", site_files.by_category(l)), ("links", l.select("href"))])
+    return found.select("section_no", "section", "nth", "line")
+
+
+sql("report_budget", f"""
+WITH {URLS}, l AS (
+  SELECT 0 AS section_no, 'hosts' AS section, '{{"host":"' || domain || '","n":' || count(*) || '}}' AS line FROM u GROUP BY domain
+  UNION ALL SELECT 1, 'categories', '{{"category":"' || category || '","n":' || count(*) || '}}' FROM u GROUP BY category
+  UNION ALL SELECT 2, 'links', '{{"href":"' || href || '"}}' FROM u),
+n AS (SELECT section_no, section, row_number() OVER (ORDER BY section_no, line) - 1 AS nth, line FROM l)
+SELECT CAST(section_no AS INTEGER) AS section_no, section, nth, line FROM n WHERE nth < 120
+UNION ALL SELECT 3, '', 120, '... ' || (count(*) - 120) || ' more lines' FROM n HAVING count(*) > 120
+""")
+
+
+@query
+def contract_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL patterns that some request falls under."""
+    found = contracts.patterns_with_contracts(page_observations(spark, sf_dir), url_patterns(spark, sf_dir), url_links(spark, sf_dir))
+    return found.select("pattern")
+
+
+sql("contract_patterns", oracles.ORACLES["pattern_contracts"].split("SELECT coalesce(best.pattern")[0] + "SELECT DISTINCT pattern FROM best")
+
+
+@query
+def first_content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of pages with the first content type that each document was answered with."""
+    pages = table(spark, sf_dir, "pages")
+    answers = pages.select("url", F.when(F.col("page_id") % 2 == 1, F.regexp_extract("html", "(?i)<html lang=.([a-z]+)", 1)).otherwise("").alias("content_type"), F.col("page_id").alias("seq"))
+    refs = extract.references(bodies(spark, sf_dir)).where("tag = 'a'").select("source_url", "target")
+    return extract.with_content_types(refs, answers).groupBy("source_url", "content_type").agg(F.count("*").alias("n"))
+
+
+sql("first_content_types", r"""
+WITH a AS (SELECT url, CASE WHEN page_id % 2 = 1 THEN regexp_extract(html, '(?i)<html lang=.([a-z]+)', 1) ELSE '' END AS t, page_id FROM pages),
+f AS (SELECT url, arg_min(t, page_id) AS t FROM a WHERE t <> '' GROUP BY url),
+m AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"'']+)["''][^>]*>', 1)) AS target FROM pages)
+SELECT m.url AS source_url, coalesce(f.t, '') AS content_type, count(*) AS n FROM m LEFT JOIN f ON m.url = f.url GROUP BY ALL
+""")
