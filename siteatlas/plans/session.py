@@ -14,6 +14,7 @@ from siteatlas.operators import fold, graph
 from siteatlas.operators.extract import link_key
 from siteatlas.operators.patterns import described_patterns, without_members
 from siteatlas.operators.tree import running_total
+from siteatlas.sources.places import Places
 from siteatlas.sources.snapshot import Snapshot
 
 
@@ -87,6 +88,7 @@ class Session:
     target: str
     place: str = ""
     show: set[str] = field(default_factory=set)
+    places: Places | None = None  #: the capture's links by place, to read only those that a verb is about
 
     def __post_init__(self):
         self.place = self.place or self.target
@@ -161,7 +163,7 @@ class Session:
 
     def node(self, full: str) -> DataFrame:
         """The best link row of a URL: of equal key, else of an equal place on the same host, listed ones first."""
-        links = self.capture["links"].withColumn("key", link_key())
+        links = self.places.at(full) if self.places else self.capture["links"].withColumn("key", link_key())
         exact = F.col("key") == full
         same = url.host_path_key(F.col("key")) == url.host_path_key(F.lit(full))
         made = F.col("synthesized").cast("int") if "synthesized" in links.columns else F.lit(0)
