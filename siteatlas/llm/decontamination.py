@@ -1,10 +1,12 @@
 """Benchmark decontamination: which words of a document lie in a window of a benchmark text.
 
 The windows of the benchmark are searched for with Wu-Manber, in one pass over
-the documents for each ``block_bytes`` of benchmark text; all passes are one
-narrow stage.  What is broadcast is the tables of one block: a window for each
-word of it, so about ``window`` times its bytes and twice that for shifts and
-buckets.  That is bounded by the parameter and not by the benchmark.
+the documents for each ``block_bytes`` of benchmark text.  A pass is a stage of
+its own: what it found and the texts are written for the next one, and its
+tables are given up before those of the next are made.  So driver and workers
+hold the tables of one block: a window for each word of it, so about ``window``
+times its bytes and twice that for shifts and buckets.  That is bounded by the
+parameter and not by the benchmark.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteatlas.llm.common import bounded_batches, utf8
+from siteatlas.llm.common import bounded_batches, utf8, written
 from siteatlas.llm.wu_manber import WuManber
 
 #: Bytes of a word after A-Z is lower-cased: 0-9, a-z, all beyond ASCII; the rest parts words.
@@ -92,25 +94,34 @@ def find_contamination(
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
+    if blocks > 1:
+        tests = written(tests.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "benchmark")
     found = rows
     for k in range(blocks):
-        block = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+        block = tests.where(F.col("block") == k) if blocks > 1 else tests
         patterns = windows([(r["item"], (r["text"] or "").encode()) for r in block.toLocalIterator()], window)
-        found = found.mapInArrow(one_pass(spark, patterns, last=k == blocks - 1), one_schema(found, last=k == blocks - 1))
+        last = k == blocks - 1
+        tables = spark.sparkContext.broadcast(block_tables(patterns))
+        found = found.mapInArrow(one_pass(tables, last), one_schema(found, last))
+        if not last:
+            found = written(found, "found")
+            tables.destroy()
     return found
 
 
+def block_tables(found: dict[bytes, set[str]]) -> tuple[WuManber, list[int], list[list[str]]]:
+    """The search tables of a block's windows, how many words each has, and whose it is."""
+    patterns = list(found)
+    return WuManber(patterns), [p.count(b" ") - 1 for p in patterns], [sorted(found[p]) for p in patterns]
+
+
 def one_schema(rows: DataFrame, last: bool) -> str:
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return ("" if last else "text string, ") + FOUND.format(id=id_type)
 
 
-def one_pass(spark, found: dict[bytes, set[str]], last: bool):
+def one_pass(tables, last: bool):
     """Search for one block; what blocks before it have found in a row is united with it, the text goes on to the next."""
-    patterns = list(found)
-    tables = spark.sparkContext.broadcast(
-        (WuManber(patterns), [p.count(b" ") - 1 for p in patterns], [sorted(found[p]) for p in patterns])
-    )
 
     def run(batches):
         span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))

@@ -76,3 +76,14 @@ def test_drop_decides_by_row_where_ids_are_null_or_repeat(spark):
         assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted(
             [("None", "clean"), ("None", "None"), ("7", "clean too"), ("8", "clean")]
         )
+
+
+def test_a_stage_searches_for_one_block(spark):
+    """However many blocks the benchmark needs, the last stage has one worker and one block's tables; the rest is written."""
+    rows = documents()
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(40)] + [(99, rows[20][1])]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    found = find_contamination(frame(spark, rows), tests, block_bytes=100)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = contamination_report(find_contamination(frame(spark, rows), tests)).collect()
+    assert sorted(map(str, contamination_report(found).collect())) == sorted(map(str, want))
