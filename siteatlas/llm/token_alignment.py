@@ -32,6 +32,8 @@ from siteatlas.sources.tables import discard, setting
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes of text to a batch, whose parts are aligned once and whose documents are put together at once.
+BATCH = 4 << 20
 #: So many parts are tokenised as one text.
 SLICE = 4_000
 #: Buckets for each shuffle partition, so that a task sorts the tokens of one or two batches in memory.
@@ -200,6 +202,7 @@ def cut_texts(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFr
                 ["batch", "doc_id", "parts", "part", "uses", "a_ids", "b_ids"],
             )
             number_of_batch += 1
+        pa.default_memory_pool().release_unused()
 
     schema = f"batch long, doc_id {kind}, parts array<int>, part int, uses long, a_ids array<int>, b_ids array<int>"
     return bucketed_table(docs.mapInArrow(run, schema), "parts", ["batch"], spread=SPREAD)
@@ -343,7 +346,7 @@ def align_tokens(
     task holds, but for a single text beyond that bound.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, rows=20_000)
+    bounded_batches(spark, rows=20_000, size=BATCH)
     a_lengths, b_lengths = (lengths_of(spark, LOADERS[kind](path)) for kind, path in (a, b))
     table = cut_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), a, b)
     found = table.where(F.col("part").isNotNull())
