@@ -10,8 +10,15 @@ non-empty set of positions, with two members or more that differ in each of
 the set's positions.  Only positions that vary within the bucket count.  Sets
 grow by ``STEP`` positions at a time, and rows that are alone in their group,
 or whose group agrees in a position that is to be a slot, are dropped before
-the next step: no larger set can bring them a partner.  So paths of every depth
-go the same way, and the rows of a step follow the shapes that exist.
+the next step: no larger set can bring them a partner.  So the rows of a step
+follow the shapes that exist.
+
+Sets double with each varying position, so a bucket of many positions and few
+URLs is better paired.  Which way a bucket goes is counted before: if the pairs
+that share a segment are no more than the sets of slots of its URLs, the pairs
+are made from an index of segments (:func:`paired`).  Both ways give the same
+rows, so the choice is one of cost alone, and pairs never outnumber the sets
+that they replace.
 """
 
 from __future__ import annotations
@@ -25,6 +32,8 @@ from siteatlas.sources.tables import written
 
 #: By so many positions the sets of slots grow before rows without a partner are dropped.
 STEP = 4
+#: So many rows of one segment meet as many others in a task; more are split into blocks.
+BLOCK_ROWS = 1000
 
 
 def canonical_urls(urls: DataFrame, column: str = "url") -> DataFrame:
@@ -51,7 +60,23 @@ def masked(rows: DataFrame) -> DataFrame:
     ends = rows.select(*BUCKET, F.posexplode("segs").alias("i", "s")).groupBy(*BUCKET, "i").agg(F.min("s").alias("low"), F.max("s").alias("high"))
     vary = ends.where("low <> high").groupBy(*BUCKET).agg(F.array_sort(F.collect_list("i")).alias("vary"))  # as many as a path has segments
     now = written(rows.join(vary, BUCKET), "varying")
-    deepest = now.agg(F.max(F.size("vary"))).first()[0] or 0
+    size = lambda of: of.agg(F.max(F.size("vary"))).first()[0] or 0
+    deepest, pairs = size(now), None
+    if deepest > STEP:  # one step makes all the sets of the others
+        few = written(cheaper_in_pairs(now), "few")
+        pairs, now = paired(now.join(few, BUCKET, "left_semi")), now.join(few, BUCKET, "left_anti")
+        deepest = size(now)
+    by_sets = masked_by_sets(now, deepest)
+    return by_sets if pairs is None else by_sets.union(pairs)
+
+
+def with_mask(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``mask``: their segments, empty at the positions ``at``."""
+    return rows.withColumn("mask", F.transform("segs", lambda s, i: F.when(F.array_contains("at", i), F.lit("")).otherwise(s)))
+
+
+def masked_by_sets(now: DataFrame, deepest: int) -> DataFrame:
+    """Members by sets of slots; no URL of ``now`` has more than ``deepest`` varying positions."""
     now, out = now.withColumn("at", F.array().cast("array<int>")), None
     for done in range(STEP, max(deepest, 1) + STEP, STEP):
         now = with_slots(now, done)
@@ -60,12 +85,15 @@ def masked(rows: DataFrame) -> DataFrame:
         ended = now.where((F.size("vary") <= done) & (F.size("at") > 0))
         out = ended if out is None else out.union(ended)
         now = now.where(F.size("vary") > done)
-    mask = F.transform("segs", lambda s, i: F.when(F.array_contains("at", i), F.lit("")).otherwise(s))
     slots = F.transform("at", lambda i: F.get("segs", i))
-    keyed = out.select("host", mask.alias("mask"), "canonical", "segs", slots.alias("slots"))
+    keyed = with_mask(out).select("host", "mask", "canonical", "segs", slots.alias("slots"))
     # With one slot, any other value will do, and the group has one; with more, a partner must differ in every slot.
     several = partners(written(keyed.where(F.size("slots") > 1), "several"), deepest)
-    return keyed.where(F.size("slots") == 1).drop("slots").union(several.select("host", "mask", "canonical", "segs"))
+    one = keyed.where(F.size("slots") == 1)
+    if deepest > STEP:  # literals of later steps may have left one path under two schemes, which has one value
+        values = one.groupBy("host", "mask").agg(F.min("slots").alias("low"), F.max("slots").alias("high")).where("low <> high")
+        one = one.join(values.select("host", "mask"), ["host", "mask"], "left_semi")
+    return one.drop("slots").union(several.select("host", "mask", "canonical", "segs"))
 
 
 def with_slots(rows: DataFrame, done: int) -> DataFrame:
@@ -116,6 +144,52 @@ def partners(keyed: DataFrame, most: int) -> DataFrame:
     return keyed.join(apart.drop("apart"), key, "left_semi")
 
 
+def segment_index(rows: DataFrame) -> DataFrame:
+    """(host, bucket, n, i, s, sharing): how many URLs of a bucket have segment ``s`` at a varying position."""
+    at = rows.select(*BUCKET, F.explode("vary").alias("i"), "segs").withColumn("s", F.get("segs", F.col("i")))
+    return at.groupBy(*BUCKET, "i", "s").agg(F.count(F.lit(1)).alias("sharing"))
+
+
+def cheaper_in_pairs(rows: DataFrame) -> DataFrame:
+    """(host, bucket, n) of buckets with more than ``STEP`` varying positions and no more agreeing pairs than sets of slots."""
+    pairs = segment_index(rows.where(F.size("vary") > STEP)).groupBy(*BUCKET).agg(
+        F.sum(F.col("sharing") * (F.col("sharing") - 1.0) / 2).alias("pairs"), F.countDistinct("i").alias("positions"), F.sum("sharing").alias("all")
+    )
+    sets = F.col("all") / F.col("positions") * F.pow(F.lit(2.0), F.col("positions"))
+    return pairs.where(F.col("pairs") <= sets).select(*BUCKET)
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """(host, mask, canonical, segs) as of :func:`masked`, by the pairs that share a segment.
+
+    A pair is made at the first varying position in which it agrees, so once
+    only; segments of one URL make none.  The URLs of a common segment are split
+    into blocks of ``BLOCK_ROWS``, and a task holds two blocks at most.  Pairs
+    that agree in no varying position are not made: a URL is a member of the
+    shape with a slot in each if its partners by segments are fewer than the
+    other URLs of its bucket.
+    """
+    index = segment_index(rows).where("sharing > 1").withColumn("blocks", F.ceil(F.col("sharing") / BLOCK_ROWS).cast("int"))
+    spread = rows.withColumn("i", F.explode("vary")).withColumn("s", F.get("segs", F.col("i"))).join(index, [*BUCKET, "i", "s"])
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("canonical"), F.col("blocks")).cast("int"))
+    left = spread.withColumns({"low": F.col("block"), "high": F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))})
+    right = spread.withColumns({"high": F.col("block"), "low": F.explode(F.sequence(F.lit(0), F.col("block")))})
+    left = left.select(*BUCKET, "i", "s", "low", "high", "vary", F.struct("canonical", "segs").alias("a"))
+    right = right.select(*BUCKET, "i", "s", "low", "high", F.struct("canonical", "segs").alias("b"))
+    agree = lambda p: F.get("a.segs", p) == F.get("b.segs", p)
+    both = left.join(right, [*BUCKET, "i", "s", "low", "high"]).where((F.col("low") < F.col("high")) | (F.col("a.canonical") < F.col("b.canonical")))
+    both = both.where(~F.exists("vary", lambda p: (p < F.col("i")) & agree(p)))
+    apart = F.filter("vary", lambda p: ~agree(p))
+    ends = both.select(*BUCKET, apart.alias("at"), F.explode(F.array("a", "b")).alias("end")).select(*BUCKET, "end.*", "at")
+    ends = written(ends.groupBy(*BUCKET, "canonical", "segs", "at").agg(F.count(F.lit(1)).alias("partners")), "pairs")
+    met = ends.groupBy("canonical").agg(F.sum("partners").alias("partners"))
+    others = rows.groupBy(*BUCKET).agg((F.count(F.lit(1)) - 1).alias("others"))
+    alone = rows.join(others, BUCKET).join(met, "canonical", "left").where(F.coalesce("partners", F.lit(0)) < F.col("others"))
+    found = ends.where(F.size("at") > 0).select("host", "canonical", "segs", "at")
+    found = found.union(alone.select("host", "canonical", "segs", F.col("vary").alias("at")))
+    return with_mask(found).select("host", "mask", "canonical", "segs")
+
+
 def slot_name(i: Column, total: Column) -> Column:
     return F.when(total == 1, F.lit("id")).otherwise(F.concat(F.lit("id"), (i + 1).cast("string")))
 
