@@ -1,4 +1,7 @@
-"""Queries over literal rows, for logic that the supplied tables can't exercise; their SQL is the expected rows."""
+"""Cases over literal rows, for logic that the supplied tables reach only in part; their SQL is the expected rows.
+
+Inputs and expectations are fixed values: what results must be.
+"""
 
 from __future__ import annotations
 

@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from siteatlas.plans import oracles, structure
+from siteatlas.plans import derived, oracles, structure
 from siteatlas.plans.queries import QUERIES
 
-ORACLES = {**oracles.ORACLES, **structure.ORACLES}
+ORACLES = {**oracles.ORACLES, **structure.ORACLES, **derived.ORACLES}
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations events region nation customer supplier part orders lineitem".split()
 
