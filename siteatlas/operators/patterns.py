@@ -352,6 +352,44 @@ def cluster_ranges(patterns: DataFrame) -> DataFrame:
     return merged.select("annotation", "slot", kind.alias("kind"), value_range(kind, F.col("values")).alias("range"))
 
 
+def slot_values(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(annotation, slot, value): the distinct values of a slot over all patterns of one annotation, a row for each.
+
+    ``members`` are rows of :func:`masked`, ``found`` those of :func:`shapes`.
+    """
+    names = F.transform("kinds", lambda k, i: F.concat(k, F.lit(": "), slot_name(i, F.size("kinds"))))
+    noted = found.select(F.col("domain").alias("host"), "mask", F.concat(F.lit("("), F.array_join(names, ", "), F.lit(")")).alias("annotation"))
+    at = F.filter(F.transform("mask", lambda s, i: F.when(s == "", i)), lambda i: i.isNotNull())
+    rows = members.join(noted, ["host", "mask"]).select("annotation", "segs", F.posexplode(at).alias("slot", "i"))
+    return rows.select("annotation", "slot", F.get("segs", F.col("i")).alias("value")).distinct()
+
+
+def slot_ranges(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(annotation, slot, kind, n_values, low, high, consecutive) of the values that :func:`slot_values` has.
+
+    Ends and counts are aggregates, combined before the exchange, so a slot of
+    any number of values is one small row; ``low`` and ``high`` are null unless
+    all values are numbers.  Numbers written in two ways count once for
+    ``consecutive``.
+    """
+    number, kind = F.col("value").try_cast("long"), classify.segment_kind(F.col("value"))
+    rows = slot_values(members, found).withColumns({"number": number, "kind": kind})
+    counted = rows.groupBy("annotation", "slot", "number").agg(
+        F.count(F.lit(1)).alias("values"), F.min("kind").alias("first"), F.max("kind").alias("last")
+    )
+    ends = counted.groupBy("annotation", "slot").agg(
+        F.sum("values").alias("n_values"), F.min("number").alias("low"), F.max("number").alias("high"), F.count("number").alias("numbers"),
+        F.min("first").alias("first"), F.max("last").alias("last"), F.bool_or(F.col("number").isNull()).alias("other"),
+    )
+    one = F.when((F.col("first") == F.col("last")) & (F.col("first") != ""), F.col("first")).otherwise("string")
+    plain = (one == "int") & ~F.col("other")
+    run = plain & (F.col("numbers") >= 2) & (F.col("high") - F.col("low") + 1 == F.col("numbers"))
+    return ends.select(
+        "annotation", "slot", one.alias("kind"), "n_values", F.when(plain, F.col("low")).alias("low"), F.when(plain, F.col("high")).alias("high"),
+        run.alias("consecutive"),
+    )
+
+
 # Which label wins a tie of a vote, first to last.
 VOTE_ORDER = {
     "category": ["API", "DYNAMIC", "web-page", "web-asset"],

@@ -14,8 +14,8 @@ from siteatlas.functions import classify, documents, url
 from siteatlas.functions.classify import PHP_HANDLERS
 from siteatlas.functions.documents import EXTENSIONS
 from siteatlas.functions.url import SCRIPT_SUFFIXES
-from siteatlas.operators import contracts, extract, fold, graph, scripts
-from siteatlas.plans.oracles import CATEGORY, CLASS, ENDPOINT, HOST, PATH, RESOLVED, has
+from siteatlas.operators import contracts, extract, fold, graph, patterns, scripts
+from siteatlas.plans.oracles import CATEGORY, CLASS, ENDPOINT, HOST, PATH, RESOLVED, SHAPES, has
 from siteatlas.plans.queries import links, query, table
 from siteatlas.rules import CLI_RULES
 
@@ -292,3 +292,24 @@ def script_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["script_params"] = """SELECT 'sort' || page_id AS name, 'query' AS kind,
   CASE WHEN contains(url, '.html') THEN 'unassigned' ELSE 'request' END AS owner FROM pages"""
+
+
+@query
+def slot_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the slots of all patterns take, one row for each annotation and slot."""
+    rows = patterns.masked(patterns.canonical_urls(table(spark, sf_dir, "pages")))
+    found = patterns.slot_ranges(rows, patterns.shapes(rows, group_strings=True))
+    return found.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("low", "high")})
+
+
+SLOT_VALUES = f"""{SHAPES}, v AS (SELECT DISTINCT pat.kind, CASE WHEN mem.m1 = '' THEN v1 ELSE v2 END AS value
+  FROM mem JOIN pat ON mem.host = pat.domain AND mem.m1 = pat.m1 AND mem.m2 = pat.m2)"""
+ORACLES["slot_ranges"] = f"""WITH {SLOT_VALUES}, n AS (SELECT kind, count(*) AS n_values, min(TRY_CAST(value AS BIGINT)) AS low,
+    max(TRY_CAST(value AS BIGINT)) AS high, count(DISTINCT TRY_CAST(value AS BIGINT)) AS numbers FROM v GROUP BY kind)
+  SELECT '(' || kind || ': id)' AS annotation, CAST(0 AS INTEGER) AS slot, kind, n_values, CASE WHEN kind = 'int' THEN CAST(low AS VARCHAR) ELSE '' END AS low,
+    CASE WHEN kind = 'int' THEN CAST(high AS VARCHAR) ELSE '' END AS high, kind = 'int' AND numbers >= 2 AND high - low + 1 = numbers AS consecutive FROM n"""
+# The registered query of the list form; all its slots hold numbers.
+ORACLES["cluster_ranges"] = f"""WITH {SLOT_VALUES}, x AS (SELECT DISTINCT CAST(value AS BIGINT) AS x FROM v WHERE kind = 'int'),
+  r AS (SELECT count(*) AS n, min(x) AS low, max(x) AS high, string_agg(CAST(x AS VARCHAR), ', ' ORDER BY x) AS listed FROM x)
+  SELECT '(int: id)' AS annotation, CAST(0 AS INTEGER) AS slot, 'int' AS kind,
+    CASE WHEN n >= 2 AND high - low + 1 = n THEN low || '..' || high ELSE listed END AS range FROM r WHERE n > 0"""

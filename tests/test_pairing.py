@@ -65,3 +65,26 @@ def test_the_choice_is_by_cost(spark):
 
     common = [f"https://h.example/a/{i}/x/x/x/x" for i in range(400)]
     assert chosen(common) == 0 and chosen(common[:8]) == 1 and chosen(["https://h.example/a/1/2", "https://h.example/a/2/2"]) == 0
+
+
+def test_slot_ranges_match_lists(spark):
+    """Ends and counts against the lists of all patterns; numbers in two ways, gaps, runs and mixed values."""
+    urls = [f"https://h.example/{a}/{i}/{b}" for a in ("p", "q") for i in ("7", "07", "8", "9") for b in ("x", "y")]
+    urls += [f"https://h.example/r/{i}" for i in (1, 5, 99999999999999999999)] + [f"https://h.example/s/w{i}" for i in range(3)]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    rows = patterns.masked(patterns.canonical_urls(pages))
+    found = patterns.slot_ranges(rows, patterns.shapes(rows, group_strings=True)).collect()
+    listed = {}
+    for p in patterns.described_patterns(patterns.find_patterns(pages, group_strings=True)).collect():
+        for k, v in enumerate(p["vars"]):
+            listed.setdefault((p.annotation, k), set()).update(v["values"])
+    assert {(r.annotation, r.slot): r.n_values for r in found} == {k: len(v) for k, v in listed.items()}
+    for r in found:
+        values = listed[r.annotation, r.slot]
+        numbers = {int(v) for v in values if v.isdigit()}
+        whole = r.kind == "int" and all(v.isdigit() and int(v) < 2**63 for v in values)
+        assert (r.low, r.high) == ((min(numbers), max(numbers)) if whole else (None, None))
+        assert r.consecutive == (whole and len(numbers) > 1 and max(numbers) - min(numbers) + 1 == len(numbers))
+    assert {r.kind for r in found} == {"int", "string"} and any(not r.consecutive for r in found if r.kind == "int")
+    none = patterns.masked(patterns.canonical_urls(pages.limit(0)))
+    assert patterns.slot_ranges(none, patterns.shapes(none)).isEmpty()
