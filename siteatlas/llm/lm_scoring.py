@@ -6,10 +6,11 @@ end of the word, by a forward recursion in log space.  A text's score is the
 log10 of the product over its words and its end, which is the marginal over all
 segmentations of the text, since no piece crosses a word's start.
 
-The vocabulary's scores are rescaled to the corpus by one step of expected
-counts: over the lattices of all distinct training words, each as often as it
-occurs, weighted by the existing scores.  These keep a share of ``KEPT``, so
-that pieces which the corpus lacks keep their order.
+The vocabulary's scores are rescaled to the corpus by ``rescale_steps`` steps of
+expected counts: over the lattices of all distinct training words, each as
+often as it occurs, weighted by the scores so far.  In each step the existing
+scores keep a share of ``kept``, so that pieces which the corpus lacks keep
+their order; without steps they are used as they are.
 
 The exchange is of postings: each task gathers, for every distinct word of a
 block of texts, which of these have it and how often.  A word that every text
@@ -32,7 +33,7 @@ from siteatlas.llm.sentencepiece_codec import DEFAULT_MODEL
 
 #: A block closes at so many (word, text) pairs or texts; a text's number and a count share 32 bits.
 BLOCK_PAIRS, BLOCK_TEXTS, COUNT_MAX = 4_000_000, 1 << 15, (1 << 16) - 1
-#: Share of the existing scores in the rescaled ones.
+#: Share of the existing scores in the rescaled ones, if nothing else is said.
 KEPT = 0.1
 #: Probability of the end of a text where there is no training text to tell.
 END_SHARE = 1e-3
@@ -190,11 +191,11 @@ def expected_counts(words: DataFrame, shared, weights: np.ndarray) -> np.ndarray
     return total
 
 
-def rescaled(weights: np.ndarray, counts: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """The weights after one step of expected counts, of which the weights before keep a share of ``KEPT``."""
-    before = np.where(np.isfinite(weights), np.exp(weights), 0)
+def rescaled(first: np.ndarray, counts: np.ndarray, v: Vocabulary, kept: float = KEPT) -> np.ndarray:
+    """The weights of a step of expected counts, of which the first weights keep a share of ``kept``."""
+    before = np.where(np.isfinite(first), np.exp(first), 0)
     before[v.size] *= 256  # as one share for all bytes
-    return normalised((1 - KEPT) * counts / counts.sum() + KEPT * before / before.sum(), v)
+    return normalised((1 - kept) * counts / counts.sum() + kept * before / before.sum(), v)
 
 
 def word_scores(v: Vocabulary, words: list[bytes], weights: np.ndarray) -> np.ndarray:
@@ -203,9 +204,12 @@ def word_scores(v: Vocabulary, words: list[bytes], weights: np.ndarray) -> np.nd
     return np.concatenate([np.empty(0), *groups]) + weights[v.size + 1]
 
 
-def lm_scores(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
+def lm_scores(docs: DataFrame, model: str = DEFAULT_MODEL, rescale_steps: int = 1, kept: float = KEPT) -> DataFrame:
     """Score every text under a model learned from the rows that are not held out.
 
+    ``rescale_steps`` is how often the vocabulary's scores are rescaled to the
+    training rows, 0 for the scores as they are, and ``kept`` their share in
+    each step; a step is one more pass over the distinct training words.
     Returns one row per doc_id: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score and score.  A null or empty text is its end
     alone.  Rows that repeat a doc_id are scored as one document, with one end
@@ -221,9 +225,9 @@ def lm_scores(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     count = lambda x: F.coalesce(F.sum(x), F.lit(0))
     texts = F.when(F.length("word") == 0, F.col("c"))
     n, v, ends = words.agg(count("c"), F.count_if(F.col("c") > 0), count(texts)).first()
-    weights = first_weights(shared.value)
-    if n > ends:
-        weights = rescaled(weights, expected_counts(words.where("c > 0"), shared, weights), shared.value)
+    first = weights = first_weights(shared.value)
+    for _ in range(rescale_steps if n > ends else 0):
+        weights = rescaled(first, expected_counts(words.where("c > 0"), shared, weights), shared.value, kept)
     end = ends / n if 0 < ends < n else END_SHARE
 
     def run(batches):

@@ -155,7 +155,8 @@ def test_lm_is_a_distribution_over_words(monkeypatch):
     assert 0.8 < total < 1.0
 
 
-def test_lm_scores_match_all_segmentations(spark, monkeypatch):
+@pytest.mark.parametrize(("steps", "kept"), [(0, 0.1), (1, 0.1), (1, 0.9), (2, 0.1), (4, 0.5)])
+def test_lm_scores_match_all_segmentations(spark, monkeypatch, steps, kept):
     """The whole result from enumerated segmentations: expected counts, rescaled weights, marginals and ends."""
     v = small_vocabulary()
     monkeypatch.setattr(lm_scoring, "load_sentencepiece", lambda _: v)
@@ -170,18 +171,18 @@ def test_lm_scores_match_all_segmentations(spark, monkeypatch):
             out.append((ids, sum(weights[i] if i < 20 else weights[v.size] for i in ids)))
         return out, np.logaddexp.reduce([s for _, s in out])
 
-    counts, ends, n = np.zeros(v.size + 2), 0, 0
-    for i, ws in tokens.items():
-        if not held_out(i, 7, 2):
-            ends, n = ends + 1, n + len(ws) + 1
-            for w in ws:
-                paths, total = every(w, first)
-                counts[v.size + 1] += 1
-                for ids, s in paths:
-                    for k in ids:
-                        counts[k if k < 20 else v.size] += math.exp(s - total)
-    weights = lm_scoring.rescaled(first, counts, v)
-    for r in lm_scores(frame(spark, rows)).collect():
+    learned = [ws for i, ws in tokens.items() if not held_out(i, 7, 2)]
+    ends, n, weights = len(learned), sum(len(ws) + 1 for ws in learned), first
+    for _ in range(steps):
+        counts = np.zeros(v.size + 2)
+        for w in (w for ws in learned for w in ws):
+            paths, total = every(w, weights)
+            counts[v.size + 1] += 1
+            for ids, s in paths:
+                for k in ids:
+                    counts[k if k < 20 else v.size] += math.exp(s - total)
+        weights = lm_scoring.rescaled(first, counts, v, kept)
+    for r in lm_scores(frame(spark, rows), rescale_steps=steps, kept=kept).collect():
         ws = tokens[r.doc_id]
         expected = math.log(ends / n) + sum(every(w, weights)[1] + weights[v.size + 1] + math.log1p(-ends / n) for w in ws)
         assert math.isclose(r.score, expected / math.log(10), rel_tol=1e-9)
