@@ -1,11 +1,14 @@
 """The elements of documents as a table, and selectors over it.
 
-An element has the number ``pre`` of its start in document order and the number
+A document is known by its url and a hash of its text, ``doc``, since one url
+may have been answered with several.  An element has the number ``pre`` of its start in document order and the number
 ``last`` of the last element inside it.  Regions are nested, so an element is
 inside one of a set exactly if the greatest ``last`` of the set's members that
 start before it is not less than its own ``pre``: a running maximum over one
 sort by (document, pre), with no pairs of elements.  A child is found by an
-equi-join of its parent's number.
+equi-join of its parent's number.  Documents that are alike in url and text have
+the same elements, so frames go by ``pre`` and not by rows, and parents are made
+distinct.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ from pyspark.sql import functions as F
 
 from siteatlas.functions import classify
 
-NODE = "source_url string, pre long, last long, level int, parent long, tag string, attrs map<string,string>"
+NODE = "source_url string, doc long, pre long, last long, level int, parent long, tag string, attrs map<string,string>"
+
+#: What a document is known by.
+DOCUMENT = ["source_url", "doc"]
 
 # What an element loads, by its tag; others are "other".
 RESOURCE_TYPES = {
@@ -34,8 +40,9 @@ RESOURCE_TYPES = {
 def dom_nodes(bodies: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """One row for each element of each document; ``bodies`` has url and body.
 
-    Returns source_url, pre (from 0), last, level (from 0), parent (-1 at the
-    top), tag and attrs.  ``max_nodes`` keeps that many elements of a document,
+    Returns source_url, doc (a hash of the body), pre (from 0), last, level
+    (from 0), parent (-1 at the top), tag and attrs.  Bodies of one url are
+    documents of their own.  ``max_nodes`` keeps that many elements of a document,
     from its start; by default all.  A null or empty body has none.  Implied
     html, head and body elements are not added, and unclosed formatting ends
     with its parent.
@@ -45,7 +52,7 @@ def dom_nodes(bodies: DataFrame, max_nodes: int | None = None) -> DataFrame:
         from siteatlas.functions.markup import elements
 
         for batch in batches:
-            for url, body in zip(batch.column("url").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            for url, doc, body in zip(*(batch.column(c).to_pylist() for c in ("url", "doc", "body")), strict=True):
                 rows = elements(body or "")[:max_nodes]
                 if not rows:
                     continue
@@ -54,6 +61,7 @@ def dom_nodes(bodies: DataFrame, max_nodes: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([url] * n, pa.string()),
+                        pa.array([doc] * n, pa.int64()),
                         pa.array(range(n), pa.int64()),
                         pa.array([min(x, n - 1) for x in last], pa.int64()),
                         pa.array(level, pa.int32()),
@@ -61,10 +69,10 @@ def dom_nodes(bodies: DataFrame, max_nodes: int | None = None) -> DataFrame:
                         pa.array(tag, pa.string()),
                         pa.array([list(a.items()) for a in attrs], pa.map_(pa.string(), pa.string())),
                     ],
-                    ["source_url", "pre", "last", "level", "parent", "tag", "attrs"],
+                    ["source_url", "doc", "pre", "last", "level", "parent", "tag", "attrs"],
                 )
 
-    return bodies.select("url", "body").mapInArrow(run, NODE)
+    return bodies.select("url", F.xxhash64("body").alias("doc"), "body").mapInArrow(run, NODE)
 
 
 @dataclass
@@ -151,7 +159,7 @@ def parse_selector(selector: str) -> list[list[Compound]]:
 
 def marked(nodes: DataFrame, selector: str, name: str) -> DataFrame:
     """``nodes`` with a boolean column: whether ``selector`` matches the element."""
-    before = Window.partitionBy("source_url").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*DOCUMENT).orderBy("pre").rangeBetween(Window.unboundedPreceding, -1)
     flags, rows = [], nodes
     for g, chain in enumerate(parse_selector(selector)):
         tests = {f"__{name}_{g}_{k}": c.condition() for k, c in enumerate(chain)}
@@ -160,8 +168,8 @@ def marked(nodes: DataFrame, selector: str, name: str) -> DataFrame:
         for k, c in enumerate(chain[1:], 1):
             here = f"__{name}_{g}_{k}"
             if c.child:
-                parents = rows.where(so_far).select("source_url", F.col("pre").alias("parent"), F.lit(True).alias("__of"))
-                rows = rows.join(parents, ["source_url", "parent"], "left").withColumn(here, F.col(here) & F.col("__of").isNotNull()).drop("__of")
+                parents = rows.where(so_far).select(*DOCUMENT, F.col("pre").alias("parent")).distinct().withColumn("__of", F.lit(True))
+                rows = rows.join(parents, [*DOCUMENT, "parent"], "left").withColumn(here, F.col(here) & F.col("__of").isNotNull()).drop("__of")
             else:
                 inside = F.max(F.when(F.col(so_far), F.col("last"))).over(before) >= F.col("pre")
                 rows = rows.withColumn(here, F.col(here) & F.coalesce(inside, F.lit(False)))
@@ -177,18 +185,18 @@ def select(nodes: DataFrame, selector: str) -> DataFrame:
 
 
 def inside(nodes: DataFrame, outer: DataFrame) -> DataFrame:
-    """The rows of ``nodes`` that lie within an element of ``outer`` (source_url, pre, last), themselves excepted."""
+    """The rows of ``nodes`` that lie within an element of ``outer`` (source_url, doc, pre, last), themselves excepted."""
     both = nodes.withColumn("__outer", F.lit(None).cast("long")).unionByName(
-        outer.select("source_url", "pre", F.col("last").alias("__outer")), allowMissingColumns=True
+        outer.select(*DOCUMENT, "pre", F.col("last").alias("__outer")), allowMissingColumns=True
     )
     # At the same place the element itself comes before the region that starts there.
-    before = Window.partitionBy("source_url").orderBy("pre", F.col("__outer").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*DOCUMENT).orderBy("pre", F.col("__outer").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = F.max("__outer").over(before)
     return both.withColumn("__reach", reach).where(F.col("__outer").isNull() & (F.col("__reach") >= F.col("pre"))).drop("__outer", "__reach")
 
 
 def resources(nodes: DataFrame) -> DataFrame:
-    """(source_url, pre, url, method, type): what a browser loads for the elements; the targets of links are not loaded.
+    """(source_url, doc, pre, url, method, type): what a browser loads for the elements; the targets of links are not loaded.
 
     src, each URL of srcset, each url() of style, and data of object, embed and applet.
     """
@@ -196,7 +204,7 @@ def resources(nodes: DataFrame) -> DataFrame:
     kind = F.coalesce(F.create_map(*(F.lit(x) for kv in RESOURCE_TYPES.items() for x in kv))[F.col("tag")], F.lit("other"))
     data = F.when(F.col("tag").isin("object", "embed", "applet"), attr("data")).otherwise("")
     found = F.concat(F.array(attr("src")), classify.srcset(attr("srcset")), classify.css_urls(attr("style")), F.array(data))
-    rows = nodes.select("source_url", "pre", F.explode(found).alias("url"), F.lit("GET").alias("method"), kind.alias("type"))
+    rows = nodes.select(*DOCUMENT, "pre", F.explode(found).alias("url"), F.lit("GET").alias("method"), kind.alias("type"))
     return rows.where("url <> ''")
 
 
