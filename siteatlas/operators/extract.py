@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -120,8 +121,8 @@ def with_content_types(refs: DataFrame, responses: DataFrame) -> DataFrame:
     return refs.join(first, "source_url", "left").withColumn("content_type", F.coalesce("content_type", F.lit("")))
 
 
-def references(bodies: DataFrame) -> DataFrame:
-    """(source_url, target, tag, offset, line, column, snippet) of every match, refused ones too.
+def references(bodies: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(source_url, target, tag, offset, line, column, snippet) of every match, refused ones too, and ``keys``, further columns of ``bodies``.
 
     Offsets and columns count bytes.  A pattern's text is split at its matches
     by Python's own regular expressions, since no column function gives
@@ -135,21 +136,24 @@ def references(bodies: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, of = [], []
             bodies_ = batch.column("body").cast(pa.binary()).to_pylist()
-            for source, body in zip(batch.column("url").to_pylist(), bodies_, strict=True):
+            for nth, (source, body) in enumerate(zip(batch.column("url").to_pylist(), bodies_, strict=True)):
                 body = body or b""
                 breaks = [m.start() for m in re.finditer(b"\n", body)]
                 for tag, rx in compiled:
                     for m in rx.finditer(body):
                         out.append((source, m[1].decode("utf-8", "replace"), tag, *position(breaks, m.start(1)), snippet(body, *m.span(1))))
+                        of.append(nth)
             names = ["source_url", "target", "tag", "offset", "line", "column", "snippet"]
             cols = list(zip(*out, strict=True)) or [[]] * len(names)
             types = [pa.string()] * 3 + [pa.int64()] * 3 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            kept = [batch.column(k).take(pa.array(of, pa.int64())) for k in keys]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), *kept], [*names, *keys])
 
     schema = "source_url string, target string, tag string, offset long, line long, column long, snippet string"
-    return bodies.select("url", F.col("body").cast("string").alias("body")).mapInArrow(run, schema)
+    rows = bodies.select("url", F.col("body").cast("string").alias("body"), *keys)
+    return rows.mapInArrow(run, ", ".join([schema, *(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)]))
 
 
 def position(breaks: list[int], offset: int) -> tuple[int, int, int]:

@@ -34,6 +34,11 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("url", F.col("html").alias("body"))
 
 
+def rows_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with a number for each, where pages of one url count apart."""
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.with_resolved(extract.extract_links(bodies(spark, sf_dir)))
 
@@ -90,9 +95,8 @@ def classify_links(spark, sf_dir):
 
 @query
 def reference_positions(spark, sf_dir):
-    return extract.references(bodies(spark, sf_dir)).groupBy("source_url").agg(
-        F.count(F.lit(1)).alias("n"), F.min("offset").alias("first_offset"), F.max("line").alias("last_line")
-    )
+    found = extract.references(rows_apart(bodies(spark, sf_dir)), ["row"]).groupBy("source_url", "row")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("first_offset"), F.max("line").alias("last_line")).drop("row")
 
 
 @query
