@@ -60,8 +60,8 @@ def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
 
 
-def matches(bodies: DataFrame) -> DataFrame:
-    """(source_url, tag, rank, pos, raw) of every match; ``bodies`` has url and body.
+def matches(bodies: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(source_url, *keys, tag, rank, pos, raw) of every match; ``bodies`` has url, body and ``keys``.
 
     One pass per pattern over the body, inside one narrow stage.
     """
@@ -75,15 +75,19 @@ def matches(bodies: DataFrame) -> DataFrame:
         )
     )
     return (
-        bodies.select(F.col("url").alias("source_url"), F.explode(per_tag).alias("t"))
-        .select("source_url", "t.tag", "t.rank", F.posexplode("t.found").alias("pos", "raw"))
+        bodies.select(F.col("url").alias("source_url"), *keys, F.explode(per_tag).alias("t"))
+        .select("source_url", *keys, "t.tag", "t.rank", F.posexplode("t.found").alias("pos", "raw"))
     )
 
 
-def extract_links(bodies: DataFrame, rules: Rules = CLI_RULES) -> DataFrame:
-    """Links of each document, the first of each href, in markup order of tags."""
-    found = matches(bodies).withColumn("href", url.trimmed(F.col("raw"))).where(is_accepted(F.col("tag"), F.col("href")))
-    first = first_of(found, ["source_url", "href"], ["rank", "pos"])
+def extract_links(bodies: DataFrame, rules: Rules = CLI_RULES, keys: Sequence[str] = ()) -> DataFrame:
+    """Links of each document, the first of each href, in markup order of tags.
+
+    All bodies of one url are one document, unless ``keys``, further columns of
+    ``bodies`` that are kept, tell them apart.
+    """
+    found = matches(bodies, keys).withColumn("href", url.trimmed(F.col("raw"))).where(is_accepted(F.col("tag"), F.col("href")))
+    first = first_of(found, ["source_url", *keys, "href"], ["rank", "pos"])
     return described(first.drop("raw"), rules)
 
 
