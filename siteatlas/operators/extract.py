@@ -196,15 +196,15 @@ def trim_text_urls(found: pd.Series) -> pd.Series:
     return found.map(lambda a: [trim_text_url(x) for x in a])
 
 
-def text_urls(texts: DataFrame, tag: str = "text-url", rules: Rules = CLI_RULES) -> DataFrame:
-    """URLs written in running text (columns url and body), the first of each href in a document."""
+def text_urls(texts: DataFrame, tag: str = "text-url", rules: Rules = CLI_RULES, keys: Sequence[str] = ()) -> DataFrame:
+    """URLs written in running text (columns url and body), the first of each href in a document; ``keys`` as in :func:`extract_links`."""
     trim = F.pandas_udf(trim_text_urls, "array<string>")
-    raw = texts.select(F.col("url").alias("source_url"), F.regexp_extract_all(F.col("body"), F.lit(TEXT_URL), F.lit(0)).alias("f"))
-    rows = raw.where(F.size("f") > 0).select("source_url", F.posexplode(trim("f")).alias("pos", "href"))
+    raw = texts.select(F.col("url").alias("source_url"), *keys, F.regexp_extract_all(F.col("body"), F.lit(TEXT_URL), F.lit(0)).alias("f"))
+    rows = raw.where(F.size("f") > 0).select("source_url", *keys, F.posexplode(trim("f")).alias("pos", "href"))
     www = F.lower(F.col("href")).startswith("www.")
     rows = rows.withColumn("href", F.when(www, F.concat(F.lit("http://"), F.col("href"))).otherwise(F.col("href")))
     rows = rows.where(classify.has_alphanumeric(F.col("href"))).withColumn("tag", F.lit(tag)).withColumn("rank", F.lit(0))
-    return described(first_of(rows, ["source_url", "href"], ["pos"]), rules)
+    return described(first_of(rows, ["source_url", *keys, "href"], ["pos"]), rules)
 
 
 def inline_scripts(bodies: DataFrame) -> DataFrame:

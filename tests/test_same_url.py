@@ -10,7 +10,7 @@ from siteatlas.plans.queries import QUERIES
 
 ORACLES = {**oracles.ORACLES, **structure.ORACLES, **derived.ORACLES}
 SF = "/root/testdata/sf0.001"
-NAMES = ["dom_children", "reference_positions", "tagged_resources"]
+NAMES = ["bracketed_urls", "dom_children", "reference_positions", "tagged_resources"]
 
 
 @pytest.fixture(scope="module")
