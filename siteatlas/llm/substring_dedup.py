@@ -7,18 +7,18 @@ words has the least hash among its neighbours.  The cuts inside a passage
 depend on the passage alone, and one of 50 words or more has whole paragraphs
 between them, wherever it stands; a piece too short is joined to the next.
 
-Paragraphs with equal words are one class.  ``BANDS`` bands of one minimum each
-bring two classes at the threshold of 0.8 into a common bucket with probability
-1 - 0.2^5 = 0.9997, and into four of the five on average.  Buckets of up to
-``SMALL`` classes are compared in full, larger ones first with their least
-classes; what is then still in different components of a larger bucket is
-parted by further bands, again until the parts are small, and compared there in
-full.  Two classes at the threshold stay together in a part of each bucket they
-share with probability 1 - (1 - 0.8^6)^12 = 0.974, so in all 0.9995 of such
-pairs are compared, and more of nearer ones.  No class is left out and no
-number of partners is fixed.  A link holds if the exact Jaccard similarity of
-the shingle sets reaches the threshold.  Components of classes are the units of
-removal: the first paragraph of a component stays.
+Paragraphs with equal words are one class.  Its MinHash sketch are its least
+shingle hashes, and each of them is a band.  Of n shingles n - ceil(0.8 n) + 1
+are taken: two sets that reach the threshold of 0.8 have so many in common that
+one of the least of either is among the least of the other, so they have a
+common bucket, always.  Buckets of up to ``SMALL`` classes are compared in full,
+larger ones first with their least classes; what is then still in different
+components of a larger bucket is compared in full, beyond ``FULL`` classes in
+parts by their rarest shingles, which part no such pair.  No class is left out,
+no number of partners is fixed, and no link depends on chance.  A link holds if
+the exact Jaccard similarity of the shingle sets reaches the threshold.
+Components of classes are the units of removal: the first paragraph of a
+component stays.
 
 A bucket that very many classes share is dealt over salted parts, each with a
 centre of its own, before the first exchange.
@@ -39,25 +39,19 @@ SHINGLE = 5
 #: A cut has the least hash of so many word pairs on either side.
 REACH = 6
 MIN_WORDS = 8
-#: Bands of one minimum each.
-BANDS = 5
 #: Of the classes of a batch in one bucket, so many go to the bucket itself, the rest to a salted part of it.
 UNSALTED = 4
 #: A piece with this Jaccard similarity to a line it stands in is no paragraph besides the line.
 NEAR_LINE = 0.8
 #: Buckets of up to so many classes are compared in full at first.
 SMALL = 9
-#: Buckets of up to so many classes are not parted further.
+#: Buckets of up to so many classes are compared without being parted.
 FULL = 5000
 #: Words of 64 bits in the sketch of a shingle set.
 SKETCH = 4
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
 #: A larger bucket is compared with so many of its classes before it is compared in full.
 CENTRES = 32
-#: Parts of a larger bucket, and the further minima of each.
-PARTS, DEPTH = 12, 6
-#: How often a bucket is parted at most.
-LEVELS = 4
 #: Keeps bounds on the safe side of rounding.
 EPSILON = 1e-6
 
@@ -156,27 +150,32 @@ class Paragraphs:
         index, _, begin = self.spread(self.length - SHINGLE + 1)
         return every[index], begin
 
-    def bands(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each wanted paragraph the bucket of each band; returns paragraph, bucket and the number of distinct shingles."""
+    def bands(self, wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each wanted paragraph its least shingles, one of which it has in common with what reaches the threshold.
+
+        Returns paragraph, bucket and the number of distinct shingles.
+        """
         if not len(wanted):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
         lengths = np.zeros(len(self.start), np.int64)
         lengths[wanted] = self.length[wanted] - SHINGLE + 1
-        index, _, begin = self.spread(lengths)
+        index, _, _ = self.spread(lengths)
         shingle = runs(self.words.hash, SHINGLE)[index]
         of = np.repeat(np.arange(len(lengths)), lengths)
         shingle = shingle[np.lexsort((shingle, of))]
         new = np.append(True, (shingle[1:] != shingle[:-1]) | (of[1:] != of[:-1]))
-        n = np.bincount(of[new], minlength=len(lengths))[wanted].astype(np.int32)
-        found = [np.minimum.reduceat(mix(shingle ^ seed), begin[wanted]) ^ seed for seed in BAND_SEEDS]
-        return np.tile(wanted, BANDS), np.concatenate([mix(x) for x in found]).view(np.int64), np.tile(n, BANDS)
-
-
-BAND_SEEDS = [mix(np.array([k + 1], np.uint64) * STEP)[0] for k in range(BANDS)]
+        shingle, of = shingle[new], of[new]
+        n = np.bincount(of, minlength=len(lengths))
+        nth = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+        least = nth <= n[of] - np.ceil(threshold * n[of] - EPSILON)
+        return of[least], shingle[least].view(np.int64), n[of[least]].astype(np.int32)
 
 
 def salted(key: np.ndarray, salt: int, *more: np.ndarray) -> list[np.ndarray]:
-    """[key, salt, *more] of one batch: a key of more than ``UNSALTED`` rows keeps those, and the first of them is the centre of the rest."""
+    """[key, salt, many, *more] of one batch: a key of more than ``UNSALTED`` rows keeps those, and the first of them is the centre of the rest.
+
+    ``many`` marks all rows of such a key.
+    """
     order = np.argsort(key, kind="stable")
     key, more = key[order], [x[order] for x in more]
     n = np.arange(len(key))
@@ -184,11 +183,14 @@ def salted(key: np.ndarray, salt: int, *more: np.ndarray) -> list[np.ndarray]:
     far = n - first >= UNSALTED
     centres = np.unique(first[far])
     salts = np.append(np.where(far, salt, 0), np.full(len(centres), salt)).astype(np.int64)
-    return [np.append(key, key[centres]), salts, *(np.append(x, x[centres]) for x in more)]
+    many = np.zeros(len(key), bool)
+    many[centres] = True
+    many = np.append(many[first], many[centres])
+    return [np.append(key, key[centres]), salts, many, *(np.append(x, x[centres]) for x in more)]
 
 
-def band_rows(docs: DataFrame) -> DataFrame:
-    """(key, salt, class, n) in every bucket; each class once for about every half million classes of a task.
+def band_rows(docs: DataFrame, threshold: float) -> DataFrame:
+    """(key, salt, class, n, many) in every bucket; each class once for about every half million classes of a task.
 
     Thus a class of very many copies sends few rows, and rows need only one
     exchange to be made distinct and put in buckets.
@@ -203,13 +205,13 @@ def band_rows(docs: DataFrame) -> DataFrame:
             p, salt = Paragraphs(utf8(batch, "text")), salt + 1
             h, _ = p.hashes()
             once = np.array([k for k, x in enumerate(h.tolist()) if x not in seen and not seen.add(x)], np.int64)
-            of, key, n = p.bands(once)
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, salted(key, salt, h[of], n))), ["key", "salt", "class", "n"])
+            of, key, n = p.bands(once, threshold)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, salted(key, salt, h[of], n))), ["key", "salt", "many", "class", "n"])
             if len(seen) > 500_000:
                 seen = set()
 
-    rows = docs.select("text").mapInArrow(run, "key long, salt long, class long, n int")
-    return rows.repartition("key", "salt").distinct()
+    rows = docs.select("text").mapInArrow(run, "key long, salt long, many boolean, class long, n int")
+    return rows.repartition("key", "salt").groupBy("key", "salt", "class", "n").agg(F.max("many").alias("many"))
 
 
 def paragraph_rows(docs: DataFrame) -> DataFrame:
@@ -302,12 +304,14 @@ def buckets(rows: DataFrame, threshold: float) -> DataFrame:
     """``rows`` of :func:`band_rows` that can have a partner: (key, salt, part, class, size, nth).
 
     ``part`` parts a bucket by its salt and where sizes are too far apart;
-    ``size`` counts the rows of a part and ``nth`` is a row's place in it.
+    ``size`` counts the rows of a part and ``nth`` is a row's place in it.  Of a
+    salted bucket all rows stay, since their partners may have another salt.
     """
     ordered = Window.partitionBy("key", "salt").orderBy("n", "class")
     joins = F.coalesce(F.lag("n").over(ordered) + F.lit(EPSILON) >= threshold * F.col("n"), F.lit(False))
     joined = F.coalesce(F.col("n") + F.lit(EPSILON) >= threshold * F.lead("n").over(ordered), F.lit(False))
-    rows = rows.withColumns({"joins": joins, "joined": joined}).where("joins or joined")
+    many = F.max("many").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumns({"joins": joins, "joined": joined, "many": many}).where("joins or joined or many")
     part = F.count_if(~F.col("joins")).over(ordered)
     within = Window.partitionBy("key", "salt", "part")
     rows = rows.withColumn("part", part).withColumn("size", F.count(F.lit(1)).over(within))
@@ -333,50 +337,60 @@ def mixed_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(totals.where("low <> high").drop("low", "high"), "key")
 
 
-def rekeyed(rows: DataFrame, level: int) -> DataFrame:
-    """``rows`` (key, class, label, shingles) in ``PARTS`` parts of their bucket, each by ``DEPTH`` further minima."""
-    first = 1 + BANDS + level * PARTS * DEPTH
-    seeds = [mix(np.array([first + k], np.uint64) * STEP)[0] for k in range(PARTS * DEPTH)]
+def by_rarest(rows: DataFrame, threshold: float) -> DataFrame:
+    """``rows`` (key, class, label, shingles) in parts of their bucket: one for each of the rarest shingles of a class there.
 
-    def run(batches):
-        for batch in batches:
-            shingles = batch.column("shingles")
-            flat = shingles.flatten().to_numpy().view(np.uint64)
-            size = shingles.value_lengths().to_numpy()
-            key = batch.column("key").to_numpy().view(np.uint64)
-            for k in range(PARTS):
-                part = key
-                for seed in seeds[k * DEPTH : (k + 1) * DEPTH] if len(flat) else []:
-                    part = mix(part * STEP ^ np.minimum.reduceat(mix(flat ^ seed), np.cumsum(size) - size))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.view(np.int64)), batch.column("class"), batch.column("label")], ["key", "class", "label"]
-                )
+    Two sets that reach the threshold share one of these, however ties are
+    broken; a shingle that one class has alone makes no part.
+    """
+    every = rows.select("key", "class", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = every.groupBy("key", "shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    every = every.join(often, ["key", "shingle"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("key", "class").orderBy("often", "shingle"))
+    found = every.withColumn("nth", nth).where((F.col("nth") <= n_least(F.col("n"), threshold)) & (F.col("often") > 1))
+    return found.select(F.xxhash64("key", "shingle").alias("key"), "class", "label")
 
-    return rows.select("key", "class", "label", "shingles").mapInArrow(run, "key long, class long, label long")
+
+def n_least(n: Column, threshold: float) -> Column:
+    """How many of ``n`` shingles, in any order, hold one of what reaches the threshold with them."""
+    return n - F.ceil(threshold * n - F.lit(EPSILON)) + 1
+
+
+def links_across(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) among all pairs of a bucket with different labels, in buckets of any size; ``mixed`` as :func:`mixed_buckets` gives it.
+
+    One of a pair does not have the bucket's commonest label, so only the
+    others meet all.  A large bucket is dealt over several tasks, each with a
+    share of its classes and all that these have to meet.
+    """
+    lead = mixed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("lead"))
+    rows = written(mixed.join(lead, "key").withColumn("shares", F.ceil(F.col("size") / FULL).cast("int")), "dealt")
+    all_of = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    other = side(rows.where("label <> lead").join(sets, "class").drop("size", "lead"), "y", **{"class": "c", "label": "b"})
+    other = other.select("*", all_of).drop("shares")
+    here = side(rows.withColumn("share", F.pmod(F.xxhash64("class"), F.col("shares")).cast("int")).join(sets, "class"), "x")
+    both = here.join(other, ["key", "share"]).where("label <> b and (label = lead or class > c)").where(similar(threshold))
+    return both.select(F.col("label").alias("a"), "b").distinct()
 
 
 def further_links(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between labels, among the pairs of a bucket that have different ones.
+    """Links (a, b) between labels, among all pairs of a bucket that have different ones.
 
     ``rows``: key, class, label.  A bucket of up to ``FULL`` classes is compared
     in full, inside the join that makes its pairs.  A larger one is parted by
-    further bands, ``PARTS`` of ``DEPTH`` minima each, and its parts again, so
-    the number of rows grows with the number of classes and not with its
-    square.  What ``LEVELS`` of this have not parted is compared in full.
+    the rarest shingles of its classes, which leaves out no pair that reaches
+    the threshold, and its parts are compared in full, whatever their size.
     """
-    out = None
-    for level in range(LEVELS + 1):
-        mixed = written(mixed_buckets(rows), "level")
-        here = (mixed.where(f"size <= {FULL}") if level < LEVELS else mixed).join(sets, "class")
-        other = side(here, "y", **{"class": "c", "label": "b"}).drop("size")
-        both = side(here, "x").join(other, "key").where("class > c and label <> b").where(similar(threshold))
-        found = written(both.select(F.col("label").alias("a"), "b").distinct(), "links")
-        out = found if out is None else out.union(found)
-        large = mixed.where(f"size > {FULL}")
-        if level == LEVELS or large.isEmpty():
-            break
-        rows = rekeyed(large.join(sets, "class"), level)
-    return out
+    mixed = written(mixed_buckets(rows), "mixed")
+    here = mixed.where(f"size <= {FULL}").join(sets, "class")
+    other = side(here, "y", **{"class": "c", "label": "b"}).drop("size")
+    both = side(here, "x").join(other, "key").where("class > c and label <> b").where(similar(threshold))
+    found = written(both.select(F.col("label").alias("a"), "b").distinct(), "links")
+    large = mixed.where(f"size > {FULL}")
+    if large.isEmpty():
+        return found
+    parts = written(by_rarest(large.join(sets, "class"), threshold).distinct(), "parts")
+    return found.union(links_across(written(mixed_buckets(parts), "mixed"), sets, threshold))
 
 
 def centre_links(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -402,7 +416,7 @@ def relabelled(rows: DataFrame, joins: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, paragraphs: DataFrame, threshold: float) -> DataFrame:
     """(class, label) of all classes with a link to another."""
-    rows = written(buckets(band_rows(docs), threshold), "buckets")
+    rows = written(buckets(band_rows(docs, threshold), threshold), "buckets")
     sets = sets_of(rows.select("class"), paragraphs, docs)
     labels = connected_components(first_links(rows.join(sets, "class"), threshold))
     labels = written(labels.select(F.col("node").alias("class"), "label"), "labels")
