@@ -286,18 +286,39 @@ def side(rows: DataFrame, name: str, **columns: str) -> DataFrame:
     return rows.withColumnsRenamed(names)
 
 
-def similar(threshold: float) -> Column:
-    """Whether the shingle sets x and y reach the Jaccard threshold, exactly.
+def reach(both: Column, nx: Column, ny: Column, threshold: float) -> Column:
+    """Whether ``both`` of nx and ny shingles in common are enough."""
+    return both + F.lit(EPSILON) >= threshold * (nx + ny - both)
+
+
+def can_reach(nx: Column, ny: Column, threshold: float) -> Column:
+    """Whether sets of nx and ny shingles can reach the threshold, by sizes and sketches.
 
     A bit of one sketch that the other lacks stands for a shingle that the
-    other lacks, so sizes and sketches bound what can be common; that decides
-    most pairs without a look at the sets.
+    other lacks.
     """
+    lacks = lambda x, y: sum((F.bit_count(F.expr(f"{x}{k} & ~{y}{k}")) for k in range(1, SKETCH)), F.bit_count(F.expr(f"{x}0 & ~{y}0")))
+    most = F.least(nx - lacks("x", "y"), ny - lacks("y", "x"))
+    return reach(F.least(nx, ny), nx, ny, threshold) & reach(most, nx, ny, threshold)
+
+
+def similar(threshold: float) -> Column:
+    """Whether the shingle sets x and y reach the Jaccard threshold, exactly; sizes and sketches decide most pairs without a look at the sets."""
     nx, ny = F.size("x"), F.size("y")
-    lacks = sum((F.bit_count(F.expr(f"x{k} & ~y{k}")) for k in range(1, SKETCH)), F.bit_count(F.expr("x0 & ~y0")))
-    common = F.size(F.array_intersect("x", "y"))
-    reach = lambda both: both + F.lit(EPSILON) >= threshold * (nx + ny - both)
-    return reach(F.least(nx, ny)) & reach(nx - lacks) & reach(common)
+    return can_reach(nx, ny, threshold) & reach(F.size(F.array_intersect("x", "y")), nx, ny, threshold)
+
+
+def sketches_of(sets: DataFrame) -> DataFrame:
+    """``sets`` with sizes in place of the shingles."""
+    return sets.withColumn("shingles", F.size("shingles"))
+
+
+def reaching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of ``pairs`` (class, c, ...) of classes those whose shingle sets reach the threshold, exactly; a pair is compared once."""
+    pairs = written(pairs.distinct(), "pairs")
+    x, y = (sets.select(F.col("class").alias(c), F.col("shingles").alias(n)) for c, n in (("class", "x"), ("c", "y")))
+    enough = reach(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), threshold)
+    return pairs.join(x, "class").join(y, "c").where(enough).drop("x", "y")
 
 
 def buckets(rows: DataFrame, threshold: float) -> DataFrame:
@@ -318,15 +339,17 @@ def buckets(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("key", "salt", "part", "class", "size", F.row_number().over(within.orderBy("class")).alias("nth"))
 
 
-def first_links(members: DataFrame, threshold: float) -> DataFrame:
+def first_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b), a > b, among all pairs of a part of ``SMALL`` classes, in a larger one of each class with the ``SMALL`` - 1 least.
 
-    The shingle sets meet in the join that makes the pairs, so pairs are never exchanged.
+    Only sizes and sketches go into the buckets, so a long paragraph of many
+    bands is no burden; the pairs they leave are compared by their sets.
     """
     part = ["key", "salt", "part"]
-    least = side(members.where(F.col("nth") < SMALL), "y", **{"class": "b"}).drop("size", "nth")
-    both = side(members, "x").join(least, part).where(F.col("b") < F.col("class"))
-    return both.where(similar(threshold)).select(F.col("class").alias("a"), "b").distinct()
+    members = members.join(sketches_of(sets), "class")
+    least = side(members.where(F.col("nth") < SMALL), "y", **{"class": "c"}).drop("size", "nth")
+    both = side(members, "x").join(least, part).where("c < class").where(can_reach(F.col("x"), F.col("y"), threshold))
+    return reaching(both.select("class", "c"), sets, threshold).select(F.col("class").alias("a"), F.col("c").alias("b"))
 
 
 def mixed_buckets(rows: DataFrame) -> DataFrame:
@@ -399,9 +422,11 @@ def centre_links(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     # The least class of each share of a bucket: an aggregation, combined before the exchange.
     share = F.pmod(F.xxhash64("class"), F.lit(CENTRES)).alias("share")
     centres = mixed.groupBy("key", share).agg(F.min("class").alias("class"), F.min_by("label", "class").alias("label")).drop("share")
-    centres = side(centres.join(sets, "class"), "y", **{"class": "c", "label": "b"})
-    both = side(mixed.join(sets, "class"), "x").join(centres, "key").where("class <> c and label <> b").where(similar(threshold))
-    return both.select(F.col("label").alias("a"), "b").distinct()
+    sketches = sketches_of(sets)
+    centres = side(centres.join(sketches, "class"), "y", **{"class": "c", "label": "b"})
+    both = side(mixed.join(sketches, "class"), "x").join(centres, "key").where("class <> c and label <> b")
+    both = both.where(can_reach(F.col("x"), F.col("y"), threshold)).select("class", "c", "label", "b")
+    return reaching(both, sets, threshold).select(F.col("label").alias("a"), "b").distinct()
 
 
 def joins_of(links: DataFrame) -> DataFrame:
@@ -418,7 +443,7 @@ def linked_classes(docs: DataFrame, paragraphs: DataFrame, threshold: float) ->
     """(class, label) of all classes with a link to another."""
     rows = written(buckets(band_rows(docs, threshold), threshold), "buckets")
     sets = sets_of(rows.select("class"), paragraphs, docs)
-    labels = connected_components(first_links(rows.join(sets, "class"), threshold))
+    labels = connected_components(first_links(rows, sets, threshold))
     labels = written(labels.select(F.col("node").alias("class"), "label"), "labels")
     # What has not been compared in full: buckets beyond SMALL classes, and those that were salted.
     large = rows.where(f"size > {SMALL} or salt > 0").select("key").distinct()
