@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteatlas.llm.common import back_to_rows, bounded_batches, utf8, written
+from siteatlas.llm.common import back_to_rows, bounded_batches, bucketed_table, utf8, written
 from siteatlas.llm.components import connected_components
 from siteatlas.llm.word_hashes import STEP, Words, mix, runs
 
@@ -274,10 +274,10 @@ def shingles_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def sets_of(classes: DataFrame, paragraphs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(class, shingles, sketch) of the given classes."""
+    """(class, shingles, sketch) of the given classes, in buckets of their class, so that no join by it moves the sets."""
     # Any document of a class will do: its paragraphs have equal words.
     named = paragraphs.where("doc_id is not null").select("class", "doc_id").join(classes.distinct(), "class")
-    return written(shingles_of(named.groupBy("class").agg(F.min("doc_id").alias("doc_id")), docs), "shingles")
+    return bucketed_table(shingles_of(named.groupBy("class").agg(F.min("doc_id").alias("doc_id")), docs), "shingles", ["class"])
 
 
 def side(rows: DataFrame, name: str, **columns: str) -> DataFrame:
@@ -313,6 +313,23 @@ def sketches_of(sets: DataFrame) -> DataFrame:
     return sets.withColumn("shingles", F.size("shingles"))
 
 
+def outlines_of(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``n``, the number of shingles, and 16 bits of each shingle in place of its 64."""
+    outline = F.array_distinct(F.transform("shingles", lambda x: F.shiftright(x, 48).cast("short")))
+    return sets.select("class", F.size("shingles").alias("n"), outline.alias("shingles"), *SKETCHES)
+
+
+def outlines_reach(threshold: float) -> Column:
+    """Whether sets with the sizes xn and yn and the outlines x and y can reach the threshold; most pairs are decided by sizes and sketches.
+
+    What one outline has and the other lacks stands for a shingle that the
+    other lacks, so no pair that reaches it is left out.
+    """
+    nx, ny, both = F.col("xn"), F.col("yn"), F.size(F.array_intersect("x", "y"))
+    most = F.least(nx - F.size("x") + both, ny - F.size("y") + both)
+    return can_reach(nx, ny, threshold) & reach(most, nx, ny, threshold)
+
+
 def reaching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of ``pairs`` (class, c, ...) of classes those whose shingle sets reach the threshold, exactly; a pair is compared once."""
     pairs = written(pairs.distinct(), "pairs")
@@ -400,14 +417,17 @@ def further_links(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     """Links (a, b) between labels, among all pairs of a bucket that have different ones.
 
     ``rows``: key, class, label.  A bucket of up to ``FULL`` classes is compared
-    in full, inside the join that makes its pairs.  A larger one is parted by
-    the rarest shingles of its classes, which leaves out no pair that reaches
-    the threshold, and its parts are compared in full, whatever their size.
+    in full by outlines, a quarter of the sets, inside the join that makes its
+    pairs; the pairs they leave are compared by their sets.  A larger one is
+    parted by the rarest shingles of its classes, which leaves out no pair that
+    reaches the threshold, and its parts are compared in full, whatever their
+    size.
     """
     mixed = written(mixed_buckets(rows), "mixed")
-    here = mixed.where(f"size <= {FULL}").join(sets, "class")
-    other = side(here, "y", **{"class": "c", "label": "b"}).drop("size")
-    both = side(here, "x").join(other, "key").where("class > c and label <> b").where(similar(threshold))
+    here = mixed.where(f"size <= {FULL}").drop("size").join(outlines_of(sets), "class")
+    other = side(here, "y", **{"class": "c", "label": "b", "n": "yn"})
+    both = side(here, "x", n="xn").join(other, "key").where("class > c and label <> b").where(outlines_reach(threshold))
+    both = reaching(both.select("class", "c", "label", "b"), sets, threshold)
     found = written(both.select(F.col("label").alias("a"), "b").distinct(), "links")
     large = mixed.where(f"size > {FULL}")
     if large.isEmpty():

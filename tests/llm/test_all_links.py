@@ -5,9 +5,11 @@ import random
 import numpy as np
 
 from siteatlas.llm import substring_dedup as sd
+from siteatlas.llm.common import bucketed_table
 from siteatlas.llm.components import connected_components
 from siteatlas.llm.substring_dedup import Paragraphs
 from siteatlas.llm.word_hashes import runs
+from siteatlas.sources.tables import setting
 
 EDGE = 0.8
 
@@ -69,3 +71,38 @@ def test_a_size_of_its_own_stays_in_a_salted_bucket(spark):
     rows = [(1, 0, 11, 10, True), (1, 0, 12, 10, True), (1, 0, 15, 100, True), (1, 5, 11, 10, True), (1, 5, 19, 99, True), (2, 0, 21, 10, False), (2, 0, 22, 100, False)]
     found = sd.buckets(spark.createDataFrame(rows, "key long, salt long, class long, n int, many boolean"), EDGE)
     assert {r["class"] for r in found.collect()} == {11, 12, 15, 19}
+
+
+def test_whole_sets_do_not_go_into_the_buckets(spark):
+    """600 sets of 400 shingles in one bucket, one pair of them at the threshold: fewer bytes are dealt than the sets have."""
+    rng = random.Random(5)
+    data = [[1, *(rng.randrange(-(2**63), 2**63) for _ in range(399))] for _ in range(600)]
+    data[7] = data[6][:356] + data[7][:44]  # 356 of 444 in common
+    data[7][356] = rng.randrange(-(2**63), 2**63)
+    assert jaccard(set(data[6]), set(data[7])) >= EDGE
+    sets = spark.createDataFrame([(c, sorted(s), 0, 0, 0, 0) for c, s in enumerate(data)], "class long, shingles array<long>, s0 long, s1 long, s2 long, s3 long")
+    sets = bucketed_table(sets, "sets", ["class"])
+    rows = spark.createDataFrame([(7, c, c) for c in range(600)], "key long, class long, label long")
+    dealt = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(k) for k in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        before = dealt()
+        found = {tuple(sorted(r)) for r in sd.further_links(rows, sets, EDGE).collect()}
+    assert found == {(6, 7)}
+    assert dealt() - before < 8 * 400 * 600
+
+
+def test_outlines_leave_out_no_pair(spark):
+    """Shingles that share their 16 bits, in one set or across both: what reaches the threshold stays."""
+    rng = random.Random(6)
+    draw = lambda: (rng.randrange(-8, 8) << 48) + rng.randrange(40)
+    data = []
+    while len(data) < 300:
+        x = {draw() for _ in range(40)}
+        y = set(rng.sample(sorted(x), len(x) - rng.randrange(9))) | {draw() for _ in range(rng.randrange(9))}
+        data.append((sorted(x), sorted(y)))
+    want = [jaccard(set(x), set(y)) >= EDGE for x, y in data]
+    schema = "class long, shingles array<long>, s0 long, s1 long, s2 long, s3 long"
+    frame = lambda k: sd.outlines_of(spark.createDataFrame([(n, d[k], 0, 0, 0, 0) for n, d in enumerate(data)], schema))
+    both = sd.side(frame(0), "x", n="xn").join(sd.side(frame(1), "y", n="yn"), "class")
+    kept = {r["class"] for r in both.where(sd.outlines_reach(EDGE)).collect()}
+    assert {n for n, w in enumerate(want) if w} <= kept and 0 < sum(want) < 300
