@@ -10,8 +10,11 @@ there or later: no pairs are formed to be thrown away, however large a group.
 
 Neither tokeniser has a token across the place between a character that is not
 white space and a following space, so texts are taken apart there, and in each
-bounded batch of texts a distinct part is tokenised and aligned once.  A
-document is a list of part numbers; its groups and sums come from its parts.
+bounded batch of texts a distinct part is tokenised once.  Where tokens end
+depends on their lengths alone: parts with the same lengths on both sides have
+one shape, and in each batch a distinct shape is aligned once.  A document is a
+list of part numbers; its groups and sums come from its parts, whose links are
+those of their shape with their own ids.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteatlas.llm.common import bounded_batches, bucketed_table, written
@@ -32,12 +36,12 @@ from siteatlas.sources.tables import discard, setting
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text to a batch, whose parts are aligned once and whose documents are put together at once.
+#: Bytes of text to a batch, whose shapes are aligned once and whose documents are put together at once.
 BATCH = 4 << 20
-#: So many parts are tokenised as one text.
+#: So many parts are tokenised as one text, and so many share a row.
 SLICE = 4_000
-#: Buckets for each shuffle partition, so that a task sorts the tokens of one or two batches in memory.
-SPREAD = 8
+#: Buckets for each shuffle partition, so that a task has one or two batches.
+SPREAD = 2
 #: Whether a join may use a partitioning by some of its keys.
 WHOLE_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 MARKER = "▁"
@@ -62,21 +66,22 @@ class Tokeniser:
         # Whether no token holds a space after another character that is not white space.
         self.parts_apart = not any(re.search(r"\S ", s.decode("utf-8", "replace")) for s in self.surface)
 
-    def of_parts(self, some: list[str]) -> list[bytes | None]:
-        """The ids of each part, packed; None where its tokens do not spell it.  The parts are tokenised as one text."""
+    def of_parts(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, and how many are each one's: none where its tokens do not spell it.  The parts are tokenised as one text."""
         text = "".join(" " + p for p in some)
         found = self.encode(text)
+        ids = np.array(found, np.int32)
         if b"".join(map(self.surface.__getitem__, found)) == text.encode():
-            ids = np.array(found, np.int32)
             ends = np.cumsum(self.lengths[ids])
             wanted = np.cumsum([1 + len(p.encode()) for p in some])
             cuts = np.searchsorted(ends, wanted) + 1
             if np.array_equal(ends[cuts - 1], wanted):
-                return [ids[x:y].tobytes() for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+                return ids, np.diff(cuts, prepend=0)
         if len(some) == 1:
-            return [None]
+            return ids[:0], np.zeros(1, np.int64)
         half = len(some) // 2
-        return self.of_parts(some[:half]) + self.of_parts(some[half:])
+        first, second = self.of_parts(some[:half]), self.of_parts(some[half:])
+        return np.append(first[0], second[0]), np.append(first[1], second[1])
 
 
 # Fixed value: where a byte-level BPE is cut before its merges.
@@ -147,12 +152,30 @@ def parts(text: str) -> list[str]:
     return joined
 
 
-def cut_texts(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
-    """A table with two sorts of rows, in buckets of their batch: documents (batch, doc_id, parts) and distinct parts.
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """``values`` as consecutive lists of the given sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def shapes_of(a_lengths: np.ndarray, a_sizes: np.ndarray, b_lengths: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, list[tuple[bytes, bytes]]]:
+    """The shape of each part, and the lengths of both sides' tokens (as 32-bit numbers) of each shape; ``*_sizes`` count a part's tokens."""
+    number: dict[tuple[bytes, bytes], int] = {}
+    a, b = (x.astype(np.int32).tobytes() for x in (a_lengths, b_lengths))
+    a_at, b_at = ((4 * np.append(0, np.cumsum(n))).tolist() for n in (a_sizes, b_sizes))
+    bounds = zip(a_at, a_at[1:], b_at, b_at[1:])  # noqa: B905
+    found = [number.setdefault((a[i:j], b[k:m]), len(number)) for i, j, k, m in bounds]
+    return np.array(found, np.int32), list(number)
 
-    A part has its batch, ``part`` (its number within it), ``uses`` (how often
-    texts with tokens hold it), ``a_ids`` and ``b_ids``.  A text without tokens
-    has no parts.  A task writes a file for each batch at most.
+
+def cut_texts(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """A table with three sorts of rows, in buckets of their batch: documents (batch, doc_id, parts), slices of distinct parts, and shapes.
+
+    A slice has its batch, ``slice`` (its number within it) and of each part, in
+    order, the shape and ``uses`` (how often texts with tokens hold it);
+    ``a_ids`` and ``b_ids`` are those of all its parts.  A shape has its batch,
+    ``part`` (its number within it) and the lengths of its tokens in ``a_ids``
+    and ``b_ids``.  A text without tokens has no parts.  A task writes a file
+    for each batch at most.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -163,52 +186,67 @@ def cut_texts(docs: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFr
         for batch in batches:
             texts = batch.column("text")
             number: dict[str, int] = {}
-            lists = []
+            held = []
             for i in range(len(texts)):
                 t = texts[i].as_py()
                 found = [] if not t else parts(t) if apart else [t]
-                lists.append(np.fromiter((number.setdefault(p, len(number)) for p in found), np.int32, len(found)))
+                held.append(np.fromiter((number.setdefault(p, len(number)) for p in found), np.int32, len(found)))
             names = list(number)
             del number
-            packed = [[x for at in range(0, len(names), SLICE) for x in s.of_parts(names[at : at + SLICE])] for s in sides]
-            bad = np.fromiter((a is None or b is None for a, b in zip(*packed, strict=True)), bool, len(names))
+            ids, sizes = [], []
+            for s in sides:
+                pieces = [s.of_parts(names[at : at + SLICE]) for at in range(0, len(names), SLICE)]
+                ids.append(np.concatenate([np.empty(0, np.int32), *(x for x, _ in pieces)]))
+                sizes.append(np.concatenate([np.empty(0, np.int64), *(n for _, n in pieces)]))
+            del names
+            bad = (sizes[0] == 0) | (sizes[1] == 0)
             if bad.any():  # texts with such a part have no tokens
-                lists = [x[:0] if bad[x].any() else x for x in lists]
-            flat = np.concatenate([*lists, np.empty(0, np.int32)])
-            uses = np.bincount(flat, minlength=len(names))
-            kept = np.flatnonzero(uses)
-            place = np.zeros(len(names), np.int32)
-            place[kept] = np.arange(len(kept))
-            n, m = len(texts), len(kept)
-
-            def ids(side):
-                own = [packed[side][k] for k in kept.tolist()]
-                offsets = np.cumsum([0, *(len(x) // 4 for x in own)], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(own), np.int32))
-                return pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(offsets), values)])
-
-            sizes = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-            numbers = pa.ListArray.from_arrays(pa.array(sizes), pa.array(place[flat]))
+                held = [x[:0] if bad[x].any() else x for x in held]
+            flat = np.concatenate([*held, np.empty(0, np.int32)])
+            uses = np.bincount(flat, minlength=len(bad))
+            used = uses > 0
+            if not used.all():
+                ids = [x[np.repeat(used, n)] for x, n in zip(ids, sizes, strict=True)]
+                sizes = [n[used] for n in sizes]
+                flat = (np.cumsum(used) - 1)[flat]
+                uses = uses[used]
+            of, shapes = shapes_of(sides[0].lengths[ids[0]], sizes[0], sides[1].lengths[ids[1]], sizes[1])
+            first = np.arange(0, len(of), SLICE)
+            n, k, m = len(held), len(first), len(shapes)
+
+            def of_slices_and_shapes(side):
+                in_slice = np.add.reduceat(sizes[side], first) if k else first
+                in_shape = np.array([len(x[side]) // 4 for x in shapes], np.int64)
+                values = np.append(ids[side], np.frombuffer(b"".join(x[side] for x in shapes), np.int32))
+                return pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), lists(values, np.append(in_slice, in_shape))])
+
+            def of_slices(values):
+                return pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), lists(values, np.diff(np.append(first, len(of)))), pa.nulls(m, pa.list_(pa.int32()))])
+
+            numbers = lists(flat, np.array([len(x) for x in held], np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(n + m, number_of_batch)),
-                    pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, batch.column("doc_id").type)]),
-                    pa.concat_arrays([numbers, pa.nulls(m, numbers.type)]),
-                    pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(m), pa.int32())]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(uses[kept], pa.int64())]),
-                    ids(0),
-                    ids(1),
+                    pa.array(np.full(n + k + m, number_of_batch)),
+                    pa.concat_arrays([batch.column("doc_id"), pa.nulls(k + m, batch.column("doc_id").type)]),
+                    pa.concat_arrays([numbers, pa.nulls(k + m, numbers.type)]),
+                    pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(k), pa.int32()), pa.nulls(m, pa.int32())]),
+                    of_slices(of),
+                    of_slices(uses),
+                    pa.concat_arrays([pa.nulls(n + k, pa.int32()), pa.array(np.arange(m), pa.int32())]),
+                    of_slices_and_shapes(0),
+                    of_slices_and_shapes(1),
                 ],
-                ["batch", "doc_id", "parts", "part", "uses", "a_ids", "b_ids"],
+                ["batch", "doc_id", "parts", "slice", "shapes", "uses", "part", "a_ids", "b_ids"],
             )
             number_of_batch += 1
         pa.default_memory_pool().release_unused()
 
-    schema = f"batch long, doc_id {kind}, parts array<int>, part int, uses long, a_ids array<int>, b_ids array<int>"
+    of_slices = "slice int, shapes array<int>, uses array<int>"
+    schema = f"batch long, doc_id {kind}, parts array<int>, {of_slices}, part int, a_ids array<int>, b_ids array<int>"
     return bucketed_table(docs.mapInArrow(run, schema), "parts", ["batch"], spread=SPREAD)
 
 
-#: What a text is known by: a part of a batch.
+#: What a text is known by in an alignment: a shape of a batch.
 UNIT = ["part", "batch"]
 
 
@@ -253,77 +291,129 @@ def linked(ends: DataFrame) -> DataFrame:
     )
 
 
-#: A link as one number: where it ends, both ids, and whether a token of either side ends there.
+def by_text(links: DataFrame) -> DataFrame:
+    """(part, batch, links): one row for each text of ``aligned``, its links in text order: of each where it ends, and in two bits whether a token of either side ends there."""
+    code = F.shiftleft(F.col("end").cast("long"), 2) + F.col("a_own").isNotNull().cast("long") * 2 + F.col("b_own").isNotNull().cast("long")
+    return links.groupBy(*UNIT).agg(F.sort_array(F.collect_list(code)).alias("links"))
+
+
+#: A pair of ids as one number.
 ID_BITS = 17
 
 
-def by_text(links: DataFrame) -> DataFrame:
-    """(part, batch, links): one row for each text of ``aligned``, its links packed, in text order."""
-    code = F.shiftleft(F.col("end").cast("long"), 2 * ID_BITS + 2)
-    code = code + F.shiftleft(F.col("a_id").cast("long"), ID_BITS + 2) + F.shiftleft(F.col("b_id").cast("long"), 2)
-    code = code + F.col("a_own").isNotNull().cast("long") * 2 + F.col("b_own").isNotNull().cast("long")
-    return links.groupBy(*UNIT).agg(F.sort_array(F.collect_list(code)).alias("links"))
+def numbers_in(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of a column of lists, one list after the other."""
+    return np.concatenate([np.empty(0, np.int64), *(np.asarray(c.flatten()) for c in column.chunks)])
+
+
+def sizes_in(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(np.asarray(c.value_lengths(), np.int64) for c in column.chunks)])
+
+
+class Links:
+    """The links of all parts of a batch: those of their shapes with the parts' own ids.
+
+    ``own_a`` and ``own_b``: whether a token of that side ends there; ``sizes``:
+    links of each part; ``pair``: both ids as one number.
+    """
+
+    def __init__(self, slices: pa.Table, shapes: pa.Table):
+        slices, shapes = slices.sort_by("slice"), shapes.sort_by("part")
+        of_shape = sizes_in(shapes["links"])
+        shape = numbers_in(slices["shapes"]).astype(np.int64)
+        self.uses = numbers_in(slices["uses"])
+        self.sizes = of_shape[shape]
+        self.upto = np.append(0, np.cumsum(self.sizes))
+        at = np.repeat((np.cumsum(of_shape) - of_shape)[shape] - self.upto[:-1], self.sizes) + np.arange(self.upto[-1])
+        ends = numbers_in(shapes["links"])[at].astype(np.int8)
+        self.own_a, self.own_b = ends >> 1 & 1, ends & 1
+        # A part ends with tokens of both sides, so the tokens that ended before name the next one over all parts.
+        self.a, self.b = numbers_in(slices["a_ids"]).astype(np.int64), numbers_in(slices["b_ids"]).astype(np.int64)
+        a_at, b_at = (np.cumsum(own, dtype=np.int64) - own for own in (self.own_a, self.own_b))
+        self.pair = self.a[a_at] << ID_BITS | self.b[b_at]
+
+    def added(self, numbers: np.ndarray) -> np.ndarray:
+        """``numbers`` of links summed for each part."""
+        sums = np.append(0, np.cumsum(numbers, dtype=np.int64))
+        return sums[self.upto[1:]] - sums[self.upto[:-1]]
+
+    def groups(self) -> pa.StringArray:
+        """The ids of each part's groups, ``a1,a2|b1;a3|b2,b3;``."""
+        cut = self.own_a & self.own_b
+        group = np.cumsum(cut, dtype=np.int64) - cut
+        a_group, b_group = group[self.own_a > 0], group[self.own_b > 0]
+        side = np.append(2 * a_group, 2 * b_group + 1)
+        order = np.argsort(side, kind="stable")
+        side, ids = side[order], np.append(self.a, self.b)[order]
+        last = np.append(side[1:] != side[:-1], True)[: len(side)]
+        tokens = rendered(1 << ID_BITS).take(pa.array(np.where(last, 1 + (side & 1), 0) << ID_BITS | ids))
+        return merged(tokens, self.added(self.own_a) + self.added(self.own_b))
+
+
+@functools.lru_cache
+def rendered(n: int) -> pa.StringArray:
+    """Every number below n with a comma, then every one with a bar, then with a semicolon."""
+    return pa.array([f"{k}{end}" for end in ",|;" for k in range(n)], pa.string())
+
+
+def merged(strings: pa.StringArray, sizes: np.ndarray) -> pa.StringArray:
+    """Consecutive strings joined, so many to one as ``sizes`` says."""
+    if not len(strings):
+        return pa.array([""] * len(sizes), pa.string())
+    _, offsets, data = strings.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets[np.append(0, np.cumsum(sizes))]), data)
 
 
-def id_in(code: Column, side: str) -> Column:
-    return F.shiftright(code, 2 + (ID_BITS if side == "a" else 0)).bitwiseAND((1 << ID_BITS) - 1).cast("int")
+def pair_counts(slices: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(batch, a_id, b_id, n): how often texts of a batch hold an id pair linked."""
 
+    def count(slices: pa.Table, shapes: pa.Table) -> pa.Table:
+        links = Links(slices, shapes)
+        pair, of = np.unique(links.pair, return_inverse=True)
+        n = np.bincount(of, np.repeat(links.uses, links.sizes), minlength=len(pair)).astype(np.int64)  # below 2^53, so exact
+        batch = np.full(len(pair), slices["batch"][0].as_py() if slices.num_rows else 0, np.int64)
+        a_id, b_id = (pair >> ID_BITS).astype(np.int32), (pair & ((1 << ID_BITS) - 1)).astype(np.int32)
+        return pa.table({"batch": batch, "a_id": a_id, "b_id": b_id, "n": n})
 
-def groups_of(codes: list[int]) -> str:
-    """The ids of each group of a text, ``a1,a2|b1;a3|b2,b3``, from its packed links."""
-    mask, out = (1 << ID_BITS) - 1, []
-    a: list[str] = []
-    b: list[str] = []
-    for c in codes:
-        if c & 2:
-            a.append(str(c >> (ID_BITS + 2) & mask))
-        if c & 1:
-            b.append(str(c >> 2 & mask))
-            if c & 2:
-                out.append(",".join(a) + "|" + ",".join(b))
-                a, b = [], []
-    return ";".join(out)
+    schema = "batch long, a_id int, b_id int, n long"
+    return slices.groupBy("batch").cogroup(shapes.groupBy("batch")).applyInArrow(count, schema)
 
 
-def per_document(texts: DataFrame, units: DataFrame) -> DataFrame:
+def per_document(table: DataFrame, known: DataFrame) -> DataFrame:
     """The documents of each batch from its parts: sums of numbers, and the parts' groups in order.
 
-    ``units`` has part, batch, links, n_best and count_sum.  Both sides lie in
-    buckets of their batch, which is bounded.
+    ``table`` as :func:`cut_texts` gives it, documents and slices; ``known`` has
+    the batch's shapes with their links, and its id pairs with n and best.  Both
+    sides lie in buckets of their batch, which is bounded.
     """
-    kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def assemble(docs: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by("part").combine_chunks()
-        links = found["links"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int64()))
-        flat, sizes = np.asarray(links.flatten()), np.asarray(links.value_lengths(), dtype=np.int64)
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-
-        def added(flags: np.ndarray) -> np.ndarray:
-            sums = np.concatenate([[0], np.cumsum(flags)])
-            return sums[upto[1:]] - sums[upto[:-1]]
-
-        own_a, own_b = flat >> 1 & 1, flat & 1
-        of = {"n_a": added(own_a), "n_b": added(own_b), "n_groups": added(own_a & own_b), "n_links": sizes}
-        of |= {n: np.asarray(found[n], dtype=np.int64) for n in ("n_best", "count_sum")}
-        groups = [groups_of(flat[x:y].tolist()) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-        parts = docs["parts"].combine_chunks()
-        held = np.asarray(parts.flatten())
-        edges = np.concatenate([[0], np.cumsum(np.asarray(parts.value_lengths(), dtype=np.int64))])
+    kind = table.schema["doc_id"].dataType.simpleString()
+
+    def assemble(own: pa.Table, known: pa.Table) -> pa.Table:
+        docs, slices = own.filter(pc.is_null(own["slice"])), own.filter(pc.is_valid(own["slice"]))
+        links = Links(slices, known.filter(pc.is_valid(known["part"])).select(["part", "links"]))
+        pairs = known.filter(pc.is_valid(known["a_id"])).select(["a_id", "b_id", "n", "best"])
+        pair = np.asarray(pairs["a_id"], np.int64) << ID_BITS | np.asarray(pairs["b_id"], np.int64)
+        order = np.argsort(pair)
+        at = order[np.searchsorted(pair[order], links.pair)] if len(pair) else np.empty(0, np.int64)
+        of = {"n_a": links.added(links.own_a), "n_b": links.added(links.own_b), "n_groups": links.added(links.own_a & links.own_b), "n_links": links.sizes}
+        of |= {"n_best": links.added(np.asarray(pairs["best"], np.int64)[at]), "count_sum": links.added(np.asarray(pairs["n"], np.int64)[at])}
+        held, sizes = numbers_in(docs["parts"]).astype(np.int64), sizes_in(docs["parts"])
+        edges = np.append(0, np.cumsum(sizes))
         columns = {"doc_id": docs["doc_id"]}
         for n, numbers in of.items():
-            sums = np.concatenate([[0], np.cumsum(numbers[held])]).astype(np.int64)
+            sums = np.append(0, np.cumsum(numbers[held])).astype(np.int64)
             columns[n] = pa.array(sums[edges[1:]] - sums[edges[:-1]])
-        columns["groups"] = pa.array([";".join(map(groups.__getitem__, held[x:y].tolist())) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.string())
+        columns["groups"] = pc.ascii_rtrim(merged(links.groups().take(pa.array(held)), sizes), ";")
         return pa.table(columns)
 
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
-    return texts.groupBy("batch").cogroup(units.groupBy("batch")).applyInArrow(assemble, schema)
+    return table.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(assemble, schema)
 
 
 def lengths_of(spark: SparkSession, tokeniser: Tokeniser) -> DataFrame:
-    """(id, length in bytes) of a vocabulary."""
-    return spark.createDataFrame([(i, len(s)) for i, s in enumerate(tokeniser.surface)], "id int, length int")
+    """(id, length): every length of a token of a vocabulary, which is its own id."""
+    return spark.createDataFrame([(n, n) for n in np.unique(tokeniser.lengths).tolist()], "id int, length int")
 
 
 def align_tokens(
@@ -349,23 +439,21 @@ def align_tokens(
     bounded_batches(spark, rows=20_000, size=BATCH)
     a_lengths, b_lengths = (lengths_of(spark, LOADERS[kind](path)) for kind, path in (a, b))
     table = cut_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), a, b)
-    found = table.where(F.col("part").isNotNull())
     # Rows of a batch are together, so they may be joined by more than their batch where they are.
     with setting(spark, WHOLE_KEYS, "false"):
         # An outer join does not tell that its rows are still together; a table in buckets does.
-        ends = bucketed_table(all_ends(found.select(*UNIT, "a_ids", "b_ids"), a_lengths, b_lengths), "ends", ["batch"], spread=SPREAD)
-        units = bucketed_table(by_text(linked(ends)).join(found.select(*UNIT, "uses"), UNIT), "units", ["batch"], spread=SPREAD)
+        units = table.where(F.col("part").isNotNull()).select(*UNIT, "a_ids", "b_ids")
+        ends = bucketed_table(all_ends(units, a_lengths, b_lengths), "ends", ["batch"], spread=SPREAD)
+        shapes = bucketed_table(by_text(linked(ends)), "shapes", ["batch"], spread=SPREAD)
         discard(ends)
-        links = units.select(*UNIT, "uses", F.explode("links").alias("c"))
-        links = links.select(*UNIT, "uses", id_in(F.col("c"), "a").alias("a_id"), id_in(F.col("c"), "b").alias("b_id"))
-        counts = written(links.groupBy("a_id", "b_id").agg(F.sum("uses").alias("n")), "counts")
-        best = counts.groupBy("b_id").agg(F.max("n").alias("most"))
-        pairs = written(counts.join(best, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("most")).cast("int").alias("best")), "pairs")
-        sums = links.join(pairs, ["a_id", "b_id"]).groupBy(*UNIT).agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-        known = bucketed_table(units.drop("uses").join(sums, UNIT), "known", ["batch"], spread=SPREAD)
-        discard(units)
-    texts = table.where(F.col("part").isNull()).select("batch", "doc_id", "parts")
-    return per_document(texts, known.select("batch", "part", "links", "n_best", "count_sum"))
+    slices = table.where(F.col("slice").isNotNull()).select("batch", "slice", "shapes", "uses", "a_ids", "b_ids")
+    used = written(pair_counts(slices, shapes), "used")
+    counts = written(used.groupBy("a_id", "b_id").agg(F.sum("n").alias("n")), "counts")
+    best = counts.groupBy("b_id").agg(F.max("n").alias("most"))
+    pairs = written(counts.join(best, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("most")).cast("int").alias("best")), "pairs")
+    known = used.drop("n").join(pairs, ["a_id", "b_id"]).select("batch", "a_id", "b_id", "n", "best")
+    texts = table.where(F.col("part").isNull()).select("batch", "doc_id", "parts", "slice", "shapes", "uses", "a_ids", "b_ids")
+    return per_document(texts, shapes.unionByName(known, allowMissingColumns=True))
 
 
 def alignment_digest(found: DataFrame) -> DataFrame:

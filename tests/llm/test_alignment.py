@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from siteatlas.llm.queries import op12_token_alignment
-from siteatlas.llm.token_alignment import BYTE_LEVEL, PIECES, align_tokens, aligned, alignment_digest, byte_of_symbol, parts
+from siteatlas.llm.token_alignment import BYTE_LEVEL, PIECES, align_tokens, aligned, alignment_digest, byte_of_symbol, cut_texts, parts
 from tests.llm.corpora import documents, frame
 
 NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -106,3 +106,14 @@ def test_links_of_one_long_group(spark):
 
 def test_empty_table(spark):
     assert alignment_digest(align_tokens(frame(spark, documents()).limit(0))).count() == 0
+
+
+def test_parts_of_one_shape_are_aligned_once(spark):
+    """However many words there are, the sorts and joins of an alignment have a row for each token of a shape, not of a word."""
+    words = [f"{x}{y}{z}" for x in "bdfg" for y in "aeiou" for z in "klmnprst"]
+    found = cut_texts(frame(spark, [(1, " ".join(words)), (2, " ".join(words[::-1]))]).coalesce(1), ("byte_level", BYTE_LEVEL), ("sentence_pieces", PIECES))
+    shapes = [(tuple(r.a_ids), tuple(r.b_ids)) for r in found.where("part is not null").collect()]
+    slices = found.where("slice is not null").orderBy("slice").collect()
+    assert len(set(shapes)) == len(shapes) < 20
+    assert sum(len(r.shapes) for r in slices) == len(words) and {n for r in slices for n in r.uses} == {2}
+    assert all(sum(a) == sum(b) == 4 for a, b in shapes)
