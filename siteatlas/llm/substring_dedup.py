@@ -153,22 +153,38 @@ class Paragraphs:
     def bands(self, wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each wanted paragraph its least shingles, one of which it has in common with what reaches the threshold.
 
-        Returns paragraph, bucket and the number of distinct shingles.
+        Returns paragraph, bucket, and as one number how many distinct shingles there are (the high 32 bits) and how many of them are not less than the bucket's.
         """
         if not len(wanted):
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         lengths = np.zeros(len(self.start), np.int64)
         lengths[wanted] = self.length[wanted] - SHINGLE + 1
         index, _, _ = self.spread(lengths)
         shingle = runs(self.words.hash, SHINGLE)[index]
         of = np.repeat(np.arange(len(lengths)), lengths)
-        shingle = shingle[np.lexsort((shingle, of))]
+        shingle = sorted_within(shingle, of)
         new = np.append(True, (shingle[1:] != shingle[:-1]) | (of[1:] != of[:-1]))
         shingle, of = shingle[new], of[new]
         n = np.bincount(of, minlength=len(lengths))
         nth = np.arange(len(of)) - (np.cumsum(n) - n)[of]
         least = nth <= n[of] - np.ceil(threshold * n[of] - EPSILON)
-        return of[least], shingle[least].view(np.int64), n[of[least]].astype(np.int32)
+        return of[least], shingle[least].view(np.int64), (n[of] << 32 | n[of] - nth)[least]
+
+
+def sorted_within(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """``values`` in the order of ``of``, which ascends, and within it their own.
+
+    Sorted by one number, of ``of`` and the first bits of a value; where these
+    do not tell two values apart, by both.
+    """
+    bits = np.uint64(int(of[-1]).bit_length() if len(of) else 0)
+    if bits:
+        number = of.astype(np.uint64) << (np.uint64(64) - bits) | values >> bits
+        order = np.argsort(number)
+        number, found = number[order], values[order]
+        if not ((number[1:] == number[:-1]) & (found[1:] != found[:-1])).any():
+            return found
+    return values[np.lexsort((values, of))]
 
 
 def salted(key: np.ndarray, salt: int, *more: np.ndarray) -> list[np.ndarray]:
@@ -190,10 +206,11 @@ def salted(key: np.ndarray, salt: int, *more: np.ndarray) -> list[np.ndarray]:
 
 
 def band_rows(docs: DataFrame, threshold: float) -> DataFrame:
-    """(key, salt, class, n, many) in every bucket; each class once for about every half million classes of a task.
+    """(key, salt, class, n, rest, many) in every bucket; each class once for about every half million classes of a task.
 
     Thus a class of very many copies sends few rows, and rows need only one
-    exchange to be made distinct and put in buckets.
+    exchange to be made distinct and put in buckets.  ``rest`` counts the
+    shingles that are not less than the bucket's.
     """
 
     def run(batches):
@@ -205,13 +222,15 @@ def band_rows(docs: DataFrame, threshold: float) -> DataFrame:
             p, salt = Paragraphs(utf8(batch, "text")), salt + 1
             h, _ = p.hashes()
             once = np.array([k for k, x in enumerate(h.tolist()) if x not in seen and not seen.add(x)], np.int64)
-            of, key, n = p.bands(once, threshold)
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, salted(key, salt, h[of], n))), ["key", "salt", "many", "class", "n"])
+            of, key, sizes = p.bands(once, threshold)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, salted(key, salt, h[of], sizes))), ["key", "salt", "many", "class", "sizes"])
             if len(seen) > 500_000:
                 seen = set()
 
-    rows = docs.select("text").mapInArrow(run, "key long, salt long, many boolean, class long, n int")
-    return rows.repartition("key", "salt").groupBy("key", "salt", "class", "n").agg(F.max("many").alias("many"))
+    rows = docs.select("text").mapInArrow(run, "key long, salt long, many boolean, class long, sizes long")
+    rows = rows.repartition("key", "salt").groupBy("key", "salt", "class", "sizes").agg(F.max("many").alias("many"))
+    n, rest = F.shiftright("sizes", 32).cast("int").alias("n"), F.col("sizes").bitwiseAND((1 << 32) - 1).cast("int").alias("rest")
+    return rows.select("key", "salt", "class", n, rest, "many")
 
 
 def paragraph_rows(docs: DataFrame) -> DataFrame:
@@ -339,21 +358,35 @@ def reaching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def buckets(rows: DataFrame, threshold: float) -> DataFrame:
-    """``rows`` of :func:`band_rows` that can have a partner: (key, salt, part, class, size, nth).
+    """``rows`` of :func:`band_rows` that can have a partner here: (key, salt, part, class, size, nth, n, rest).
 
-    ``part`` parts a bucket by its salt and where sizes are too far apart;
-    ``size`` counts the rows of a part and ``nth`` is a row's place in it.  Of a
-    salted bucket all rows stay, since their partners may have another salt.
+    Without a ``rest`` in ``rows`` it is all of a set.
+
+    Two sets that reach the threshold do so in the bucket of the least shingle
+    they share, where what they share is no more than the ``rest`` of either;
+    rows that can't with the sizes next to theirs go.  ``part`` parts a bucket
+    by its salt and where sizes are too far apart; ``size`` counts the rows of a
+    part and ``nth`` is a row's place in it.  Of a salted bucket all rows stay,
+    since their partners may have another salt.
     """
+    rows = rows if "rest" in rows.columns else rows.withColumn("rest", F.col("n"))
     ordered = Window.partitionBy("key", "salt").orderBy("n", "class")
     joins = F.coalesce(F.lag("n").over(ordered) + F.lit(EPSILON) >= threshold * F.col("n"), F.lit(False))
     joined = F.coalesce(F.col("n") + F.lit(EPSILON) >= threshold * F.lead("n").over(ordered), F.lit(False))
     many = F.max("many").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumns({"joins": joins, "joined": joined, "many": many}).where("joins or joined or many")
+    n, least = F.col("n"), F.first("n").over(ordered)
+    with_less = joins & reach(F.col("rest"), n, F.greatest(least, F.ceil(threshold * n - F.lit(EPSILON))), threshold)
+    with_more = joined & F.coalesce(reach(F.col("rest"), n, F.lead("n").over(ordered), threshold), F.lit(False))
+    rows = rows.withColumns({"joins": joins, "can": with_less | with_more, "many": many}).where("can or many")
     part = F.count_if(~F.col("joins")).over(ordered)
     within = Window.partitionBy("key", "salt", "part")
-    rows = rows.withColumn("part", part).withColumn("size", F.count(F.lit(1)).over(within))
-    return rows.select("key", "salt", "part", "class", "size", F.row_number().over(within.orderBy("class")).alias("nth"))
+    rows = rows.withColumn("part", part).withColumn("size", F.count(F.lit(1)).over(within)).where("size > 1 or many")
+    return rows.select("key", "salt", "part", "class", "size", F.row_number().over(within.orderBy("class")).alias("nth"), "n", "rest")
+
+
+def least_shared(nx: str, ny: str, threshold: float) -> Column:
+    """Whether sets of nx and ny shingles can reach the threshold if the least they share is the bucket's, by ``rest`` and ``yrest``."""
+    return reach(F.least("rest", "yrest"), F.col(nx), F.col(ny), threshold)
 
 
 def first_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -364,8 +397,9 @@ def first_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     """
     part = ["key", "salt", "part"]
     members = members.join(sketches_of(sets), "class")
-    least = side(members.where(F.col("nth") < SMALL), "y", **{"class": "c"}).drop("size", "nth")
-    both = side(members, "x").join(least, part).where("c < class").where(can_reach(F.col("x"), F.col("y"), threshold))
+    least = side(members.where(F.col("nth") < SMALL), "y", **{"class": "c", "n": "yn", "rest": "yrest"}).drop("size", "nth")
+    here = (F.col("size") > SMALL) | least_shared("n", "yn", threshold)  # in a larger part, whatever links, so that less is left for later
+    both = side(members, "x").join(least, part).where("c < class").where(here & can_reach(F.col("x"), F.col("y"), threshold))
     return reaching(both.select("class", "c"), sets, threshold).select(F.col("class").alias("a"), F.col("c").alias("b"))
 
 
@@ -416,17 +450,20 @@ def links_across(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 def further_links(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between labels, among all pairs of a bucket that have different ones.
 
-    ``rows``: key, class, label.  A bucket of up to ``FULL`` classes is compared
-    in full by outlines, a quarter of the sets, inside the join that makes its
-    pairs; the pairs they leave are compared by their sets.  A larger one is
+    ``rows``: key, class, label and, unless unknown, rest.  A bucket of up to ``FULL`` classes is
+    compared in full by what can be shared from its shingle on and by outlines,
+    a quarter of the sets, inside the join that makes its pairs; the pairs they
+    leave are compared by their sets.  A larger one is
     parted by the rarest shingles of its classes, which leaves out no pair that
     reaches the threshold, and its parts are compared in full, whatever their
     size.
     """
     mixed = written(mixed_buckets(rows), "mixed")
     here = mixed.where(f"size <= {FULL}").drop("size").join(outlines_of(sets), "class")
-    other = side(here, "y", **{"class": "c", "label": "b", "n": "yn"})
-    both = side(here, "x", n="xn").join(other, "key").where("class > c and label <> b").where(outlines_reach(threshold))
+    here = here if "rest" in here.columns else here.withColumn("rest", F.col("n"))
+    other = side(here, "y", **{"class": "c", "label": "b", "n": "yn", "rest": "yrest"})
+    both = side(here, "x", n="xn").join(other, "key").where("class > c and label <> b")
+    both = both.where(least_shared("xn", "yn", threshold) & outlines_reach(threshold))
     both = reaching(both.select("class", "c", "label", "b"), sets, threshold)
     found = written(both.select(F.col("label").alias("a"), "b").distinct(), "links")
     large = mixed.where(f"size > {FULL}")
@@ -467,13 +504,13 @@ def linked_classes(docs: DataFrame, paragraphs: DataFrame, threshold: float) ->
     labels = written(labels.select(F.col("node").alias("class"), "label"), "labels")
     # What has not been compared in full: buckets beyond SMALL classes, and those that were salted.
     large = rows.where(f"size > {SMALL} or salt > 0").select("key").distinct()
-    open_ = rows.select("key", "class").join(large, "key").distinct()
+    open_ = rows.select("key", "class", "rest").join(large, "key").distinct()
     open_ = written(open_.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "open")
     every = labels.union(open_.select("class", "label")).distinct()
     # Most of what is still apart in a large bucket is joined over a few centres before the rest is compared in full.
-    joins = joins_of(centre_links(open_, sets, threshold))
+    joins = joins_of(centre_links(open_.select("key", "class", "label"), sets, threshold))
     open_, every = written(relabelled(open_, joins), "open"), written(relabelled(every, joins), "labels")
-    return relabelled(every, joins_of(further_links(open_.select("key", "class", "label"), sets, threshold)))
+    return relabelled(every, joins_of(further_links(open_.select("key", "class", "label", "rest"), sets, threshold)))
 
 
 def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -106,3 +106,34 @@ def test_outlines_leave_out_no_pair(spark):
     both = sd.side(frame(0), "x", n="xn").join(sd.side(frame(1), "y", n="yn"), "class")
     kept = {r["class"] for r in both.where(sd.outlines_reach(EDGE)).collect()}
     assert {n for n, w in enumerate(want) if w} <= kept and 0 < sum(want) < 300
+
+
+def test_a_pair_stays_where_its_least_common_shingle_is(spark):
+    """Of the buckets of a pair at the threshold the first keeps both, and one whose rest is too small for the pair keeps none."""
+    rng, met = random.Random(8), 0
+    rows, want = [], set()
+    for k in range(600):
+        common = [rng.randrange(2**64) for _ in range(rng.randrange(6, 60))]
+        sets = [sorted({*common, *(rng.randrange(2**64) for _ in range(rng.randrange(0, 8)))}) for _ in range(2)]
+        for c, x in zip((2 * k, 2 * k + 1), sets, strict=True):
+            least = x[: len(x) - int(np.ceil(EDGE * len(x) - 1e-6)) + 1]
+            rows += [(int(np.uint64(v).view(np.int64)), 0, c, len(x), len(x) - at, False) for at, v in enumerate(least)]
+        if jaccard(*map(set, sets)) >= EDGE:
+            want.add((2 * k, 2 * k + 1, int(np.uint64(min(common)).view(np.int64))))
+    found = sd.buckets(spark.createDataFrame(rows, "key long, salt long, class long, n int, rest int, many boolean"), EDGE).collect()
+    kept = {(r["class"], r["key"]) for r in found}
+    for x, y, key in want:
+        assert (x, key) in kept and (y, key) in kept
+        met += 1
+    everywhere = {(key, c) for key, _, c, *_ in rows}
+    dropped = sum((key, c ^ 1) in everywhere and (c, key) not in kept for key, c in everywhere)
+    assert met > 100 and dropped > 100
+
+
+def test_values_that_differ_in_their_last_bits_are_sorted():
+    of = np.repeat(np.arange(5), 4)
+    values = np.array([3, 1, 2, 0] * 5, np.uint64) + np.uint64(1 << 63)
+    assert sd.sorted_within(values, of).tolist() == [k + (1 << 63) for k in range(4)] * 5
+    rng = np.random.default_rng(9)
+    of, values = np.sort(rng.integers(0, 50, 3000)), rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    assert sd.sorted_within(values, of).tolist() == values[np.lexsort((values, of))].tolist()
