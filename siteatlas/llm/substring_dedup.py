@@ -26,6 +26,8 @@ centre of its own, before the first exchange.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +58,10 @@ CENTRES = 32
 EPSILON = 1e-6
 
 
+#: Of the two hashes of a run of words.
+SEEDS = np.uint64(1), np.uint64(0x51ED270B0A1F39C1)
+
+
 class Paragraphs:
     """The paragraphs of a list of texts: text, first word, number of words, two hashes, shingles."""
 
@@ -69,9 +75,11 @@ class Paragraphs:
         at = np.arange(n) + REACH * (w.text + 1)
         padded = np.full(n + REACH * (len(texts) + 2), np.iinfo(np.uint64).max)
         padded[at] = pair
-        cut = np.ones(n, dtype=bool)
+        core = padded[REACH:-REACH]
+        cut = np.ones(len(core), dtype=bool)
         for k in range(1, REACH + 1):
-            cut &= (padded[at] < padded[at - k]) & (padded[at] <= padded[at + k])
+            cut &= (core < padded[REACH - k : -REACH - k]) & (core <= padded[REACH + k : len(core) + REACH + k])
+        cut = cut[at - REACH]
         text_start = np.zeros(n, dtype=bool)
         text_start[w.first[w.counts > 0]] = True
         line = np.flatnonzero(w.line_start | text_start)
@@ -112,43 +120,31 @@ class Paragraphs:
     @staticmethod
     def joined(start: np.ndarray, hard: np.ndarray) -> np.ndarray:
         """The starts of pieces, with each piece of under ``MIN_WORDS`` words joined to the next, the last before a hard start to the one before."""
-        starts = start.tolist()
-        ends = [*starts[1:], len(hard)][: len(starts)]
-        out: list[int] = []
-        short = False  # whether the piece so far is still short
-        for a, b in zip(starts, ends, strict=True):
-            if hard[a]:
-                if short and len(out) > 1 and not hard[out[-1]]:
-                    out.pop()
-                out.append(a)
-            elif not short:
-                out.append(a)
-            short = b - out[-1] < MIN_WORDS
-        if short and len(out) > 1 and not hard[out[-1]]:
-            out.pop()
-        return np.array(out, dtype=np.int64)
+        if not len(start):
+            return start
+        end = np.append(start[1:], len(hard))
+        free = ~hard[start]
+        keep = np.ones(len(start), bool)
+        head = 0  # where the piece begins that the last one was joined to
+        for k in (np.flatnonzero((end - start < MIN_WORDS)[:-1] & free[1:]) + 1).tolist():
+            head = k - 1 if keep[k - 1] else head
+            keep[k] = start[k] - start[head] >= MIN_WORDS
+        last = np.maximum.accumulate(np.where(keep, np.arange(len(start)), 0))[np.append(~free[1:], True)]
+        short = end[np.append(~free[1:], True)] - start[last] < MIN_WORDS
+        keep[last[short & free[last] & (last > 0)]] = False
+        return start[keep]
 
     def spread(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For ``lengths`` items of each paragraph: their index in the words, position, and where each paragraph begins."""
-        begin = np.cumsum(lengths) - lengths
-        nth = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
-        return np.repeat(self.start, lengths) + nth, nth, begin
+        return spread(self.start, lengths)
+
+    def classes(self) -> np.ndarray:
+        """The first of the :meth:`hashes`."""
+        return hashes_of(self.words, self.start, self.length)[0]
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.start):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        index, nth, begin = self.spread(self.length)
-        out = []
-        for seed in (np.uint64(1), np.uint64(0x51ED270B0A1F39C1)):
-            value = mix(self.words.hash[index] ^ mix(nth.astype(np.uint64) * np.uint64(2) + seed))
-            out.append(mix(np.add.reduceat(value, begin)).view(np.int64))
-        return out[0], out[1]
-
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all shingles, and where each paragraph's begin."""
-        every = runs(self.words.hash, SHINGLE)
-        index, _, begin = self.spread(self.length - SHINGLE + 1)
-        return every[index], begin
+        first, second = hashes_of(self.words, self.start, self.length, *SEEDS)
+        return first, second
 
     def bands(self, wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each wanted paragraph its least shingles, one of which it has in common with what reaches the threshold.
@@ -171,6 +167,23 @@ class Paragraphs:
         return of[least], shingle[least].view(np.int64), (n[of] << 32 | n[of] - nth)[least]
 
 
+def spread(start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For ``lengths`` items from each of ``start`` on: their index, position from the start, and where each start's begin."""
+    begin = np.cumsum(lengths) - lengths
+    nth = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
+    return np.repeat(start, lengths) + nth, nth, begin
+
+
+def hashes_of(words: Words, start: np.ndarray, length: np.ndarray, *seeds: np.uint64) -> list[np.ndarray]:
+    """A hash of each run of ``length`` words from ``start`` on for each of ``seeds``, the first of ``SEEDS`` if none."""
+    seeds = seeds or SEEDS[:1]
+    if not len(start):
+        return [np.empty(0, np.int64) for _ in seeds]
+    index, nth, begin = spread(start, length)
+    word, place = words.hash[index], np.arange(int(length.max())).astype(np.uint64) * np.uint64(2)
+    return [mix(np.add.reduceat(mix(word ^ mix(place + seed)[nth]), begin)).view(np.int64) for seed in seeds]
+
+
 def sorted_within(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     """``values`` in the order of ``of``, which ascends, and within it their own.
 
@@ -220,7 +233,7 @@ def band_rows(docs: DataFrame, threshold: float) -> DataFrame:
         salt = TaskContext.get().partitionId() << 32
         for batch in batches:
             p, salt = Paragraphs(utf8(batch, "text")), salt + 1
-            h, _ = p.hashes()
+            h = p.classes()
             once = np.array([k for k, x in enumerate(h.tolist()) if x not in seen and not seen.add(x)], np.int64)
             of, key, sizes = p.bands(once, threshold)
             yield pa.RecordBatch.from_arrays(list(map(pa.array, salted(key, salt, h[of], sizes))), ["key", "salt", "many", "class", "sizes"])
@@ -260,33 +273,45 @@ def paragraph_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def shingle_sets(words: Words, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each run of ``length`` words from ``start`` on, one after another, where each run's begin and end, and their sketches."""
+    index, _, _ = spread(start, length - SHINGLE + 1)
+    of = np.repeat(np.arange(len(start)), length - SHINGLE + 1)
+    shingle = sorted_within(runs(words.hash, SHINGLE)[index], of)
+    new = np.append(True, (shingle[1:] != shingle[:-1]) | (of[1:] != of[:-1]))[: len(of)]
+    shingle, of = shingle[new], of[new]
+    bounds = np.append(0, np.cumsum(np.bincount(of, minlength=len(start))))
+    bits = np.zeros((len(start), 64 * SKETCH), np.uint8)
+    bits[of, shingle % np.uint64(64 * SKETCH)] = 1
+    return shingle.view(np.int64), bounds, np.packbits(bits, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+
+
 def shingles_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(class, shingles, s0 ... s3) of wanted (class, doc_id): the shingles of that class's paragraph in that document, and their sketch.
+    """(class, shingles, s0 ... s3) of wanted (class, doc_id, at): the shingles of that class's paragraph in that document, and their sketch.
 
-    Each shingle sets one of the sketch's 256 bits.
+    ``at``: the paragraph's first word and its number of words, as
+    :func:`sets_of` puts them in one number.  Of rows that share a doc_id those
+    whose words there have the class's hash count.  Each shingle sets one of
+    the sketch's 256 bits.
     """
-    lists = wanted.groupBy("doc_id").agg(F.collect_set("class").alias("classes"))  # bounded by one document
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("class", "at")).alias("classes"))  # bounded by one document
     both = docs.select("doc_id", "text").join(lists, "doc_id")
 
     def run(batches):
         for batch in batches:
-            p = Paragraphs(utf8(batch, "text"))
-            h, _ = p.hashes()
-            shingle, begin = p.shingles() if len(h) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            ends = np.append(begin[1:], len(shingle))
-            classes = [set(c) for c in batch.column("classes").to_pylist()]
-            found = {}
-            for k, (c, t) in enumerate(zip(h.tolist(), p.text.tolist(), strict=True)):
-                if c in classes[t]:
-                    found[c] = np.unique(shingle[begin[k] : ends[k]].view(np.int64))
-            sketch = np.zeros((len(found), SKETCH), np.uint64)
-            of = np.repeat(np.arange(len(found)), [len(x) for x in found.values()])
-            bit = np.concatenate([np.empty(0, np.int64), *found.values()]).view(np.uint64)
-            np.bitwise_or.at(sketch, (of, (bit >> np.uint64(6)) % np.uint64(SKETCH)), np.uint64(1) << (bit & np.uint64(63)))
-            cols = [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, *(pa.array(sketch[:, k].view(np.int64)) for k in range(SKETCH))], ["class", "shingles", *SKETCHES]
-            )
+            w = Words(utf8(batch, "text"))
+            lists = batch.column("classes")
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            name, at = (lists.flatten().field(k).to_numpy() for k in range(2))
+            first, length = at >> 32, at & ((1 << 32) - 1)
+            inside = first + length <= w.counts[of]
+            name, start, length = name[inside], (w.first[of] + first)[inside], length[inside]
+            same = hashes_of(w, start, length)[0] == name
+            name, start, length = name[same], start[same], length[same]
+            shingle, bounds, sketch = shingle_sets(w, start, length)
+            shingle = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingle))
+            columns = [pa.array(name), shingle, *(pa.array(sketch[:, k].view(np.int64)) for k in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "shingles", *SKETCHES])
 
     schema = f"class long, shingles array<long>, {', '.join(f'{c} long' for c in SKETCHES)}"
     return both.mapInArrow(run, schema).dropDuplicates(["class"])
@@ -295,8 +320,10 @@ def shingles_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 def sets_of(classes: DataFrame, paragraphs: DataFrame, docs: DataFrame) -> DataFrame:
     """(class, shingles, sketch) of the given classes, in buckets of their class, so that no join by it moves the sets."""
     # Any document of a class will do: its paragraphs have equal words.
-    named = paragraphs.where("doc_id is not null").select("class", "doc_id").join(classes.distinct(), "class")
-    return bucketed_table(shingles_of(named.groupBy("class").agg(F.min("doc_id").alias("doc_id")), docs), "shingles", ["class"])
+    at = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("length").cast("long"))
+    named = paragraphs.where("doc_id is not null").select("class", "doc_id", at.alias("at")).join(classes.distinct(), "class")
+    one = named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at"))
+    return bucketed_table(shingles_of(one, docs), "shingles", ["class"])
 
 
 def side(rows: DataFrame, name: str, **columns: str) -> DataFrame:
@@ -306,8 +333,12 @@ def side(rows: DataFrame, name: str, **columns: str) -> DataFrame:
 
 
 def reach(both: Column, nx: Column, ny: Column, threshold: float) -> Column:
-    """Whether ``both`` of nx and ny shingles in common are enough."""
-    return both + F.lit(EPSILON) >= threshold * (nx + ny - both)
+    """Whether ``both`` of nx and ny shingles in common are enough.
+
+    ``both`` stands here once: Spark writes an expression out wherever it
+    stands, and the JVM never compiles a join whose condition gets too long.
+    """
+    return (1 + threshold) * both + F.lit(EPSILON) >= threshold * (nx + ny)
 
 
 def can_reach(nx: Column, ny: Column, threshold: float) -> Column:
@@ -345,7 +376,7 @@ def outlines_reach(threshold: float) -> Column:
     other lacks, so no pair that reaches it is left out.
     """
     nx, ny, both = F.col("xn"), F.col("yn"), F.size(F.array_intersect("x", "y"))
-    most = F.least(nx - F.size("x") + both, ny - F.size("y") + both)
+    most = F.least(nx - F.size("x"), ny - F.size("y")) + both
     return can_reach(nx, ny, threshold) & reach(most, nx, ny, threshold)
 
 
@@ -447,12 +478,18 @@ def links_across(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return both.select(F.col("label").alias("a"), "b").distinct()
 
 
+def size_step(n: Column, threshold: float) -> Column:
+    """The step of a size: of two sets that reach the threshold it is the same, or the smaller one's is one less."""
+    return F.floor(F.log(n) / F.lit(math.log((1 + EPSILON) / threshold)))
+
+
 def further_links(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between labels, among all pairs of a bucket that have different ones.
 
     ``rows``: key, class, label and, unless unknown, rest.  A bucket of up to ``FULL`` classes is
     compared in full by what can be shared from its shingle on and by outlines,
-    a quarter of the sets, inside the join that makes its pairs; the pairs they
+    a quarter of the sets, inside the join that makes its pairs, where a class
+    meets those of its own step of sizes and of the one below; the pairs they
     leave are compared by their sets.  A larger one is
     parted by the rarest shingles of its classes, which leaves out no pair that
     reaches the threshold, and its parts are compared in full, whatever their
@@ -461,8 +498,10 @@ def further_links(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     mixed = written(mixed_buckets(rows), "mixed")
     here = mixed.where(f"size <= {FULL}").drop("size").join(outlines_of(sets), "class")
     here = here if "rest" in here.columns else here.withColumn("rest", F.col("n"))
-    other = side(here, "y", **{"class": "c", "label": "b", "n": "yn", "rest": "yrest"})
-    both = side(here, "x", n="xn").join(other, "key").where("class > c and label <> b")
+    other = side(here, "y", **{"class": "c", "label": "b", "n": "yn", "rest": "yrest"}).withColumn("step", size_step(F.col("yn"), threshold))
+    step = size_step(F.col("n"), threshold)
+    here = side(here.withColumn("step", F.explode(F.array(step, step - 1))), "x", n="xn")
+    both = here.join(other, ["key", "step"]).where("label <> b and (xn > yn or xn = yn and class > c)")
     both = both.where(least_shared("xn", "yn", threshold) & outlines_reach(threshold))
     both = reaching(both.select("class", "c", "label", "b"), sets, threshold)
     found = written(both.select(F.col("label").alias("a"), "b").distinct(), "links")

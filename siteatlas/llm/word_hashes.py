@@ -12,6 +12,11 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 BYTE_VALUE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of an exponent in the low one of two factors.
+BLOCK = 11
+STEP_BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
+#: Of each byte as it stands in a text; white space adds nothing to a word's sum.
+FOLDED_VALUE = np.where(WHITE, np.uint64(0), BYTE_VALUE[FOLD])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,17 +61,32 @@ class Words:
         if not len(starts):
             return
         ends = np.flatnonzero(white & np.append(False, ~white[:-1]))
-        inside = np.flatnonzero(~white)
         length = ends - starts
-        offset = np.arange(len(inside)) - np.repeat(np.cumsum(length) - length, length)
-        power = np.multiply.accumulate(np.full(int(length.max()), STEP))
-        value = BYTE_VALUE[FOLD[buffer[inside]]] * power[offset]
-        hashes.append(mix(np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64)))
+        # A word's sum is that of its bytes times the powers of ``STEP`` from the first on: those of the buffer's places, taken back by the word's.
+        value = FOLDED_VALUE[buffer]
+        high, low = powers(STEP, len(buffer))
+        value *= np.multiply.outer(high, low).ravel()[: len(buffer)]
+        first = value[starts]
+        total = np.cumsum(value, out=value)
+        high, low = powers(STEP_BACK, len(buffer))
+        back = high[starts >> BLOCK] * low[starts & ((1 << BLOCK) - 1)] * STEP
+        hashes.append(mix((total[ends - 1] - total[starts] + first) * back + length.astype(np.uint64)))
         at = np.cumsum([0, *(len(p) + 1 for _, p in pending)])
-        which = np.searchsorted(at, starts, side="right") - 1
-        owners.append(np.array([i for i, _ in pending], np.int64)[which])
-        lines = np.searchsorted(np.flatnonzero(buffer == 10), starts)
-        fresh.append(np.append(True, lines[1:] != lines[:-1]))
+        owners.append(np.repeat(np.array([i for i, _ in pending], np.int64), np.diff(np.searchsorted(starts, at))))
+        line_start = np.zeros(len(starts) + 1, bool)
+        line_start[np.searchsorted(starts, np.flatnonzero(buffer == 10))] = True
+        line_start[0] = True
+        fresh.append(line_start[:-1])
+
+
+def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a 64-bit word with exponents of 0 to ``n`` - 1 as two factors, by the exponent's high bits and its ``BLOCK`` low ones."""
+    low = np.full((1 << BLOCK) + 1, base)
+    low[0] = 1
+    low = np.multiply.accumulate(low)
+    high = np.full((n >> BLOCK) + 1, low[-1])
+    high[0] = 1
+    return np.multiply.accumulate(high), low[:-1]
 
 
 def pieces(text: bytes):

@@ -5,10 +5,11 @@ import random
 import numpy as np
 
 from siteatlas.llm import substring_dedup as sd
+from siteatlas.llm import word_hashes as wh
 from siteatlas.llm.common import bucketed_table
 from siteatlas.llm.components import connected_components
 from siteatlas.llm.substring_dedup import Paragraphs
-from siteatlas.llm.word_hashes import runs
+from siteatlas.llm.word_hashes import Words, mix, runs
 from siteatlas.sources.tables import setting
 
 EDGE = 0.8
@@ -137,3 +138,61 @@ def test_values_that_differ_in_their_last_bits_are_sorted():
     rng = np.random.default_rng(9)
     of, values = np.sort(rng.integers(0, 50, 3000)), rng.integers(0, 2**64, 3000, dtype=np.uint64)
     assert sd.sorted_within(values, of).tolist() == values[np.lexsort((values, of))].tolist()
+
+
+def test_a_condition_looks_at_two_sets_once():
+    """What is written into a condition several times is computed as often for a pair."""
+    assert str(sd.outlines_reach(EDGE)).count("array_intersect") == 1
+    assert str(sd.similar(EDGE)).count("array_intersect") == 1
+    assert str(sd.outlines_reach(EDGE)).count("bit_count") == 2 * sd.SKETCH
+
+
+def test_sizes_at_the_edges_of_steps_meet(spark):
+    """All pairs of sizes at the threshold are within a step, and those of 4k and 5k shingles are found, whichever has the lesser class."""
+    sizes = [(n, m) for n in range(1, 900) for m in range(int(np.ceil(EDGE * n - 1e-9)), n + 1)]
+    for threshold in (EDGE, 1.0):
+        some = [x for x in sizes if threshold < 1 or x[0] == x[1]]
+        frame = spark.createDataFrame(some, "n int, m int").coalesce(1)
+        steps = frame.select((sd.size_step(frame["n"], threshold) - sd.size_step(frame["m"], threshold)).alias("d")).distinct().collect()
+        assert {r["d"] for r in steps} <= {0, 1}
+    rng, data, want = random.Random(11), [], set()
+    for k in range(1, 80):
+        long = [1, *(rng.randrange(-(2**63), 2**63) for _ in range(5 * k - 1))]
+        pair = [long, long[: 4 * k]]
+        data += pair if k % 2 else pair[::-1]
+        want.add((2 * k - 2, 2 * k - 1))
+    assert all(jaccard(set(data[a]), set(data[b])) == EDGE for a, b in want)
+    sets = spark.createDataFrame([(c, s, 0, 0, 0, 0) for c, s in enumerate(data)], "class long, shingles array<long>, s0 long, s1 long, s2 long, s3 long")
+    rows = spark.createDataFrame([(7, c, c) for c in range(len(data))], "key long, class long, label long")
+    assert {tuple(sorted(r)) for r in sd.further_links(rows, sets, EDGE).collect()} >= want
+
+
+def test_sets_are_those_of_the_paragraphs(spark):
+    """Sets and sketches of all classes, also where rows share a doc_id and where a document has its paragraph elsewhere."""
+    rng = random.Random(12)
+    line = lambda: " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(8, 40)))
+    lines = [line() for _ in range(60)]
+    texts = ["\n".join(rng.choices(lines, k=rng.randrange(0, 5))) for _ in range(80)]
+    docs = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)] + [(50, None), (50, "")], "doc_id long, text string")
+    p = Paragraphs([t.encode() for t in texts])
+    every, want = runs(p.words.hash, sd.SHINGLE), {}
+    for h, a, n in zip(p.classes().tolist(), p.start, p.length, strict=True):
+        want[h] = set(every[a : a + n - sd.SHINGLE + 1].view(np.int64).tolist())
+    rows = sd.paragraph_rows(docs).where("number >= 0")
+    found = sd.sets_of(rows.select("class"), rows, docs).collect()
+    assert {r["class"]: set(r["shingles"]) for r in found} == want and len(found) == len(want)
+    for r in found:
+        assert len(set(r["shingles"])) == len(r["shingles"])
+        bits = sum((r[c] & (2**64 - 1)) << (64 * k) for k, c in enumerate(sd.SKETCHES))
+        assert bits == sum(1 << b for b in {x & 255 for x in r["shingles"]})
+
+
+def test_hashes_of_words_are_sums_over_their_bytes():
+    texts = [b"One  two\n\nthree\tFOUR", b"", b" x ", bytes(range(1, 256)) * 30, b"y" * 5000]
+    want = []
+    for t in texts:
+        for word in t.lower().split(None) if t.isascii() else b"".join(bytes([wh.FOLD[b]]) for b in t).translate(bytes(32 if wh.WHITE[b] else b for b in range(256))).split(b" "):
+            if word:
+                total = sum(int(wh.BYTE_VALUE[b]) * pow(int(wh.STEP), k + 1, 2**64) for k, b in enumerate(word)) + len(word)
+                want.append(int(mix(np.array([total % 2**64], np.uint64))[0]))
+    assert Words(texts).hash.tolist() == want
