@@ -11,7 +11,9 @@ Paragraphs with equal words are one class.  Its MinHash sketch are its least
 shingle hashes, and each of them is a band.  Of n shingles n - ceil(0.8 n) + 1
 are taken: two sets that reach the threshold of 0.8 have so many in common that
 one of the least of either is among the least of the other, so they have a
-common bucket, always.  Buckets of up to ``SMALL`` classes are compared in full,
+common bucket, always.  That holds in any order, so shingles that are common in
+the table come after all others: buckets do not grow with the square of the
+table where many classes share a shingle and little else.  Buckets of up to ``SMALL`` classes are compared in full,
 larger ones first with their least classes; what is then still in different
 components of a larger bucket is compared in full, beyond ``FULL`` classes in
 parts by their rarest shingles, which part no such pair.  No class is left out,
@@ -56,6 +58,14 @@ SKETCHES = [f"s{k}" for k in range(SKETCH)]
 CENTRES = 32
 #: Keeps bounds on the safe side of rounding.
 EPSILON = 1e-6
+#: Common shingles are told by so many of their last bits; others that share these come late, too.
+SLOT_BITS = 22
+#: A shingle is common if it is counted so often at least; or twice, four times ... as often, so that there are no more than ``COMMON_MOST``.
+COMMON_LEAST, COMMON_MOST = 4, 1 << 20
+#: How common a shingle is, by steps of eight times as often, in so many bits.
+LEVEL_BITS = 2
+#: Words whose shingles a task counts together; one that stands there once is not counted.
+COUNTED = 1 << 22
 
 
 #: Of the two hashes of a run of words.
@@ -146,19 +156,20 @@ class Paragraphs:
         first, second = hashes_of(self.words, self.start, self.length, *SEEDS)
         return first, second
 
-    def bands(self, wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def bands(self, wanted: np.ndarray, threshold: float, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each wanted paragraph its least shingles, one of which it has in common with what reaches the threshold.
 
-        Returns paragraph, bucket, and as one number how many distinct shingles there are (the high 32 bits) and how many of them are not less than the bucket's.
+        ``common``: levels by a shingle's last ``SLOT_BITS`` bits; those of lesser ones are less.  Returns paragraph, bucket, and as one number how many distinct shingles there are (the high 32 bits) and how many of them are not less than the bucket's.
         """
         if not len(wanted):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         lengths = np.zeros(len(self.start), np.int64)
         lengths[wanted] = self.length[wanted] - SHINGLE + 1
         index, _, _ = self.spread(lengths)
-        shingle = runs(self.words.hash, SHINGLE)[index]
+        every = runs(self.words.hash, SHINGLE)
+        late = None if common is None else common[every & np.uint64((1 << SLOT_BITS) - 1)][index]
         of = np.repeat(np.arange(len(lengths)), lengths)
-        shingle = sorted_within(shingle, of)
+        shingle = sorted_within(every[index], of, late)
         new = np.append(True, (shingle[1:] != shingle[:-1]) | (of[1:] != of[:-1]))
         shingle, of = shingle[new], of[new]
         n = np.bincount(of, minlength=len(lengths))
@@ -184,20 +195,21 @@ def hashes_of(words: Words, start: np.ndarray, length: np.ndarray, *seeds: np.ui
     return [mix(np.add.reduceat(mix(word ^ mix(place + seed)[nth]), begin)).view(np.int64) for seed in seeds]
 
 
-def sorted_within(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """``values`` in the order of ``of``, which ascends, and within it their own.
+def sorted_within(values: np.ndarray, of: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
+    """``values`` in the order of ``of``, which ascends, and within it their own, by their level in ``late`` first.
 
-    Sorted by one number, of ``of`` and the first bits of a value; where these
-    do not tell two values apart, by both.
+    Sorted by one number, of ``of``, ``late`` and the first bits of a value;
+    where these do not tell two values apart, by all.
     """
+    first = values if late is None else values >> np.uint64(LEVEL_BITS) | late.astype(np.uint64) << np.uint64(64 - LEVEL_BITS)
     bits = np.uint64(int(of[-1]).bit_length() if len(of) else 0)
     if bits:
-        number = of.astype(np.uint64) << (np.uint64(64) - bits) | values >> bits
+        number = of.astype(np.uint64) << (np.uint64(64) - bits) | first >> bits
         order = np.argsort(number)
         number, found = number[order], values[order]
         if not ((number[1:] == number[:-1]) & (found[1:] != found[:-1])).any():
             return found
-    return values[np.lexsort((values, of))]
+    return values[np.lexsort((values, first, of))]
 
 
 def salted(key: np.ndarray, salt: int, *more: np.ndarray) -> list[np.ndarray]:
@@ -218,24 +230,52 @@ def salted(key: np.ndarray, salt: int, *more: np.ndarray) -> list[np.ndarray]:
     return [np.append(key, key[centres]), salts, many, *(np.append(x, x[centres]) for x in more)]
 
 
-def band_rows(docs: DataFrame, threshold: float) -> DataFrame:
+def common_shingles(counts: DataFrame) -> np.ndarray:
+    """How common shingles are, in words of 32 levels of two bits, by a shingle's last ``SLOT_BITS`` bits; ``counts`` as :func:`paragraph_rows` gives them.
+
+    Its size is fixed, whatever the input.  It decides about the order of
+    shingles, thus about the size of buckets, and about no link.
+    """
+    often = counts.groupBy("class").agg(F.sum("n_words").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    often = written(often.select("class", F.floor(F.log2("n")).cast("int").alias("power")), "often")
+    many = dict(often.groupBy("power").count().collect())
+    least = int(math.log2(COMMON_LEAST))
+    while sum(n for power, n in many.items() if power >= least) > COMMON_MOST:
+        least += 1
+    level = F.least(F.floor((F.col("power") - least) / 3) + 1, F.lit((1 << LEVEL_BITS) - 1))
+    place = F.shiftright(F.col("class").bitwiseAND((1 << SLOT_BITS) - 1), 5)
+    levels = often.where(F.col("power") >= least).select("class", level.cast("long").alias("level"), place.alias("place"))
+    found = levels.groupBy("place").agg(F.expr(f"bit_or(shiftleft(level, cast({LEVEL_BITS} * (class & 31) as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << SLOT_BITS - 5, np.int64)
+    table[found.column("place").to_numpy()] = found.column("bits").to_numpy()
+    return table
+
+
+def levels_of(common: np.ndarray) -> np.ndarray:
+    """The level of each place of :func:`common_shingles`."""
+    return (common.astype("<i8").view(np.uint8)[:, None] >> np.arange(0, 8, LEVEL_BITS, dtype=np.uint8) & np.uint8((1 << LEVEL_BITS) - 1)).ravel()
+
+
+def band_rows(docs: DataFrame, threshold: float, common: np.ndarray) -> DataFrame:
     """(key, salt, class, n, rest, many) in every bucket; each class once for about every half million classes of a task.
 
     Thus a class of very many copies sends few rows, and rows need only one
     exchange to be made distinct and put in buckets.  ``rest`` counts the
-    shingles that are not less than the bucket's.
+    shingles that do not come before the bucket's, in the order that ``common``
+    (of :func:`common_shingles`) gives.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
+        late = levels_of(common)
         seen: set[int] = set()
         salt = TaskContext.get().partitionId() << 32
         for batch in batches:
             p, salt = Paragraphs(utf8(batch, "text")), salt + 1
             h = p.classes()
             once = np.array([k for k, x in enumerate(h.tolist()) if x not in seen and not seen.add(x)], np.int64)
-            of, key, sizes = p.bands(once, threshold)
+            of, key, sizes = p.bands(once, threshold, late)
             yield pa.RecordBatch.from_arrays(list(map(pa.array, salted(key, salt, h[of], sizes))), ["key", "salt", "many", "class", "sizes"])
             if len(seen) > 500_000:
                 seen = set()
@@ -246,12 +286,37 @@ def band_rows(docs: DataFrame, threshold: float) -> DataFrame:
     return rows.select("key", "salt", "class", n, rest, "many")
 
 
+def repeats(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that stand in ``shingles`` more than once, and how often."""
+    found, n = np.unique(np.concatenate(shingles), return_counts=True)
+    return found[n > 1].view(np.int64), n[n > 1]
+
+
 def paragraph_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, number, first, length, class, check) of every paragraph; number is -1 in one row for each text."""
+    """(doc_id, n_words, number, first, length, class, check) of every paragraph; number is -1 in one row for each text.
+
+    Rows whose number is -2 have shingles in place of classes and in ``n_words``
+    how often they stand in about ``COUNTED`` words of a task, if more than once.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_words", "number", "first", "length", "class", "check"]
+
+    def counted(batch, shingles):
+        found, n = repeats(shingles)
+        zero = pa.array(np.zeros(len(n), np.int32))
+        cols = [pa.nulls(len(n), batch.column("doc_id").type), pa.array(n), pa.array(np.full(len(n), -2, np.int32)), zero, zero, pa.array(found)]
+        return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(n), pa.int64())], names)
 
     def run(batches):
+        batch, shingles, size = None, [], 0
         for batch in batches:
             p = Paragraphs(utf8(batch, "text"))
+            every = runs(p.words.hash, SHINGLE)
+            shingles.append(every[np.append(True, every[1:] != every[:-1])[: len(every)]])  # a word that repeats itself is one place
+            size += len(shingles[-1])
+            if size >= COUNTED:
+                yield counted(batch, shingles)
+                shingles, size = [], 0
             h, g = p.hashes()
             n, m = batch.num_rows, len(h)
             blank = pa.nulls(n, pa.int64())
@@ -265,9 +330,10 @@ def paragraph_rows(docs: DataFrame) -> DataFrame:
                 pa.concat_arrays([pa.array(h), blank]),
                 pa.concat_arrays([pa.array(g), blank]),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "number", "first", "length", "class", "check"])
+            yield pa.RecordBatch.from_arrays(cols, names)
+        if shingles:
+            yield counted(batch, shingles)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_words long, number int, first int, length int, class long, check long"
     )
@@ -535,9 +601,9 @@ def relabelled(rows: DataFrame, joins: DataFrame) -> DataFrame:
     return rows.join(joins, "label", "left").withColumn("label", F.coalesce("after", "label")).drop("after")
 
 
-def linked_classes(docs: DataFrame, paragraphs: DataFrame, threshold: float) -> DataFrame:
+def linked_classes(docs: DataFrame, paragraphs: DataFrame, common: np.ndarray, threshold: float) -> DataFrame:
     """(class, label) of all classes with a link to another."""
-    rows = written(buckets(band_rows(docs, threshold), threshold), "buckets")
+    rows = written(buckets(band_rows(docs, threshold, common), threshold), "buckets")
     sets = sets_of(rows.select("class"), paragraphs, docs)
     labels = connected_components(first_links(rows, sets, threshold))
     labels = written(labels.select(F.col("node").alias("class"), "label"), "labels")
@@ -559,9 +625,10 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFr
     """
     docs = docs.select("doc_id", "text")
     bounded_batches(docs.sparkSession, size=4 << 20)
-    paragraphs = written(paragraph_rows(docs), "paragraphs")
+    rows = written(paragraph_rows(docs), "paragraphs")
+    paragraphs = rows.where("number > -2")
     real = paragraphs.where("number >= 0")
-    labels = linked_classes(docs, real, threshold)
+    labels = linked_classes(docs, real, common_shingles(rows.where("number = -2")), threshold)
     classes = real.groupBy("class", "check").agg(
         F.min("doc_id").alias("first_doc"),
         F.max("doc_id").alias("last_doc"),

@@ -196,3 +196,57 @@ def test_hashes_of_words_are_sums_over_their_bytes():
                 total = sum(int(wh.BYTE_VALUE[b]) * pow(int(wh.STEP), k + 1, 2**64) for k, b in enumerate(word)) + len(word)
                 want.append(int(mix(np.array([total % 2**64], np.uint64))[0]))
     assert Words(texts).hash.tolist() == want
+
+
+def test_classes_that_share_a_common_phrase_alone_do_not_meet(spark, monkeypatch):
+    """400 paragraphs that share one of two phrases, and a pair at the threshold among them: it is found, and few others meet in a bucket."""
+    rng, tables = random.Random(13), {}
+    draw = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    phrases = [draw(14) for _ in range(2)]
+    lines = [draw(12) + phrases[k % 2] + draw(12) for k in range(400)]
+    lines.append([*lines[7][:-1], "other"])
+    docs = spark.createDataFrame([(k, " ".join(line)) for k, line in enumerate(lines)], "doc_id long, text string").coalesce(1)
+    write = sd.written
+    monkeypatch.setattr(sd, "written", lambda df, name, **more: tables.setdefault(name, write(df, name, **more)) if name == "buckets" else write(df, name, **more))
+    _, found = sd.repeated_paragraphs(docs, EDGE)
+    # The pieces that lie in a phrase repeat as they are.
+    assert {r["doc_id"] for r in found.where("length > 30").collect()} == {7, 400}
+    sizes = [r["count"] for r in tables["buckets"].select("key", "class").distinct().groupBy("key").count().collect()]
+    assert sizes and sum(n * (n - 1) // 2 for n in sizes) < 400
+
+
+def test_bands_meet_whatever_is_common():
+    """Pairs at the threshold have a common bucket in any order of shingles, and the rest is counted in that order."""
+    rng, met = random.Random(14), 0
+    for _ in range(300):
+        levels = np.random.default_rng(rng.randrange(10**9)).integers(0, 1 << sd.LEVEL_BITS, 1 << sd.SLOT_BITS, dtype=np.uint8)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(12, 60))]
+        other = words[: len(words) - rng.randrange(0, 3)] + [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 4))]
+        p = Paragraphs([" ".join(words).encode(), " ".join(other).encode()])
+        whole = [np.flatnonzero((p.text == k) & (p.length == len(w)))[0] for k, w in enumerate((words, other))]
+        every = runs(p.words.hash, sd.SHINGLE)
+        x, y = ({int(v) for v in every[p.start[k] : p.start[k] + p.length[k] - sd.SHINGLE + 1]} for k in whole)
+        of, key, sizes = p.bands(np.array(whole), EDGE, levels)
+        for k, s in zip(whole, (x, y), strict=True):
+            order = sorted(s, key=lambda v: (levels[v & ((1 << sd.SLOT_BITS) - 1)], v))
+            here = [int(v) for v in key[of == k].view(np.uint64)]
+            assert here == order[: len(here)] and len(here) == len(s) - int(np.ceil(EDGE * len(s) - 1e-6)) + 1
+            assert sizes[of == k].tolist() == [len(s) << 32 | len(s) - nth for nth in range(len(here))]
+        if jaccard(x, y) >= EDGE:
+            assert set(key[of == whole[0]].tolist()) & set(key[of == whole[1]].tolist())
+            met += 1
+    assert met > 50
+
+
+def test_common_shingles_are_told_by_steps(spark, monkeypatch):
+    counts = [(5, 2), (5, 3), (6, 1), (6, 2), (-1, 40), (1 << 30, 5000), (9, 4)]
+    frame = spark.createDataFrame(counts, "class long, n_words long")
+    mask = (1 << sd.SLOT_BITS) - 1
+    levels = sd.levels_of(sd.common_shingles(frame))
+    assert len(levels) == 1 << sd.SLOT_BITS
+    assert {int(k): int(levels[k]) for k in np.flatnonzero(levels)} == {5: 1, 9: 1, -1 & mask: 2, (1 << 30) & mask: 3}
+    monkeypatch.setattr(sd, "COMMON_MOST", 2)
+    levels = sd.levels_of(sd.common_shingles(frame))
+    assert {int(k): int(levels[k]) for k in np.flatnonzero(levels)} == {-1 & mask: 1, (1 << 30) & mask: 3}
+    monkeypatch.setattr(sd, "COMMON_MOST", 0)
+    assert not sd.common_shingles(frame).any()
